@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, imatch, mixing
+from . import bpe, exact, imatch, mixing, ngram_join, quality, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_imatch": imatch.op2_imatch,
     "op3_source_mix": mixing.op3_source_mix,
+    "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
 }
 
 SQL = {
