@@ -20,8 +20,9 @@ LEAST_SHARE, MOST_SHARE = 1 / 2048, 1 / 8
 #: The lexicon's size is bounded: the least share is doubled until no more terms are in the band.
 LEXICON_MOST = 1 << 18
 #: Subsets: for each tier the share of the lexicon is 2**-bits, and there are so many subsets.
-TIERS = (3, 5, 7, 9)
-SUBSETS = 8
+#: Subset k looks at the bits of a term's hash from k * STRIDE on; that of a finer tier is part of that of a coarser one.
+TIERS = (4, 6, 8, 10)
+SUBSETS, STRIDE = 8, 6
 #: Buckets of neighbouring ids; the table of their first ids is broadcast.
 BUCKETS, BUCKET_ROWS = 1 << 16, 256
 
@@ -50,22 +51,29 @@ def prints(kept: Column, otherwise: Column) -> Column:
     A text without lexicon terms has `otherwise` in the first place.
     """
 
-    def salt(tier: int):
-        return lambda t: F.struct(t.alias("t"), F.xxhash64(t, F.lit(tier)).alias("h"))
-
     def chosen(bits: int, k: int):
-        return lambda s: F.shiftrightunsigned(s["h"], 8 * k).bitwiseAND((1 << bits) - 1) == 0
+        return lambda t: F.shiftrightunsigned(t, k * STRIDE).bitwiseAND((1 << bits) - 1) == 0
+
+    def hashed(own: Column) -> Column:
+        return F.when(F.size(own) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(own))
+
+    def tiers(k: int):
+        # Each tier is sought in the terms that the tier before has left.
+        def of(own: Column) -> Column:
+            lists = [own]
+            for bits in TIERS[1:]:
+                lists.append(F.filter(lists[-1], chosen(bits, k)))
+            return F.array(*[hashed(x) for x in lists])
+
+        return of
 
-    def tier_prints(sorted_terms: Column) -> Column:
-        parts = [F.when(F.size(sorted_terms) == 0, otherwise).otherwise(F.xxhash64(sorted_terms))]
-        for tier, bits in enumerate(TIERS):  # one rehash of a term serves the subsets of a tier
-            salted = F.transform(sorted_terms, salt(tier))
-            for k in range(SUBSETS):
-                own = F.filter(salted, chosen(bits, k))
-                parts.append(F.when(F.size(own) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(F.transform(own, lambda s: s["t"]))))
-        return F.array(*parts)
+    def all_prints(sorted_terms: Column) -> Column:
+        whole = F.when(F.size(sorted_terms) == 0, otherwise).otherwise(F.xxhash64(sorted_terms))
+        by_subset = [F.get(F.transform(F.array(F.filter(sorted_terms, chosen(TIERS[0], k))), tiers(k)), 0) for k in range(SUBSETS)]
+        by_tier = F.transform(F.array(F.array(*by_subset)), lambda x: F.array(*[F.get(F.get(x, k), tier) for tier in range(len(TIERS)) for k in range(SUBSETS)]))
+        return F.concat(F.array(whole), F.get(by_tier, 0))
 
-    return F.get(F.transform(F.array(F.sort_array(kept)), tier_prints), 0)
+    return F.get(F.transform(F.array(F.sort_array(kept)), all_prints), 0)
 
 
 def shown(values: Column) -> Column:
@@ -131,7 +139,7 @@ def imatch(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float
     rows = rows.select("_at", "_copy", "doc_id", "_row", "text", F.lead("text").over(order).alias("next_text"), F.char_length("text").cast("long").alias("n_chars"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), quarter))
-    rows = rows.withColumn("edited", edited).select("_at", "_copy", "doc_id", "_row", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), term_hashes(F.col("text")).alias("a"), term_hashes(F.col("edited")).alias("b"))
+    rows = rows.withColumn("edited", edited).select("_at", "_copy", "doc_id", "_row", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), term_hashes(F.col("text")).alias("a"), term_hashes(F.col("edited")).alias("b"))
 
     def tag(kind: int):
         return lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term"))
@@ -147,7 +155,7 @@ def imatch(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float
     found = found.select(*keys, prints(F.col("a"), F.col("else_a")).alias("prints"), prints(F.col("b"), F.col("else_b")).alias("edited_prints"))
     found = found.withColumn("next_prints", F.lead("prints").over(order)).where("not _copy")
     return found.select(
-        "doc_id", "n_chars", "edited_sha256", shown(F.col("prints")).alias("fingerprint"), shown(F.col("edited_prints")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), shown(F.col("prints")).alias("fingerprint"), shown(F.col("edited_prints")).alias("edited_fingerprint"),
         likeness(F.col("prints"), F.col("edited_prints")).alias("near_edited"), likeness(F.col("prints"), F.col("next_prints")).alias("near_next"),
     )
 
