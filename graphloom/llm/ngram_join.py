@@ -2,8 +2,9 @@
 
 Two sets with a Jaccard likeness of 0.75 or more share an element among the
 first quarter of either, whatever the order of elements. The order used has
-frequent shingles last, so that a passage that many texts have brings none
-of them together. Sets that share such an element belong to the block of the
+shingles last that several texts may have, so that only texts which consist
+of such for the most part come together at all, and a passage that many texts
+have brings none of them together. Sets that share such an element belong to the block of the
 smallest document that has it; each pair that can link is in some block.
 
 Within a block the T-occurrence search (DivideSkip) finds what links to the
@@ -19,11 +20,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,10 +34,14 @@ from .shingles import shingle_sets
 
 #: Numerator and denominator of the least Jaccard likeness.
 LIKENESS = (75, 100)
-#: Bits of the fixed-size maps that are sent to all tasks: 2 MB each.
+#: Bits of the fixed-size map of documents that is sent to all tasks: 2 MB.
 MAP_BITS = 24
-#: A shingle is frequent from so many texts in a task, and so many in all tasks' counts, on.
-FREQUENT_IN_TASK, FREQUENT = 4, 8
+#: Shingles are counted in 2**28 slots, dealt out in ranges; the map of those that are common is 32 MB, whatever the input.
+SLOT_BITS, RANGE_BITS = 28, 9
+#: Counts from which on a slot may be called common; the first is taken that calls less than this share of all shingles so.
+COMMON_FROM, MOST_COMMON = (2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 255), 0.65
+#: Shingles that a task gathers before it sends their slots on.
+GATHER = 4_000_000
 #: Shingles in a chunk of a block: 2 MB.
 CHUNK = 1 << 18
 
@@ -121,40 +126,78 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def _summaries(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, n, digest) of all documents, and rows (token, count) of shingles that several texts of a task have."""
+    """(doc_id, n, digest) of all documents."""
 
     def run(batches):
-        counts, seen = Counter(), set()
         for batch in batches:
             sets = shingle_sets(batch.column("text"), k)
-            digests = [_digest(s) for s in sets]
-            for s, d in zip(sets, digests):
-                if d not in seen:
-                    seen.add(d)
-                    counts.update(s.tolist())
-            if len(counts) > 2_000_000:
-                # what is rare so far can't be told from what is rare for good; it starts again from none
-                counts = Counter({t: c for t, c in counts.items() if c >= FREQUENT_IN_TASK})
-            if len(seen) > 1_000_000:
-                seen.clear()
-            n = len(sets)
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([True] * n, pa.bool_()), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), none], ["is_doc", "doc_id", "n", "digest", "token"])
-        often = [(t, c) for t, c in counts.items() if c >= FREQUENT_IN_TASK]
-        for a in range(0, len(often), 50_000):
-            part = often[a : a + 50_000]
-            m = len(part)
-            tokens = pa.array(np.array([t for t, _ in part], np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([False] * m, pa.bool_()), pa.nulls(m, pa.int64()), pa.array([c for _, c in part], pa.int64()), pa.nulls(m, pa.binary()), tokens], ["is_doc", "doc_id", "n", "digest", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], ["doc_id", "n", "digest"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary")
+
 
-    return docs.mapInArrow(run, "is_doc boolean, doc_id long, n long, digest binary, token long")
+def _common_slots(docs: DataFrame, k: int) -> np.ndarray:
+    """A map of the slots (a shingle's first 28 bits) that more than one shingle of all texts falls in.
 
+    All shingles of all texts count. Each task sends the slots of its shingles,
+    sorted, as compressed differences, about a byte for each; each range of
+    slots is counted by itself. Where there are so many shingles that most slots
+    have several, the map has those with the higher counts.
+    """
+    inner = SLOT_BITS - RANGE_BITS
+
+    def gather(batches):
+        def send(parts):
+            slots = np.sort(np.concatenate(parts))
+            at = np.searchsorted(slots, np.arange((1 << RANGE_BITS) + 1, dtype=np.uint64) << np.uint64(inner))
+            pack = zstandard.ZstdCompressor(level=1)
+            full = [r for r in range(1 << RANGE_BITS) if at[r + 1] > at[r]]
+            packed = [pack.compress(np.diff(slots[at[r] : at[r + 1]], prepend=np.uint64(r << inner)).astype(np.uint32).tobytes()) for r in full]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], ["range", "slots"])
+
+        parts, n = [], 0
+        for batch in batches:
+            for s in shingle_sets(batch.column("text"), k):
+                if len(s):
+                    parts.append(s >> np.uint64(64 - SLOT_BITS))
+                    n += len(s)
+            if n > GATHER:
+                yield send(parts)
+                parts, n = [], 0
+        if parts:
+            yield send(parts)
+
+    def count(key, table):
+        unpack = zstandard.ZstdDecompressor()
+        counts = np.zeros(1 << inner, np.int64)
+        for packed in table["slots"].to_pylist():
+            counts += np.bincount(np.cumsum(np.frombuffer(unpack.decompress(packed), np.uint32).astype(np.int64)), minlength=1 << inner)
+        pack = zstandard.ZstdCompressor(level=1)
+        maps = [counts >= c for c in COMMON_FROM]
+        return pa.table({
+            "range": pa.array([key[0].as_py()] * len(maps), pa.int32()),
+            "from": pa.array(COMMON_FROM, pa.int32()),
+            "mass": pa.array([int(counts[m].sum()) for m in maps], pa.int64()),
+            "total": pa.array([int(counts.sum())] * len(maps), pa.int64()),
+            "bits": pa.array([pack.compress(np.packbits(m, bitorder="little").tobytes()) for m in maps], pa.binary()),
+        })
+
+    maps = docs.mapInArrow(gather, "range int, slots binary").groupBy("range").applyInArrow(count, "range int, from int, mass long, total long, bits binary").checkpoint()
+    masses = {r["from"]: (r["mass"], r["total"]) for r in maps.groupBy("from").agg(F.sum("mass").alias("mass"), F.sum("total").alias("total")).collect()}
+    out = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
+    if masses:
+        chosen = next((c for c in COMMON_FROM if masses[c][0] <= MOST_COMMON * masses[c][1]), COMMON_FROM[-1])
+        unpack, width = zstandard.ZstdDecompressor(), 1 << (inner - 3)
+        table = maps.where(F.col("from") == chosen).select("range", "bits").toArrow()  # at most 512 rows, 32 MB before compression
+        for r, bits in zip(table["range"].to_pylist(), table["bits"].to_pylist()):
+            out[r * width : (r + 1) * width] = np.frombuffer(unpack.decompress(bits), np.uint8)
+    return out.view(np.uint64)
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray, k: int, likeness) -> DataFrame:
-    """(token, doc_id): each set's first elements in the order in which frequent ones are last. Of equal sets in a task the first stands for all."""
-    shift = np.uint64(64 - MAP_BITS)
 
+def _prefixes(docs: DataFrame, common, k: int, likeness) -> DataFrame:
+    """(token, doc_id): each set's first elements in the order in which common ones are last. Of equal sets in a task the first stands for all."""
     def run(batches):
+        bits = common.value
         seen: set[bytes] = set()
         for batch in batches:
             ids, tokens = [], []
@@ -162,7 +205,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, k: int, likeness) -> DataFr
                 if not len(s) or (d := _digest(s)) in seen:
                     continue
                 seen.add(d)
-                many = _has(frequent, s >> shift)
+                many = _has(bits, s >> np.uint64(64 - SLOT_BITS))
                 first = np.concatenate([s[~many], s[many]])[: len(s) - least_share(len(s), likeness) + 1]
                 tokens.append(first)
                 ids.append(np.full(len(first), i, np.int64))
@@ -236,15 +279,13 @@ def links(docs: DataFrame, k: int = 5, likeness=LIKENESS) -> tuple[DataFrame, Da
     `docs` has doc_id and text without nulls.
     """
     ready(docs.sparkSession)
-    both = _summaries(docs, k).checkpoint()
-    rows = both.where("is_doc").select("doc_id", "n", "digest")
-    frequent = both.where("not is_doc").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    frequent = _bit_map(frequent.select(F.shiftrightunsigned("token", 64 - MAP_BITS).alias("bit")), "bit")
+    rows = _summaries(docs, k).checkpoint()
+    common = docs.sparkSession.sparkContext.broadcast(_common_slots(docs, k))  # 32 MB, see SLOT_BITS
     least = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").withColumnRenamed("digest", "_d")
     equal = rows.join(least, F.col("digest") == F.col("_d")).select(F.col("doc_id").alias("a"), F.col("_first").alias("b")).where("a <> b")
 
     group = W.partitionBy("token")
-    shared = _prefixes(docs, frequent, k, likeness).withColumn("leader", F.min("doc_id").over(group)).withColumn("_n", F.count("*").over(group))
+    shared = _prefixes(docs, common, k, likeness).withColumn("leader", F.min("doc_id").over(group)).withColumn("_n", F.count("*").over(group))
     blocks = shared.where("_n > 1").select("leader", "doc_id").distinct().checkpoint()
     # A block is left out if another, of a smaller leader, has all its members.
     smallest = blocks.groupBy("doc_id").agg(F.min("leader").alias("_m"))
@@ -301,4 +342,3 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(documents(spark, sf_dir))
 
 
-OP9_SQL = None
