@@ -74,9 +74,9 @@ def scatter_mul_int(spark, sf):
     return reduce.scatter_mul(e, dim_size=_customers(spark, sf))
 
 
-@query(f"SELECT idx, round(coalesce(avg(o_totalprice), 0), 4) AS val FROM {LINE} LEFT JOIN orders ON o_custkey = idx GROUP BY idx")
+@query(f"SELECT idx, round(coalesce(avg(o_totalprice), 0), 7) AS val FROM {LINE} LEFT JOIN orders ON o_custkey = idx GROUP BY idx")
 def scatter_mean_float(spark, sf):
-    return rounded(reduce.scatter_mean(T.order_elements(spark, sf), dim_size=_customers(spark, sf)), "val")
+    return rounded(reduce.scatter_mean(T.order_elements(spark, sf), dim_size=_customers(spark, sf)), "val", digits=7)
 
 
 @query(f"SELECT idx, coalesce(floor(sum(o_orderkey % 7 - 3) / count(o_orderkey)::DOUBLE), 0)::BIGINT AS val FROM {LINE} LEFT JOIN orders ON o_custkey = idx GROUP BY idx")
@@ -85,10 +85,10 @@ def scatter_mean_int_floor(spark, sf):
     return reduce.scatter_mean(e, dim_size=_customers(spark, sf))
 
 
-@query("SELECT c_custkey AS idx, round((c_acctbal + coalesce(s, 0)) / greatest(coalesce(n, 1), 1), 4) AS val FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+@query("SELECT c_custkey AS idx, round((c_acctbal + coalesce(s, 0)) / greatest(coalesce(n, 1), 1), 7) AS val FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def scatter_mean_out(spark, sf):
     out = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_acctbal").alias("val"))
-    return rounded(reduce.scatter_mean(T.order_elements(spark, sf), out=out), "val")
+    return rounded(reduce.scatter_mean(T.order_elements(spark, sf), out=out), "val", digits=7)
 
 
 def _arg_sql(direction: str) -> str:
@@ -166,10 +166,10 @@ for _op, _dir in (("min", ""), ("max", "DESC")):
     )(_coo_arg)
 
 
-@query("SELECT c_custkey AS idx, round(coalesce(a, c_acctbal), 4) AS val FROM customer LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS a FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+@query("SELECT c_custkey AS idx, round(coalesce(a, c_acctbal), 7) AS val FROM customer LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS a FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def segment_mean_coo_out(spark, sf):
     out = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_acctbal").alias("val"))
-    return rounded(reduce.segment_mean_coo(T.order_elements(spark, sf), out=out), "val")
+    return rounded(reduce.segment_mean_coo(T.order_elements(spark, sf), out=out), "val", digits=7)
 
 
 TURNS = """t AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) - 1 AS pos, length(text) AS val FROM conversations),
@@ -311,7 +311,7 @@ def grouped_matmul(spark, sf):
     return rounded(linalg.grouped_matmul(_left(spark, sf), _right(spark)), "val")
 
 
-@query(f"WITH l AS ({LEFT}), r AS ({RIGHT}) SELECT grp, i, m, round(sum(l.val * r.val) + m, 4) AS val FROM l JOIN r USING (grp, k) GROUP BY ALL")
+@query(f"WITH l AS ({LEFT}), r AS ({RIGHT}) SELECT grp, i, m, round(sum(l.val * r.val) + m, 4) AS val FROM l JOIN r USING (grp, k) GROUP BY grp, i, m")
 def grouped_matmul_bias(spark, sf):
     bias = _right(spark).select("grp", "m", F.col("m").cast("double").alias("val")).distinct()
     return rounded(linalg.grouped_matmul(_left(spark, sf), _right(spark), bias), "val")
