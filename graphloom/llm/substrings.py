@@ -41,13 +41,13 @@ _ANCHOR = 1 << _ANCHOR_LOG
 #: Windows' starts differ by less than this within a context.
 _REACH = WIDTH - _ANCHOR + 1
 #: Bytes that are looked at together; a longer text is looked at in overlapping pieces.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Contexts that a task gathers before it merges those that are the same.
-GATHER = 1_000_000
+GATHER = 400_000
 #: Anchors with more different contexts are split by windows.
 MANY = 64
 #: Letters whose suffixes are put in order together.
-TOGETHER = 1_500_000
+TOGETHER = 800_000
 
 _U = np.uint64
 
@@ -252,6 +252,8 @@ def repeated_windows(group: np.ndarray, doc: np.ndarray, low: np.ndarray, pieces
 
 def _runs(owner: np.ndarray, window: np.ndarray, doc: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_id, start, stop) of the bytes that runs of neighbouring windows of a context cover."""
+    if not len(owner):
+        return (np.zeros(0, np.int64),) * 3
     sort = np.lexsort((window, owner))
     owner, window = owner[sort], window[sort]
     new = np.ones(len(owner), bool)
@@ -299,7 +301,11 @@ def _sorted_spans(rows: DataFrame) -> DataFrame:
 
 
 def _split_spans(rows: DataFrame) -> DataFrame:
-    """The same by 128-bit names of the windows, so that no anchor's contexts need be together."""
+    """The same by 128-bit names of the windows, so that no anchor's contexts need be together.
+
+    Of windows that are equal within a batch only the earliest is dealt out by
+    its name; the others are repeated for certain, and leave as runs.
+    """
 
     def run(batches):
         for batch in batches:
@@ -310,13 +316,29 @@ def _split_spans(rows: DataFrame) -> DataFrame:
             at = offsets[:-1][owner] + window
             whole = raw.tobytes()
             names = np.frombuffer(b"".join([hashlib.blake2b(whole[a : a + WIDTH], digest_size=16).digest() for a in at.tolist()]), np.int64).reshape(-1, 2)
-            doc, low = batch.column("doc_id").to_numpy()[owner], (batch.column("place").to_numpy() >> 8)[owner] + window
-            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(doc), pa.array(low)], ["a", "b", "doc_id", "start"])
-
-    named = rows.select("doc_id", "place", "bytes").mapInArrow(run, "a long, b long, doc_id long, start long")
+            docs, lows = batch.column("doc_id").to_numpy(), batch.column("place").to_numpy() >> 8
+            doc, start = docs[owner], lows[owner] + window
+            order = np.lexsort((start, doc, names[:, 1], names[:, 0]))
+            same = np.zeros(len(order), bool)
+            same[1:] = (names[order[1:]] == names[order[:-1]]).all(axis=1)
+            head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+            again = order[same & ((doc[order] != doc[head]) | (start[order] != start[head]))]
+            first = order[~same]
+            sure_doc, sure_start, sure_stop = _runs(owner[again], window[again], docs, lows)
+            zeros = np.zeros(len(sure_doc), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([names[first, 0], zeros])), pa.array(np.concatenate([names[first, 1], zeros])), pa.array(np.concatenate([doc[first], sure_doc])),
+                    pa.array(np.concatenate([start[first], sure_start])), pa.array(np.concatenate([start[first] + WIDTH, sure_stop])), pa.array(np.arange(len(first) + len(zeros)) >= len(first)),
+                ],
+                ["a", "b", "doc_id", "start", "stop", "sure"],
+            )
+
+    both = rows.select("doc_id", "place", "bytes").mapInArrow(run, "a long, b long, doc_id long, start long, stop long, sure boolean").checkpoint()
+    named = both.where("not sure")
     first = named.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "first")
     later = named.join(first, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).where("doc_id <> first.doc_id or start <> first.start")
-    return later.select("doc_id", "start", (F.col("start") + WIDTH).alias("stop"))
+    return later.select("doc_id", "start", "stop").unionByName(both.where("sure").select("doc_id", "start", "stop"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
