@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -25,8 +26,8 @@ from .common import documents, ready, spans
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-#: Entries that a worker's tables keep before they are emptied.
-KEEP = 300_000
+#: Entries of a worker's table of fragments; beyond, those of the generation before are dropped.
+KEEP = 400_000
 
 
 def _byte_letters() -> list[str]:
@@ -70,6 +71,8 @@ class PrefixEncoder:
         self._match.make_automaton()
         self._fits: dict[tuple[int, int], bool] = {}
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._whole: dict[str, bytes] = {}
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """(token, rank of the merge that takes it in) along one edge of the token's tree of merges, from the top."""
@@ -114,14 +117,20 @@ class PrefixEncoder:
         """The ids of one piece, by the last token of each prefix."""
         n = len(raw)
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        fits = self.fits
+        known, fits = self._fits, self.fits
         for end, (token, length) in self._match.iter(raw.decode("latin-1")):
             end += 1
             if last[end] >= 0:
                 continue
             start = end - length
-            if start == 0 or (last[start] >= 0 and fits(last[start], token)):
-                last[end], back[end] = token, start
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                good = known.get((before, token))
+                if not (fits(before, token) if good is None else good):
+                    continue
+            last[end], back[end] = token, start
         ids, at = [], n
         while at:
             ids.append(last[at])
@@ -130,35 +139,42 @@ class PrefixEncoder:
 
     def _plain(self, text: str) -> bytes:
         """The ids, 4 bytes each, of a text without special tokens."""
-        out = []
+        out, whole = [], self._whole
         for piece in self._pieces.findall(text):
-            got = self._known.get("\0" + piece)
+            got = whole.get(piece)
             if got is None:
-                got = np.array(self.piece(piece.encode()), dtype=np.uint32).tobytes()
+                got = array("I", self.piece(piece.encode())).tobytes()
                 if len(piece) <= 64:
-                    self._known["\0" + piece] = got
+                    if len(whole) > KEEP:
+                        whole.clear()
+                    whole[piece] = got
             out.append(got)
         return b"".join(out)
 
     def _fragment(self, fragment: str) -> bytes:
         """The ids of a space and what follows it up to the next space."""
-        got = self._known.get(fragment)
+        got = self._older.get(fragment)
         if got is None:
-            if len(self._known) > KEEP:
-                self._known.clear()
             got = self._plain(" " + fragment)
-            if len(fragment) <= 64:
-                self._known[fragment] = got
+        if len(fragment) <= 64:
+            if len(self._known) > KEEP:
+                self._older, self._known = self._known, {}
+            self._known[fragment] = got
         return got
 
     def _ordinary(self, text: str) -> bytes:
         # A space before anything but white space always starts a piece, so a text is cut there.
         fragments = text.split(" ")
-        if any(not x or x[0].isspace() or x[0] in "\x1c\x1d\x1e\x1f\0" for x in fragments[1:]):
+        if any(not x or x[0].isspace() or x[0] in "\x1c\x1d\x1e\x1f" for x in fragments[1:]):
             return self._plain(text)
-        known, out = self._known, [self._plain(fragments[0])] if fragments[0] else []
+        out = [self._plain(fragments[0])] if fragments[0] else []
+        known = self._known
         for x in fragments[1:]:
-            out.append(known[x] if x in known else self._fragment(x))
+            got = known.get(x)
+            if got is None:
+                got = self._fragment(x)
+                known = self._known
+            out.append(got)
         return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
