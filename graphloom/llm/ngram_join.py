@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Iterable
 
@@ -29,21 +30,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected, documents, ready
+from .common import connected, documents, mix, ready
 from .shingles import shingle_sets
 
 #: Numerator and denominator of the least Jaccard likeness.
 LIKENESS = (75, 100)
 #: Bits of the fixed-size map of documents that is sent to all tasks: 2 MB.
 MAP_BITS = 24
-#: Shingles are counted in 2**28 slots, dealt out in ranges; the map of those that are common is 32 MB, whatever the input.
-SLOT_BITS, RANGE_BITS = 28, 9
+#: Shingles are counted in 2**29 slots, dealt out in ranges; the map of those that are common is 64 MB, whatever the input.
+SLOT_BITS, RANGE_BITS = 29, 10
 #: Counts from which on a slot may be called common; the first is taken that calls less than this share of all shingles so.
 COMMON_FROM, MOST_COMMON = (2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 255), 0.65
-#: Shingles that a task gathers before it sends their slots on.
-GATHER = 4_000_000
-#: Shingles in a chunk of a block: 2 MB.
-CHUNK = 1 << 18
+#: Shingles that a task gathers before it sends their slots on; tasks, and then counts, that are merged together.
+GATHER, MERGE = 4_000_000, 256
+#: Shingles in a chunk of a block: 8 MB.
+CHUNK = 1 << 20
+#: A prefix is longer by one element for so many: what is linked shares as many elements of such prefixes.
+LONGER = 20
 
 
 def least_share(n: int, likeness=LIKENESS) -> int:
@@ -52,49 +55,74 @@ def least_share(n: int, likeness=LIKENESS) -> int:
     return -(-n * a // b)
 
 
+def longer(n: int) -> int:
+    """By how many elements, less one, the prefix of a set of n is longer than it must be to share one with any set like it."""
+    return max(1, n // LONGER)
+
+
 def linked(shared: int, m: int, n: int, likeness=LIKENESS) -> bool:
     a, b = likeness
     return b * shared >= a * (m + n - shared)
 
 
 class OccurrenceIndex:
-    """Inverted lists of a collection of sets; finds the sets that share enough elements with a query."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = [len(s) for s in sets]
-        self.lists: dict[int, list[int]] = {}
-        for i, s in enumerate(sets):
-            for element in s.tolist():
-                self.lists.setdefault(element, []).append(i)
-
-    def search(self, query: np.ndarray, likeness=LIKENESS) -> list[int]:
-        """The numbers of the sets like the query, by DivideSkip."""
-        n = len(query)
+    """Inverted lists of a collection of sets; finds the sets that share enough elements with a query.
+
+    `sizes` are the sets' true sizes, where elements that no other set has were left out.
+    """
+
+    def __init__(self, sets: list[np.ndarray], sizes: list[int] | None = None):
+        self.sizes = [len(s) for s in sets] if sizes is None else list(sizes)
+        elements = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(elements, kind="stable")
+        members = np.repeat(np.arange(len(sets), dtype=np.int64), [len(s) for s in sets])[order]
+        names, starts = np.unique(elements[order], return_index=True)
+        starts = np.append(starts, len(elements))
+        # An element of one set alone can only be found by that set.
+        self._names, self._low, self._high = names, starts[:-1], starts[1:]
+        self._members = members.tolist()
+
+    def search(self, query: np.ndarray, size: int | None = None, likeness=LIKENESS) -> list[int]:
+        """The numbers of the sets like the query (of the given true size), by DivideSkip."""
+        n = len(query) if size is None else size
         needed = least_share(n, likeness)
-        lists = sorted((self.lists[e] for e in query.tolist() if e in self.lists), key=len)
-        if n == 0 or len(lists) < needed:
+        if n == 0 or len(query) < needed or not len(self._names):
+            return []
+        at = np.minimum(np.searchsorted(self._names, query), len(self._names) - 1)
+        at = at[self._names[at] == query]
+        if len(at) < needed:
             return []
+        low, high = self._low[at], self._high[at]
+        by_length = np.argsort(high - low, kind="stable")
+        low, high, members = low[by_length].tolist(), high[by_length].tolist(), self._members
         # The longest lists are only probed: so many that a set must still occur in the others.
-        longest = len(lists[-1])
-        aside = min(needed - 1, int(needed / (0.0085 * np.log2(longest + 1) + 1)))
-        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        aside = min(needed - 1, int(needed / (0.0085 * math.log2(high[-1] - low[-1] + 1) + 1)))
+        cut = len(low) - aside
         found, sizes = [], self.sizes
-        for i, count in _merged_counts(short):
-            if count < needed - aside:
-                continue
-            if sizes[i] * likeness[1] < n * likeness[0] or n * likeness[1] < sizes[i] * likeness[0]:
+        for i, count in _merged_counts([members[a:b] for a, b in zip(low[:cut], high[:cut])]):
+            m = sizes[i]
+            if count < needed - aside or m * likeness[1] < n * likeness[0] or n * likeness[1] < m * likeness[0]:
                 continue
-            for ids in long:
-                at = bisect_left(ids, i)
-                if at < len(ids) and ids[at] == i:
+            left = aside
+            for a, b in zip(low[cut:], high[cut:]):
+                k = bisect_left(members, i, a, b)
+                left -= 1
+                if k < b and members[k] == i:
                     count += 1
-            if linked(count, n, sizes[i], likeness):
+                elif not linked(count + left, n, m, likeness):
+                    break  # even all lists that are left aren't enough
+            if linked(count, n, m, likeness):
                 found.append(i)
         return found
 
 
 def _merged_counts(lists: list[list[int]]) -> Iterable[tuple[int, int]]:
-    """(number, in how many of the ascending lists it is), by merging them with a heap."""
+    """(number, in how many of the ascending lists it is), by merging them: with a heap, or by counting where they are long in all."""
+    if sum(map(len, lists)) > 2000:
+        counts = np.bincount(np.concatenate([np.array(x) for x in lists]))
+        there = np.flatnonzero(counts)
+        yield from zip(there.tolist(), counts[there].tolist())
+        return
     last, count = -1, 0
     for i in heapq.merge(*lists):
         if i == last:
@@ -125,100 +153,131 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _summaries(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, digest) of all documents."""
-
-    def run(batches):
-        for batch in batches:
-            sets = shingle_sets(batch.column("text"), k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], ["doc_id", "n", "digest"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary")
-
-
-def _common_slots(docs: DataFrame, k: int) -> np.ndarray:
-    """A map of the slots (a shingle's first 28 bits) that more than one shingle of all texts falls in.
+def _survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, bool]:
+    """(rows (doc_id, n, digest), a map of the slots that are common, whether that has all slots of two shingles or more).
 
-    All shingles of all texts count. Each task sends the slots of its shingles,
-    sorted, as compressed differences, about a byte for each; each range of
-    slots is counted by itself. Where there are so many shingles that most slots
-    have several, the map has those with the higher counts.
+    A slot is a shingle's first 29 bits. All shingles of all texts count. Each
+    task sends the slots of its shingles, sorted, as compressed differences,
+    about a byte for each. Each range of slots is counted by itself, first for
+    MERGE tasks together and then for MERGE such counts, so that no group grows
+    with the input. Where there are so many shingles that most slots have
+    several, the map has those with the higher counts. One pass over the texts.
     """
     inner = SLOT_BITS - RANGE_BITS
+    salts = -(-docs.rdd.getNumPartitions() // MERGE)
+    sent = ["range", "salt", "slots", "doc_id", "n", "digest"]
 
     def gather(batches):
+        from pyspark import TaskContext
+
+        salt = TaskContext.get().partitionId() // MERGE
+
         def send(parts):
             slots = np.sort(np.concatenate(parts))
             at = np.searchsorted(slots, np.arange((1 << RANGE_BITS) + 1, dtype=np.uint64) << np.uint64(inner))
             pack = zstandard.ZstdCompressor(level=1)
             full = [r for r in range(1 << RANGE_BITS) if at[r + 1] > at[r]]
             packed = [pack.compress(np.diff(slots[at[r] : at[r + 1]], prepend=np.uint64(r << inner)).astype(np.uint32).tobytes()) for r in full]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], ["range", "slots"])
+            m = len(full)
+            none = pa.nulls(m, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([salt] * m, pa.int32()), pa.array(packed, pa.binary()), none, none, pa.nulls(m, pa.binary())], sent)
 
-        parts, n = [], 0
+        parts, held = [], 0
         for batch in batches:
-            for s in shingle_sets(batch.column("text"), k):
+            sets, ids = shingle_sets(batch.column("text"), k), batch.column("doc_id")
+            # documents travel with the ranges, evenly
+            group = (mix(ids.to_numpy().astype(np.uint64)) >> np.uint64(64 - RANGE_BITS)).astype(np.int32)
+            m = len(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array([salt] * m, pa.int32()), pa.nulls(m, pa.binary()), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], sent)
+            for s in sets:
                 if len(s):
                     parts.append(s >> np.uint64(64 - SLOT_BITS))
-                    n += len(s)
-            if n > GATHER:
+                    held += len(s)
+            if held > GATHER:
                 yield send(parts)
-                parts, n = [], 0
+                parts, held = [], 0
         if parts:
             yield send(parts)
 
+    def counted(key, counts, docs):
+        """A row with the counts up to 255, and the documents' rows."""
+        d = len(docs)
+        pack = zstandard.ZstdCompressor(level=1)
+        return pa.table({
+            "range": pa.array([key[0].as_py()] + [None] * d, pa.int32()), "salt": pa.array([key[1].as_py()] + [None] * d, pa.int32()),
+            "counts": pa.array([pack.compress(np.minimum(counts, 255).astype(np.uint8).tobytes())] + [None] * d, pa.binary()),
+            "doc_id": pa.array([None, *docs["doc_id"].to_pylist()], pa.int64()), "n": pa.array([None, *docs["n"].to_pylist()], pa.int64()), "digest": pa.array([None, *docs["digest"].to_pylist()], pa.binary()),
+        })
+
     def count(key, table):
         unpack = zstandard.ZstdDecompressor()
         counts = np.zeros(1 << inner, np.int64)
-        for packed in table["slots"].to_pylist():
+        for packed in table["slots"].drop_null().to_pylist():
             counts += np.bincount(np.cumsum(np.frombuffer(unpack.decompress(packed), np.uint32).astype(np.int64)), minlength=1 << inner)
-        pack = zstandard.ZstdCompressor(level=1)
-        maps = [counts >= c for c in COMMON_FROM]
-        return pa.table({
-            "range": pa.array([key[0].as_py()] * len(maps), pa.int32()),
-            "from": pa.array(COMMON_FROM, pa.int32()),
-            "mass": pa.array([int(counts[m].sum()) for m in maps], pa.int64()),
-            "total": pa.array([int(counts.sum())] * len(maps), pa.int64()),
-            "bits": pa.array([pack.compress(np.packbits(m, bitorder="little").tobytes()) for m in maps], pa.binary()),
-        })
-
-    maps = docs.mapInArrow(gather, "range int, slots binary").groupBy("range").applyInArrow(count, "range int, from int, mass long, total long, bits binary").checkpoint()
+        return counted(key, counts, table.filter(table["doc_id"].is_valid()))
+
+    def merge(key, table):
+        unpack = zstandard.ZstdDecompressor()
+        counts = np.zeros(1 << inner, np.int64)
+        for packed in table["counts"].to_pylist():
+            counts += np.frombuffer(unpack.decompress(packed), np.uint8)
+        return counted(key, counts, table.slice(0, 0))
+
+    def choose(batches):
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for r, packed in zip(batch.column("range").to_pylist(), batch.column("counts").to_pylist()):
+                counts = np.frombuffer(unpack.decompress(packed), np.uint8)
+                maps = [counts >= c for c in COMMON_FROM]
+                m = len(maps)
+                mass = [int(counts[x].sum()) for x in maps]
+                bits = [pack.compress(np.packbits(x, bitorder="little").tobytes()) for x in maps]
+                yield pa.RecordBatch.from_arrays([pa.array([r] * m, pa.int32()), pa.array(COMMON_FROM, pa.int32()), pa.array(mass, pa.int64()), pa.array([int(counts.sum())] * m, pa.int64()), pa.array(bits, pa.binary())], ["range", "from", "mass", "total", "bits"])
+
+    schema = "range int, salt int, counts binary, doc_id long, n long, digest binary"
+    both = docs.mapInArrow(gather, "range int, salt int, slots binary, doc_id long, n long, digest binary").groupBy("range", "salt").applyInArrow(count, schema).checkpoint()
+    counts = both.where("doc_id is null")
+    while salts > 1:
+        salts = -(-salts // MERGE)
+        counts = counts.select("range", F.floor(F.col("salt") / MERGE).cast("int").alias("salt"), "counts", "doc_id", "n", "digest").groupBy("range", "salt").applyInArrow(merge, schema)
+    maps = counts.select("range", "counts").mapInArrow(choose, "range int, from int, mass long, total long, bits binary")
     masses = {r["from"]: (r["mass"], r["total"]) for r in maps.groupBy("from").agg(F.sum("mass").alias("mass"), F.sum("total").alias("total")).collect()}
-    out = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
+    out, chosen = np.zeros(1 << (SLOT_BITS - 3), np.uint8), COMMON_FROM[0]
     if masses:
         chosen = next((c for c in COMMON_FROM if masses[c][0] <= MOST_COMMON * masses[c][1]), COMMON_FROM[-1])
         unpack, width = zstandard.ZstdDecompressor(), 1 << (inner - 3)
-        table = maps.where(F.col("from") == chosen).select("range", "bits").toArrow()  # at most 512 rows, 32 MB before compression
+        table = maps.where(F.col("from") == chosen).select("range", "bits").toArrow()  # at most 1,024 rows, 64 MB before compression
         for r, bits in zip(table["range"].to_pylist(), table["bits"].to_pylist()):
             out[r * width : (r + 1) * width] = np.frombuffer(unpack.decompress(bits), np.uint8)
-    return out.view(np.uint64)
+    return both.where("doc_id is not null").select("doc_id", "n", "digest"), out.view(np.uint64), chosen == 2
 
 
 def _prefixes(docs: DataFrame, common, k: int, likeness) -> DataFrame:
-    """(token, doc_id): each set's first elements in the order in which common ones are last. Of equal sets in a task the first stands for all."""
+    """(token, doc_id, needs): each set's first elements in the order in which common ones are last. Of equal sets in a task the first stands for all."""
     def run(batches):
         bits = common.value
         seen: set[bytes] = set()
         for batch in batches:
-            ids, tokens = [], []
+            ids, tokens, needs = [], [], []
             for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), k)):
                 if not len(s) or (d := _digest(s)) in seen:
                     continue
                 seen.add(d)
                 many = _has(bits, s >> np.uint64(64 - SLOT_BITS))
-                first = np.concatenate([s[~many], s[many]])[: len(s) - least_share(len(s), likeness) + 1]
+                first = np.concatenate([s[~many], s[many]])[: len(s) - least_share(len(s), likeness) + longer(len(s))]
                 tokens.append(first)
                 ids.append(np.full(len(first), i, np.int64))
+                needs.append(np.full(len(first), longer(least_share(len(s), likeness)), np.int32))
             if len(seen) > 1_000_000:
                 seen.clear()
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids))], ["token", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(needs))], ["token", "doc_id", "needs"])
 
-    return docs.mapInArrow(run, "token long, doc_id long")
+    return docs.mapInArrow(run, "token long, doc_id long, needs int")
 
 
-def _sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
-    """(doc_id, n, elements) of the documents whose bit is set."""
+def _sets(docs: DataFrame, wanted: np.ndarray, common, only_common: bool, k: int) -> DataFrame:
+    """(doc_id, n, elements) of the documents whose bit is set; with only_common, without the elements that no other set has."""
 
     def run(batches):
         for batch in batches:
@@ -227,14 +286,17 @@ def _sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
                 continue
             batch = batch.take(pa.array(mine))
             sets = shingle_sets(batch.column("text"), k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "elements"])
+            sizes = [len(s) for s in sets]
+            if only_common:
+                sets = [s[_has(common.value, s >> np.uint64(64 - SLOT_BITS))] for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "elements"])
 
     bit = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS).alias("bit")
     return docs.select("doc_id", "text", bit).mapInArrow(run, "doc_id long, n long, elements binary")
 
 
 def _search_chunks(rows: DataFrame, likeness) -> DataFrame:
-    """(leader, a, b, open) for each chunk of rows (leader, chunk, chunks, doc_id, elements, query).
+    """(block, a, b, open) for each chunk of rows (block, chunk, chunks, doc_id, n, elements, query).
 
     Rows with `query` look for the others. Where a chunk is a whole block, what the
     leader doesn't reach is searched for too; else it is returned as open.
@@ -243,14 +305,15 @@ def _search_chunks(rows: DataFrame, likeness) -> DataFrame:
     def run(key, table):
         ids, query = table["doc_id"].to_numpy(), table["query"].to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in table["elements"].to_pylist()]
-        leader, whole = key[0].as_py(), table["chunks"][0].as_py() == 1
+        block, whole = key[0].as_py(), table["chunks"][0].as_py() == 1
         # a document that asks here and also belongs to the chunk is there twice; as a member it is listed once
         members = [i for i in range(len(ids)) if query[i] != 2]
-        index = OccurrenceIndex([sets[i] for i in members])
+        sizes = table["n"].to_pylist()
+        index = OccurrenceIndex([sets[i] for i in members], [sizes[i] for i in members])
         left, right, reached = [], [], set()
         for i in range(len(ids)):
             if query[i]:
-                for j in index.search(sets[i], likeness):
+                for j in index.search(sets[i], sizes[i], likeness):
                     if ids[members[j]] != ids[i]:
                         left.append(int(ids[i]))
                         right.append(int(ids[members[j]]))
@@ -259,7 +322,7 @@ def _search_chunks(rows: DataFrame, likeness) -> DataFrame:
         state = [False] * len(left)
         if whole:
             for i in open_:
-                for j in index.search(sets[i], likeness):
+                for j in index.search(sets[i], sizes[i], likeness):
                     if members[j] != i:
                         left.append(int(ids[i]))
                         right.append(int(ids[members[j]]))
@@ -268,9 +331,9 @@ def _search_chunks(rows: DataFrame, likeness) -> DataFrame:
             left += [int(ids[i]) for i in open_]
             right += [int(ids[i]) for i in open_]
             state += [True] * len(open_)
-        return pa.table({"leader": pa.array([leader] * len(left), pa.int64()), "a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64()), "open": pa.array(state, pa.bool_())})
+        return pa.table({"block": pa.array([block] * len(left), pa.int64()), "a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64()), "open": pa.array(state, pa.bool_())})
 
-    return rows.groupBy("leader", "chunk").applyInArrow(run, "leader long, a long, b long, open boolean")
+    return rows.groupBy("block", "chunk").applyInArrow(run, "block long, a long, b long, open boolean")
 
 
 def links(docs: DataFrame, k: int = 5, likeness=LIKENESS) -> tuple[DataFrame, DataFrame]:
@@ -279,38 +342,48 @@ def links(docs: DataFrame, k: int = 5, likeness=LIKENESS) -> tuple[DataFrame, Da
     `docs` has doc_id and text without nulls.
     """
     ready(docs.sparkSession)
-    rows = _summaries(docs, k).checkpoint()
-    common = docs.sparkSession.sparkContext.broadcast(_common_slots(docs, k))  # 32 MB, see SLOT_BITS
+    rows, bits, complete = _survey(docs, k)
+    common = docs.sparkSession.sparkContext.broadcast(bits)  # 64 MB, see SLOT_BITS
     least = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").withColumnRenamed("digest", "_d")
     equal = rows.join(least, F.col("digest") == F.col("_d")).select(F.col("doc_id").alias("a"), F.col("_first").alias("b")).where("a <> b")
 
     group = W.partitionBy("token")
     shared = _prefixes(docs, common, k, likeness).withColumn("leader", F.min("doc_id").over(group)).withColumn("_n", F.count("*").over(group))
-    blocks = shared.where("_n > 1").select("leader", "doc_id").distinct().checkpoint()
-    # A block is left out if another, of a smaller leader, has all its members.
-    smallest = blocks.groupBy("doc_id").agg(F.min("leader").alias("_m"))
-    inside = blocks.join(smallest, "doc_id").groupBy("leader").agg(F.min("_m").alias("lo"), F.max("_m").alias("hi")).where("lo = hi and lo < leader").select("leader")
-    blocks = blocks.join(inside, "leader", "left_anti")
+    blocks = shared.where("_n > 1").groupBy("leader", "doc_id", "needs").agg(F.count("*").alias("_c"))
+    enough = blocks.groupBy("doc_id", "needs").agg(F.sum("_c").alias("_c")).where("_c >= needs").select(F.col("doc_id").alias("_id"))
+    blocks = blocks.join(enough, F.col("doc_id") == F.col("_id"), "left_semi")
+    # Each set leaves the blocks with which it shares least, as long as these are fewer than half of the elements that it
+    # needs: whatever two sets that are like each other leave, they still share one in a block that both are in.
+    least_first = W.partitionBy("doc_id", "needs").orderBy("_c", "leader").rowsBetween(W.unboundedPreceding, 0)
+    blocks = blocks.withColumn("_left", F.sum("_c").over(least_first)).where(F.col("_left") > F.floor((F.col("needs") - 1) / 2))
+    blocks = blocks.select(F.col("leader").alias("block"), "doc_id")
+    # Of sets that are the same the smallest document stands for all.
+    alone = rows.groupBy("doc_id").agg(F.count("*").alias("_n"), F.first("digest").alias("_own")).where("_n = 1")
+    others = alone.join(least.drop("_n"), F.col("_own") == F.col("_d")).where("doc_id <> _first").select(F.col("doc_id").alias("_a"), F.col("_first").alias("_b"))
+    blocks = blocks.join(others, F.col("doc_id") == F.col("_a"), "left").select("block", F.coalesce("_b", "doc_id").alias("doc_id")).distinct().checkpoint()
+    # A block is left out if another, of a smaller number, has all its members.
+    smallest = blocks.groupBy("doc_id").agg(F.min("block").alias("_m"))
+    inside = blocks.join(smallest, "doc_id").groupBy("block").agg(F.min("_m").alias("lo"), F.max("_m").alias("hi"), F.count("*").alias("n")).where("n = 1 or lo = hi and lo < block").select("block")
+    blocks = blocks.join(inside, "block", "left_anti")
+    sizes = blocks.join(rows.select("doc_id", "n"), "doc_id").groupBy("block").agg(F.sum("n").alias("_total"), F.min("doc_id").alias("leader"))
+    sizes = sizes.select(F.col("block").alias("_l"), "leader", F.ceil(F.col("_total") / F.lit(CHUNK)).cast("int").alias("chunks"))
+    blocks = blocks.join(sizes, F.col("block") == F.col("_l")).select("block", "leader", "chunks", "doc_id").checkpoint()
     wanted = _bit_map(blocks.select(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS).alias("bit")).distinct(), "bit")
-    sets = _sets(docs, wanted, k)
-    full = blocks.join(sets, "doc_id")
-    sizes = blocks.join(rows.select("doc_id", "n"), "doc_id").groupBy("leader").agg(F.sum("n").alias("_total"))
-    sizes = sizes.select(F.col("leader").alias("_l"), F.ceil(F.col("_total") / F.lit(CHUNK)).cast("int").alias("chunks")).checkpoint()
-    full = full.join(sizes, F.col("leader") == F.col("_l")).drop("_l")
+    full = blocks.join(_sets(docs, wanted, common, complete, k), "doc_id")
     is_leader = F.col("doc_id") == F.col("leader")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     own = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     # The leader asks in all chunks; it is a member of one of them, which changes nothing.
     members = full.withColumn("chunk", F.explode(F.when(is_leader, every).otherwise(F.array(own)))).withColumn("query", F.when(is_leader, 1).otherwise(0))
-    members = members.select("leader", "chunk", "chunks", "doc_id", "elements", "query")
+    members = members.select("block", "chunk", "chunks", "doc_id", "n", "elements", "query")
     found = _search_chunks(members, likeness).checkpoint()
     edges = found.where("not open").select("a", "b")
-    if not sizes.where("chunks > 1").isEmpty():
+    if not blocks.where("chunks > 1").isEmpty():
         # What the leaders of cut blocks didn't reach asks in all chunks of the block.
-        asking = found.where("open").select(F.col("leader").alias("_l"), F.col("a").alias("_a")).distinct()
+        asking = found.where("open").select(F.col("block").alias("_l"), F.col("a").alias("_a")).distinct()
         cut = members.where("chunks > 1 and query = 0")
-        again = cut.join(asking, (F.col("leader") == F.col("_l")) & (F.col("doc_id") == F.col("_a")))
-        again = again.withColumn("chunk", F.explode(every)).withColumn("query", F.lit(2)).select("leader", "chunk", "chunks", "doc_id", "elements", "query")
+        again = cut.join(asking, (F.col("block") == F.col("_l")) & (F.col("doc_id") == F.col("_a")))
+        again = again.withColumn("chunk", F.explode(every)).withColumn("query", F.lit(2)).select("block", "chunk", "chunks", "doc_id", "n", "elements", "query")
         more = _search_chunks(cut.unionByName(again), likeness).where("not open").select("a", "b")
         edges = edges.unionByName(more)
     return edges.unionByName(equal), rows
