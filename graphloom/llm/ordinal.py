@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import ready
 
 #: Labelled rows that a model is fitted on, about; and how clearly a kept feature must differ (chi-squared).
-SAMPLE_ROWS, LEAST_CHI2, LEAST_ROWS = 12_000, 24.0, 6
+SAMPLE_ROWS, LEAST_CHI2, LEAST_ROWS = 9_000, 24.0, 6
 #: Words whose features a worker remembers.
 KEEP = 400_000
 
@@ -152,12 +152,12 @@ def sample_features(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPL
 
     def run(batches):
         for batch in batches:
-            found = [text_features(x or "") for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([_hash(x or "") for x in batch.column("text").to_pylist()], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["grade", "text", "features"])
+            found = [np.array(text_features(x or ""), np.uint32).view(np.int32) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([_hash(x or "") for x in batch.column("text").to_pylist()], pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["grade", "text", "features"])
 
     # about sample_rows ids, which is a bound whatever the tables' sizes
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("grade", "text")
-    table = labelled.mapInArrow(run, "grade int, text long, features array<long>").toArrow()
+    table = labelled.mapInArrow(run, "grade int, text long, features array<int>").toArrow()
     grades, texts = table["grade"].to_numpy(), table["text"].to_numpy()
     lists = table["features"].combine_chunks()
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
@@ -167,8 +167,8 @@ def sample_features(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPL
     first[1:] = texts[order][1:] != texts[order][:-1]
     use = np.sort(order[first]) if len(order) else order
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    rows = np.repeat(np.arange(len(use)), sizes[use])
-    feats = np.concatenate([flat[starts[i] : starts[i + 1]] for i in use]) if len(use) else np.zeros(0, np.int64)
+    rows = np.repeat(np.arange(len(use), dtype=np.int32), sizes[use])
+    feats = np.concatenate([flat[starts[i] : starts[i + 1]] for i in use]).view(np.uint32) if len(use) else np.zeros(0, np.uint32)
     return rows, feats, grades[use].astype(np.int64)
 
 
