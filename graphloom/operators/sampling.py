@@ -265,10 +265,8 @@ def budget_sample(edges: dict[tuple[str, str, str], DataFrame], seeds: dict[str,
             before = F.coalesce(F.sum("deg").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
             share = (F.col("budget") - before) / (n - F.row_number().over(along) + 1)
             shared = degree.withColumn("_share", share).withColumn("_left", F.col("budget") - before).withColumn("_r", n - F.row_number().over(along) + 1)
-            cut = F.min(F.when(F.col("deg") > F.col("_share"), F.struct("_r", "_left"))).over(W.partitionBy("batch", "path"))
-            first = F.max(F.when(F.col("deg") > F.col("_share"), F.struct("_r", "_left"))).over(W.partitionBy("batch", "path"))
-            del cut
-            shared = shared.withColumn("_cut", first)
+            cut = F.max(F.when(F.col("deg") > F.col("_share"), F.struct("_r", "_left"))).over(W.partitionBy("batch", "path"))
+            shared = shared.withColumn("_cut", cut)
             # from the first node that is cut on, the rest share evenly; the earliest of them take the remainder
             place = F.col("_cut._r") - F.col("_r")
             even = F.floor(F.col("_cut._left") / F.col("_cut._r"))

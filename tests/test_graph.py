@@ -233,7 +233,10 @@ def test_matching(spark):
     assert matched(spark, 4, two) == {0: 0, 1: 0, 2: 2, 3: 2}
     path = [(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2)]
     got = matched(spark, 4, path)
-    assert all(got[a] == got[b] or [got[a], got[b]].count(a) + [got[a], got[b]].count(b) < 2 for a, b in path)
+    size = {c: list(got.values()).count(c) for c in got.values()}
+    assert max(size.values()) == 2 and all(c == min(n for n in got if got[n] == c) for c in got.values())
+    assert all(abs(a - b) == 1 for a in got for b in got if a != b and got[a] == got[b])
+    assert not any(size[got[a]] == size[got[b]] == 1 for a, b in path)
     star = [(0, k) for k in range(1, 5)] + [(k, 0) for k in range(1, 5)]
     got = matched(spark, 5, star, {(0, 1): 100, (1, 0): 100})
     assert got[0] == got[1] == 0 and [got[k] for k in (2, 3, 4)] == [2, 3, 4]

@@ -56,11 +56,14 @@ def test_whole_numbers(spark):
     assert values(reduce.scatter_mul(e)) == [0, 3]
 
 
-def test_nan_and_infinity_never_win(spark):
+def test_nan_and_the_worst_infinity_never_win(spark):
     e = elements(spark, [0, 0, 1, 2], [math.nan, 2.0, math.nan, math.inf])
     low = reduce.scatter_min(e)
     assert values(low) == [2.0, 0.0, 0.0] and values(low, column="arg") == [1, 4, 4]
-    assert values(reduce.scatter_max(e)) == [2.0, 0.0, 0.0]
+    # +inf is a maximum like any other; -inf never is
+    assert values(reduce.scatter_max(e)) == [2.0, 0.0, math.inf]
+    low = reduce.scatter_max(elements(spark, [0, 1], [-math.inf, -3.0]))
+    assert values(low) == [0.0, -3.0] and values(low, column="arg") == [2, 1]
 
 
 def test_empty_input(spark):
