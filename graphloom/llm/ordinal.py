@@ -101,12 +101,21 @@ def select_features(rows: np.ndarray, features: np.ndarray, high: np.ndarray, le
     return names[(chi2 >= least_chi2) & (total >= least_rows)]
 
 
+def among(kept: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which features are kept ones, and these features' places in kept). kept: ascending. Needs little memory."""
+    if not len(kept):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(kept, features), len(kept) - 1)
+    mine = np.flatnonzero(kept[at] == features)
+    return mine, at[mine]
+
+
 def fit(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, *, kept: np.ndarray, rounds: int = 500, ridge: float = 1e-5, step: float = 0.15) -> CumulativeLink:
     """Fits shared weights and ordered thresholds by full-batch Adam. Rows of rare grades count more."""
     k = max(2, int(grades.max(initial=0)) + 1)
     n = len(grades)
-    mine = np.isin(features, kept)
-    r, c = rows[mine], np.searchsorted(kept, features[mine])
+    mine, c = among(kept, features)
+    r = rows[mine]
     counts = np.maximum(np.bincount(grades, minlength=k), 1)
     weight = np.sqrt(n / (k * counts))[grades]
     weight = weight / max(weight.sum(), 1e-9)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, labels
-from .ordinal import SAMPLE_ROWS, CumulativeLink, fit, sample_features, score_all, select_features
+from .ordinal import SAMPLE_ROWS, CumulativeLink, among, fit, sample_features, score_all, select_features
 
 #: A document is rejected from this probability of grade 1 or more on.
 REJECT = 0.5
@@ -25,10 +25,10 @@ def train(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS)
     if not high.any() or high.all():
         return CumulativeLink({}, [6.0, 8.0] if not high.any() else [-6.0, 6.0])
     kept = select_features(rows, features, high)
-    share_high = np.bincount(np.searchsorted(kept, features[m := np.isin(features, kept)]), weights=high[rows[m]], minlength=len(kept))
-    share = share_high / np.maximum(np.bincount(np.searchsorted(kept, features[m]), minlength=len(kept)), 1)
-    marks = kept[share > 0.8]
-    n_marks = np.bincount(rows[np.isin(features, marks)], minlength=len(high))
+    mine, place = among(kept, features)
+    share = np.bincount(place, weights=high[rows[mine]], minlength=len(kept)) / np.maximum(np.bincount(place, minlength=len(kept)), 1)
+    marking = share > 0.8
+    n_marks = np.bincount(rows[mine[marking[place]]], minlength=len(high))
     grades = high.astype(np.int64) + (high & (n_marks > np.median(n_marks[high])))
     if grades.max() < 2:
         grades[np.flatnonzero(high)[:1]] = 2
