@@ -188,10 +188,13 @@ def _seeds(spark, time: bool = False) -> DataFrame:
     return s.withColumn("time", F.col("pos") * 4 + 15) if time else s
 
 
-def _hops_sql(fanouts: list[int], *, disjoint=False, first: str = "", keep: str = "", csc: bool = False, draws: bool = False, result: str = "edges") -> str:
-    """SQL of neighbour sampling on the ring: a chain of hops. first: the order in which a node's edges are taken."""
+def _hops_sql(fanouts: list[int], *, disjoint=False, first: str = "", keep: str = "", csc: bool = False, draws: bool = False, result: str = "edges", every: bool = False) -> str:
+    """SQL of neighbour sampling on the ring: a chain of hops. first: the order in which a node's edges are taken. every: each node is a seed, with nodes of its own."""
     batch = "s.i" if disjoint else "0"
-    parts = [RING, f"n0 AS (SELECT {batch}::BIGINT AS batch, (s.i * 11 + 3)::BIGINT AS node, s.i::BIGINT AS local_id, 0 AS hop, s.i * 4 + 15 AS root FROM (SELECT unnest(range(8)) AS i) s)"]
+    if every:
+        parts = [RING, "n0 AS (SELECT vec_id AS batch, vec_id AS node, vec_id AS local_id, 0 AS hop, vec_id % 8 * 4 + 15 AS root FROM embeddings)"]
+    else:
+        parts = [RING, f"n0 AS (SELECT {batch}::BIGINT AS batch, (s.i * 11 + 3)::BIGINT AS node, s.i::BIGINT AS local_id, 0 AS hop, s.i * 4 + 15 AS root FROM (SELECT unnest(range(8)) AS i) s)"]
     for h, count in enumerate(fanouts, 1):
         prev = f"n{h - 1}"
         parts.append(f"p{h} AS (SELECT f.batch, f.node, f.local_id AS row, e.dst, e.edge_id, e.etime, e.weight, f.root FROM {prev} f JOIN ring e ON e.src = f.node WHERE f.hop = {h - 1}{keep})")
@@ -301,10 +304,10 @@ def _hetero(spark, sf) -> dict:
     return {PLACES: T.customer_orders(spark, sf), CONTAINS: _dense_edges(spark, sf, "l_orderkey", "l_partkey"), SUPPLIED: _dense_edges(spark, sf, "l_partkey", "l_suppkey")}
 
 
-def _hetero_sql(first: str | None, count: int, keep: str = "") -> str:
+def _hetero_sql(first: str | None, count: int, keep: str = "", customers: str = "o_custkey < 6") -> str:
     cut = f"WHERE rk <= {count}" if first else ""
     return f"""WITH c AS (SELECT (row_number() OVER (ORDER BY l_orderkey, l_partkey) - 1)::BIGINT AS edge_id, l_orderkey AS src, l_partkey AS dst FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)),
-  k1 AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY edge_id) AS pick FROM (SELECT o_custkey AS row, o_orderkey AS dst, o_orderkey AS edge_id, row_number() OVER (PARTITION BY o_custkey ORDER BY {first or 'o_orderkey'}) AS rk FROM orders WHERE o_custkey < 6{keep}) {cut}),
+  k1 AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY edge_id) AS pick FROM (SELECT o_custkey AS row, o_orderkey AS dst, o_orderkey AS edge_id, row_number() OVER (PARTITION BY o_custkey ORDER BY {first or 'o_orderkey'}) AS rk FROM orders WHERE {customers}{keep}) {cut}),
   n1 AS (SELECT dst AS node, row_number() OVER (ORDER BY o) - 1 AS local_id FROM (SELECT dst, min(row * 1000000 + pick) AS o FROM k1 GROUP BY 1)),
   k2 AS (SELECT n1.local_id AS row, c.dst, c.edge_id, row_number() OVER (PARTITION BY n1.local_id ORDER BY c.edge_id) AS pick FROM n1 JOIN c ON c.src = n1.node),
   n2 AS (SELECT dst AS node, row_number() OVER (ORDER BY o) - 1 AS local_id FROM (SELECT dst, min(row * 1000000 + pick) AS o FROM k2 GROUP BY 1))
@@ -328,17 +331,23 @@ def hetero_full(spark, sf):
     return s.edges.select("etype", "row", "col", "edge_id", "hop")
 
 
-@query(_hetero_sql("o_orderdate DESC, o_orderkey DESC", 2, " AND o_orderdate <= TIMESTAMP '1998-01-01'"))
-def hetero_temporal(spark, sf):
+def _temporal(spark, sf, seeds: dict) -> DataFrame:
     # batches are seeds, and each order has one customer, so that batches don't meet
     g = _two(spark, sf)
-    s = sampling.hetero_neighbor_sample({PLACES: g[PLACES]}, _six(spark, "1998-01-01 00:00:00"), {PLACES: [2]}, disjoint=True, strategy="last", edge_time="etime")
+    s = sampling.hetero_neighbor_sample({PLACES: g[PLACES]}, seeds, {PLACES: [2]}, disjoint=True, strategy="last", edge_time="etime")
     orders = s.nodes.where("ntype = 'order'").select(F.col("local_id").alias("pos"), "node")
-    parts = sampling.neighbor_sample(g[CONTAINS], orders, [-1])
+    # parts get negative numbers, since one with an order's number isn't that order
+    contains = g[CONTAINS].withColumn("dst", -F.col("dst") - 1)
+    parts = sampling.neighbor_sample(contains, orders, [-1])
     second = parts.edges.select("row", (F.col("col") - orders.count()).alias("col"), "edge_id")
     return s.edges.select("etype", "row", "col", "edge_id", "hop").unionByName(second.select(F.lit("__".join(CONTAINS)).alias("etype"), "row", "col", "edge_id", F.lit(2).alias("hop")))
 
 
+@query(_hetero_sql("o_orderdate DESC, o_orderkey DESC", 2, " AND o_orderdate <= TIMESTAMP '1998-01-01'"))
+def hetero_temporal(spark, sf):
+    return _temporal(spark, sf, _six(spark, "1998-01-01 00:00:00"))
+
+
 @query(_hetero_sql("ln((" + _bits("'0'", "1", "0", "o_custkey", "o_custkey", "o_orderkey") + " + 1) / 4294967297.0::DOUBLE) / o_totalprice DESC, o_orderkey", 2))
 def hetero_biased(spark, sf):
     s = sampling.hetero_neighbor_sample(_two(spark, sf), _six(spark), {PLACES: [2, 0], CONTAINS: [0, -1]}, weight={PLACES: "weight"})
@@ -369,8 +378,8 @@ def dist_one_hop(spark, sf):
     return sampling.dist_neighbor_sample(_ring(spark, sf), _seeds(spark), -1).select("seed_pos", "j", "node", "edge_id")
 
 
-def _merged(spark, sf):
-    seeds = _seeds(spark)
+def _merged(spark, sf, seeds: DataFrame | None = None):
+    seeds = _seeds(spark) if seeds is None else seeds
     part = (F.col("node") % 3).alias("part")
     requests = seeds.select(F.col("pos").alias("seed_pos"), "node", part).withColumn("ord", F.row_number().over(W.partitionBy("part").orderBy("seed_pos")) - 1)
     results = None
@@ -406,6 +415,122 @@ def hetero_relabel(spark, sf):
     return ids.join(merged.select("pos", "edge_id"), "pos").select("row", "col", "edge_id")
 
 
+# --- the sampling queries with the whole table as seeds ----------------------------
+#
+# The queries above start at constant ids, as their SQL says. These start at every
+# node or customer; each node's sample is its own (disjoint), since with all nodes
+# in one sample no hop would find a new one.
+
+
+def _every_node(spark, sf) -> DataFrame:
+    ids = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), F.col("vec_id").alias("node"))
+    return ids.withColumn("time", F.col("pos") % 8 * 4 + 15)
+
+
+def _every_sample(name: str, fanouts: list[int], sql: dict, options: dict) -> None:
+    timed = "node_time" in options or "edge_time" in options
+
+    def sample(spark, sf):
+        seeds = _every_node(spark, sf) if timed else _every_node(spark, sf).drop("time")
+        given = {k: v(spark, sf) if callable(v) else v for k, v in options.items()}
+        return sampling.neighbor_sample(_ring(spark, sf), seeds, fanouts, disjoint=True, **given)
+
+    text = _hops_sql(fanouts, disjoint=True, every=True, **sql)
+    if name == "neighbor_nodes_per_hop":
+        query(f"SELECT hop::INTEGER AS hop, count(*) AS num_nodes FROM ({text}) GROUP BY 1", f"{name}_all")(lambda spark, sf: sample(spark, sf).nodes_per_hop())
+    elif sql.get("result") == "nodes":
+        query(text, f"{name}_all")(lambda spark, sf: sample(spark, sf).nodes)
+    else:
+        query(text, f"{name}_all")(lambda spark, sf: _edges(sample(spark, sf)))
+
+
+_every_sample("neighbor_full_2hop", [-1, -1], {}, {})
+_every_sample("neighbor_full_nodes", [-1, -1], {"result": "nodes"}, {})
+_every_sample("neighbor_nodes_per_hop", [-1, -1], {"result": "nodes"}, {})
+_every_sample("neighbor_uniform_2hop", [2, 3], {}, {"seed": 5})
+_every_sample("neighbor_replace", [3, 2], {"draws": True}, {"replace": True, "seed": 5})
+_every_sample("neighbor_disjoint", [-1, 2], {}, {"seed": 5})
+_every_sample("neighbor_csc", [-1, -1], {"csc": True}, {"csc": True})
+_every_sample("neighbor_temporal_node_last", [2, 2], {"first": "dst % 40 DESC, edge_id DESC", "keep": " AND e.dst % 40 <= f.root"}, {"node_time": _node_time, "strategy": "last"})
+_every_sample("neighbor_temporal_edge_last", [2, 2], {"first": "etime DESC, edge_id DESC", "keep": " AND e.etime <= f.root"}, {"edge_time": "etime", "strategy": "last"})
+_every_sample("neighbor_temporal_uniform", [2, 2], {"keep": " AND e.etime <= f.root"}, {"edge_time": "etime", "seed": 5})
+_every_sample("neighbor_biased", [2, 2], {"first": "ln((" + _bits("'5'", "{h}", "batch", "node", "row", "edge_id") + " + 1) / 4294967297.0::DOUBLE) / weight DESC, edge_id"}, {"weight": "weight", "seed": 5})
+
+
+def _every_customer(spark, sf, time: str | None = None) -> dict:
+    s = _customer_starts(spark, sf)
+    return {"customer": s.withColumn("time", F.expr(f"timestamp_ntz'{time}'")) if time else s}
+
+
+@query(_hetero_sql(None, -1, customers="true"))
+def hetero_full_all(spark, sf):
+    s = sampling.hetero_neighbor_sample(_two(spark, sf), _every_customer(spark, sf), {PLACES: [-1, 0], CONTAINS: [0, -1]})
+    return s.edges.select("etype", "row", "col", "edge_id", "hop")
+
+
+@query(_hetero_sql("o_orderdate DESC, o_orderkey DESC", 2, " AND o_orderdate <= TIMESTAMP '1998-01-01'", customers="true"))
+def hetero_temporal_all(spark, sf):
+    return _temporal(spark, sf, _every_customer(spark, sf, "1998-01-01 00:00:00"))
+
+
+@query(_hetero_sql("ln((" + _bits("'0'", "1", "0", "o_custkey", "o_custkey", "o_orderkey") + " + 1) / 4294967297.0::DOUBLE) / o_totalprice DESC, o_orderkey", 2, customers="true"))
+def hetero_biased_all(spark, sf):
+    s = sampling.hetero_neighbor_sample(_two(spark, sf), _every_customer(spark, sf), {PLACES: [2, 0], CONTAINS: [0, -1]}, weight={PLACES: "weight"})
+    return s.edges.select("etype", "row", "col", "edge_id", "hop")
+
+
+def _every_budget(spark, sf):
+    return sampling.budget_sample(_hetero(spark, sf), _every_customer(spark, sf), {PLACES: [3, 0, 0], CONTAINS: [0, 2, 0], SUPPLIED: [0, 0, 1]})
+
+
+@query()
+def hetero_budget_sampler_all(spark, sf):
+    return _every_budget(spark, sf).edges
+
+
+@query("SELECT 'customer__places__order' AS etype, sum(least(n, 3))::BIGINT AS taken FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
+def hetero_budget_quota_all(spark, sf):
+    return _every_budget(spark, sf).edges.where("hop = 1").groupBy("etype").agg(F.count("*").alias("taken"))
+
+
+ONE_HOP_ALL = f"WITH {RING} SELECT vec_id AS seed_pos, 0::INTEGER AS j, vec_id AS node, NULL::BIGINT AS edge_id FROM embeddings UNION ALL SELECT src, row_number() OVER (PARTITION BY src ORDER BY edge_id)::INTEGER, dst, edge_id FROM ring"
+RELABEL_ALL = f"SELECT seed_pos AS row, node AS col, edge_id FROM ({ONE_HOP_ALL}) WHERE j > 0"
+
+
+@query(ONE_HOP_ALL)
+def dist_one_hop_all(spark, sf):
+    return sampling.dist_neighbor_sample(_ring(spark, sf), _every_node(spark, sf).drop("time"), -1).select("seed_pos", "j", "node", "edge_id")
+
+
+def _merged_all(spark, sf):
+    return _merged(spark, sf, _every_node(spark, sf).drop("time"))
+
+
+@query(f"SELECT (row_number() OVER (ORDER BY seed_pos, j) - 1)::BIGINT AS pos, seed_pos, j, node, edge_id FROM ({ONE_HOP_ALL}) WHERE j > 0")
+def dist_merge_all(spark, sf):
+    return _merged_all(spark, sf)[0]
+
+
+@query(f"SELECT seed_pos, count(*) AS count FROM ({ONE_HOP_ALL}) WHERE j > 0 GROUP BY 1")
+def dist_merge_counts_all(spark, sf):
+    return sampling.merged_counts(*_merged_all(spark, sf))
+
+
+@query(RELABEL_ALL)
+def relabel_all(spark, sf):
+    merged = _merged_all(spark, sf)[0]
+    ids = sampling.relabel_neighborhood(_every_node(spark, sf), merged.select("pos", "seed_pos", "node"))
+    return ids.join(merged.select("pos", "edge_id"), "pos").select("row", "col", "edge_id")
+
+
+@query(RELABEL_ALL)
+def hetero_relabel_all(spark, sf):
+    merged = _merged_all(spark, sf)[0]
+    kind = ("v", "to", "v")
+    ids = sampling.hetero_relabel_neighborhood({"v": _every_node(spark, sf)}, {kind: merged.select("pos", "seed_pos", "node", F.col("pos").alias("order"))})[kind]
+    return ids.join(merged.select("pos", "edge_id"), "pos").select("row", "col", "edge_id")
+
+
 # --- subgraphs, walks, biased choice ---------------------------------------------
 
 
