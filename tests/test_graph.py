@@ -205,6 +205,19 @@ def test_batches_dont_meet(spark):
     assert len(rows) == 30 and all((r.query_id < 8) == (r.ref_id < 10) for r in rows)
 
 
+def test_neighbours_within_one_table(spark):
+    """Both sides are the whole table: neighbours of a point's own parity are found, itself isn't."""
+    rng = random.Random(6)
+    at = [(rng.random(), rng.random()) for _ in range(40)]
+    p = points(spark, at)
+    near = {i: sorted((j for j in range(40) if j != i), key=lambda j: ((at[i][0] - at[j][0]) ** 2 + (at[i][1] - at[j][1]) ** 2, j)) for i in range(40)}
+    got = {}
+    for r in spatial.knn(p, p, 3, ignore_same_index=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.ref_id)
+    assert got == {i: x[:3] for i, x in near.items()}
+    assert {r.id: r.nearest_id for r in spatial.nearest(p, p, ignore_same_index=True).collect()} == {i: x[0] for i, x in near.items()}
+
+
 def test_grid(spark):
     p = points(spark, [(0, 0), (0.1, 0.1), (0.5, 0.5), (1, 1), (1.1, 1.1)])
     assert [r.cluster for r in spatial.grid_cluster(p, [0.5, 0.5]).orderBy("id").collect()] == [0, 0, 4, 8, 8]
