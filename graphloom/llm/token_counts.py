@@ -1,7 +1,8 @@
 """Operator 6: token counts of documents in flat token files, by scanning for separators.
 
 A token file is a stream of ids without an index; each document ends in an
-end-of-document id. It is read in blocks of fixed size. In each block the
+end-of-document id. It is read in blocks of fixed size, a range of bytes each,
+so that no task has a whole file. In each block the
 separators are found at once; the lengths of documents that lie within it
 follow. A document that goes on over blocks is stitched together from the
 blocks' heads and tails by a running sum over the blocks' summaries.
@@ -9,8 +10,12 @@ blocks' heads and tails by a running sum over the blocks' summaries.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,18 +28,90 @@ BLOCK, KIND = 1 << 18, "<u2"
 END = 256
 
 
+def _store(uri: str) -> tuple[stores.FileSystem, str]:
+    """The store of a URI, and the path in it, as tasks open them."""
+    if uri.startswith(("/", "file:")):
+        return stores.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return stores.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
+def _hadoop(spark: SparkSession, uri: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _resolved(spark: SparkSession, uri: str) -> str:
+    """Where a path lies once mounts (viewfs) are followed."""
+    system, path = _hadoop(spark, uri)
+    return system.resolvePath(path).toString()
+
+
+def _spread(blocks: DataFrame, n: int) -> DataFrame:
+    """The list of blocks dealt to n tasks, so that a long file is many tasks' work."""
+    return blocks.repartition(max(1, n), "file", "block")
+
+
 def read_token_files(spark: SparkSession, path: str, block: int = BLOCK, kind: str = KIND) -> DataFrame:
-    """(file, block, tokens) of flat binary token files, read by Spark from any of its stores."""
-    width = np.dtype(kind).itemsize
+    """(file, block, tokens) of flat binary token files of any length.
+
+    Spark lists the files, from any of its stores, without their content. Tasks
+    read the blocks' ranges through Arrow: local and mounted files, viewfs that
+    leads to them, s3, gs, abfs, and hdfs where libhdfs is installed.
+    """
+    size = block * np.dtype(kind).itemsize
+    listed = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0").collect()
+    files = spark.createDataFrame([(r.path, _resolved(spark, r.path), -(-r.length // size)) for r in listed], "file string, at string, n long")
+    total = sum(r.length for r in listed)
+    tasks = min(sum(-(-r.length // size) for r in listed), max(spark.sparkContext.defaultParallelism, total >> 26))
+    blocks = files.select("file", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
+    return read_blocks(_spread(blocks, tasks), block, kind)
+
+
+def read_blocks(blocks: DataFrame, block: int = BLOCK, kind: str = KIND) -> DataFrame:
+    """(file, block, tokens[, ids]) of a list of blocks (file, at, block[, ids]); at is where the file is opened."""
+    size = block * np.dtype(kind).itemsize
+    more = ["ids"] if "ids" in blocks.columns else []
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                body = memoryview(content.as_buffer())
-                for b in range(-(-len(body) // (block * width))):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b], pa.int64()), pa.array([bytes(body[b * block * width : (b + 1) * block * width])], pa.binary())], ["file", "block", "tokens"])
+            for k, (at, b) in enumerate(zip(batch.column("at").to_pylist(), batch.column("block").to_pylist())):
+                store, path = _store(at)
+                with store.open_input_file(path) as f:
+                    f.seek(b * size)
+                    body = f.read(size)
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([row.column("file"), row.column("block"), pa.array([body], pa.binary()), *[row.column(c) for c in more]], ["file", "block", "tokens", *more])
+
+    return blocks.select("file", "at", "block", *more).mapInArrow(run, "file string, block long, tokens binary" + ", ids array<long>" * bool(more))
+
+
+def write_token_files(blocks: DataFrame, folder: str) -> DataFrame:
+    """(file, at, block, ids): writes blocks (file, block, tokens, ids) to a flat file for each partition and lists them.
+
+    Each try of a task has a file of its own; only that of the try that
+    succeeded is listed. So the list must be made once: checkpoint it.
+    """
+
+    def run(batches):
+        from pyspark import TaskContext
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, tokens binary")
+        context = TaskContext.get()
+        at = f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}"
+        out = None
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    if out is None:
+                        store, path = _store(at)
+                        out = store.open_output_stream(path)
+                    for content in batch.column("tokens"):
+                        out.write(content.as_buffer())
+                    yield pa.RecordBatch.from_arrays([pa.array([at] * batch.num_rows), pa.array([at] * batch.num_rows), batch.column("block"), batch.column("ids")], ["file", "at", "block", "ids"])
+        finally:
+            if out is not None:
+                out.close()
+
+    return blocks.select("block", "tokens", "ids").mapInArrow(run, "file string, at string, block long, ids array<long>")
 
 
 def byte_token_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -132,11 +209,21 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """A row per row of `docs` (doc_id, text): doc_id, n_tokens, file, number.
 
     A null text is empty and has no tokens. An empty table gives no rows.
-    Other columns are ignored.
+    Other columns are ignored. The texts are written to token files in the
+    checkpoint folder, which are read by ranges and then removed.
     """
-    ready(docs.sparkSession)
+    spark = ready(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return document_lengths(scan_blocks(byte_token_blocks(plain))).select("doc_id", "n_tokens")
+    folder = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
+    system, path = _hadoop(spark, folder)
+    system.mkdirs(path)
+    try:
+        written = write_token_files(byte_token_blocks(plain), _resolved(spark, folder)).checkpoint()
+        blocks = _spread(written, written.rdd.getNumPartitions())
+        scanned = scan_blocks(read_blocks(blocks)).checkpoint()
+    finally:
+        system.delete(path, True)
+    return document_lengths(scanned).select("doc_id", "n_tokens")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

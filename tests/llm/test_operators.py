@@ -245,6 +245,36 @@ def test_token_files(spark, tmp_path):
         assert [(r.number, r.n_tokens) for r in got] == [(0, 2), (1, 0), (2, 3), (3, 1)]
 
 
+def test_token_files_beyond_what_spark_reads_whole(spark, tmp_path):
+    size = (1 << 31) + 64  # bytes: zeros, but for three separators
+    with open(tmp_path / "long.bin", "wb") as f:
+        for at in (10, size - 20, size - 4):
+            f.seek(at)
+            f.write(np.array([256], "<u2").tobytes())
+        f.truncate(size)
+    blocks = token_counts.read_token_files(spark, str(tmp_path), 1 << 22)
+    got = token_counts.document_lengths(token_counts.scan_blocks(blocks)).orderBy("number").collect()
+    assert [r.n_tokens for r in got] == [5, (size - 30) // 2 - 1, 7, 1]
+
+
+def test_token_files_behind_a_mount(spark, tmp_path):
+    (tmp_path / "a b.bin").write_bytes(np.array([5, 256, 6, 7, 256], "<u2").tobytes())
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tokens.link./in", f"file://{tmp_path}")
+    blocks = token_counts.read_token_files(spark, "viewfs://tokens/in", 2)
+    got = token_counts.document_lengths(token_counts.scan_blocks(blocks)).orderBy("number").collect()
+    assert [r.n_tokens for r in got] == [1, 2]
+
+
+def test_token_counts_read_files(docs, data, spark, monkeypatch):
+    """The counts come from files that are read by ranges, and the files are gone afterwards."""
+    made = []
+    write = token_counts.write_token_files
+    monkeypatch.setattr(token_counts, "write_token_files", lambda blocks, folder: made.append(folder) or write(blocks, folder))
+    got = token_counts.token_counts(docs)
+    assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == sorted((i, len((t or "").encode())) for i, t, *_ in data)
+    assert len(made) == 1 and not os.path.exists(made[0].removeprefix("file:"))
+
+
 def test_shards_fit(docs, data):
     for limit in (500, 5000, 10**9):
         rows = sharding.shards(docs, limit).collect()
