@@ -162,9 +162,17 @@ def _nodes(spark, sf) -> DataFrame:
     return T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"))
 
 
+def _near(spark, sf) -> DataFrame:
+    """The mutual kNN graph of the embeddings: edges (src, dst, w) in both directions, heavier the nearer their ends."""
+    core.ready(spark)
+    p = T.points(spark, sf)
+    found = spatial.knn(p, p, 5, ignore_same_index=True).select(F.col("query_id").alias("src"), F.col("ref_id").alias("dst"), (1.0 / (1.0 + F.col("distance"))).alias("w")).checkpoint()
+    return found.join(found.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
+
+
 @query()
 def graclus_match(spark, sf):
-    return cluster.graclus_cluster(_nodes(spark, sf), T.ring(spark, sf).withColumn("w", F.lit(1.0) + F.col("src") % 1), weight="w")
+    return cluster.graclus_cluster(_nodes(spark, sf), _near(spark, sf), weight="w")
 
 
 @query("SELECT 0::BIGINT AS oversized, 0::BIGINT AS unmatched_neighbours, (SELECT count(*) FROM embeddings)::BIGINT AS nodes")
@@ -172,7 +180,7 @@ def graclus_invariants(spark, sf):
     found = graclus_match(spark, sf)
     sizes = found.groupBy("cluster").agg(F.count("*").alias("n"))
     single = found.join(sizes.where("n = 1"), "cluster").select("node")
-    pairs = T.ring(spark, sf).join(single.withColumnRenamed("node", "src"), "src").join(single.withColumnRenamed("node", "dst"), "dst")
+    pairs = _near(spark, sf).join(single.withColumnRenamed("node", "src"), "src").join(single.withColumnRenamed("node", "dst"), "dst")
     a = sizes.agg(F.count_if(F.col("n") > 2).alias("oversized"), F.sum("n").alias("nodes"))
     return a.crossJoin(pairs.agg(F.count("*").alias("unmatched_neighbours"))).select("oversized", "unmatched_neighbours", "nodes")
 

@@ -66,6 +66,15 @@ def test_running_reduction(spark, tmp_path):
         running_scatter(stream, "median")
 
 
+def test_matching_takes_the_heaviest_edges(spark, small):
+    """Embeddings that are each other's nearest have an edge heavier than any other of theirs, so they match."""
+    at = {r.vec_id: r.embedding for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
+    near = {i: min((j for j in at if j != i), key=lambda j: (sum((x - y) ** 2 for x, y in zip(at[i], at[j])), j)) for i in at}
+    pairs = [(i, j) for i, j in near.items() if near[j] == i]
+    got = {r.node: r.cluster for r in OWN["graclus_match"](spark, small).collect()}
+    assert pairs and all(got[i] == got[j] for i, j in pairs)
+
+
 def test_samples_reach_every_seed(spark, small):
     """Each node and customer has a sample of its own, not only constant ids."""
     nodes = spark.read.parquet(f"{small}/embeddings.parquet").count()
