@@ -193,7 +193,7 @@ def metis_parts(spark, sf):
 @query("SELECT (SELECT count(*) FROM embeddings)::BIGINT AS nodes, 4::BIGINT AS parts, true AS balanced")
 def metis_balance(spark, sf):
     sizes = metis_parts(spark, sf).groupBy("part").agg(F.count("*").alias("n"))
-    return sizes.agg(F.sum("n").alias("nodes"), F.count("*").alias("parts"), (F.max("n") <= 1.35 * F.avg("n")).alias("balanced"))
+    return sizes.agg(F.sum("n").alias("nodes"), F.count("*").alias("parts"), (F.max("n") <= 1.1 * F.avg("n")).alias("balanced"))
 
 
 @query("SELECT count(*)::DOUBLE * 4 AS total FROM embeddings")
@@ -202,6 +202,11 @@ def metis_cut(spark, sf):
     return cut.select((F.col("within") + F.col("between")).alias("total"))
 
 
+@query()
+def metis_cut_weights(spark, sf):
+    return cluster.edge_cut(T.ring(spark, sf), metis_parts(spark, sf))
+
+
 def _bits(*keys: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 8))::BIGINT"
 

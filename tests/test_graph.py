@@ -267,6 +267,15 @@ def test_partition_balances_and_cuts_less_than_chance(spark):
     assert cut.between < 0.7 * (cut.within + cut.between)
 
 
+def test_partition_keeps_its_bound_with_unequal_weights(spark):
+    # an edgeless graph: nothing but the last step moves a node out of a part that the start overfilled
+    nodes = spark.range(120).select(F.col("id").alias("node"), F.when(F.col("id") % 10 == 0, 8.0).otherwise(1.0).alias("w"))
+    edges = spark.createDataFrame([], "src long, dst long")
+    parts = cluster.metis(nodes, edges, 4, node_weight="w", rounds=1)
+    sizes = [r.w for r in parts.join(nodes, "node").groupBy("part").agg(F.sum("w").alias("w")).collect()]
+    assert len(sizes) == 4 and sum(sizes) == 204 and max(sizes) <= 1.1 * 204 / 4, sizes
+
+
 def test_edge_sample(spark):
     g = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)], "edge_id long, src long")
     starts = spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "pos long, node long")

@@ -75,6 +75,11 @@ def test_matching_takes_the_heaviest_edges(spark, small):
     assert pairs and all(got[i] == got[j] for i, j in pairs)
 
 
+def test_partition_cuts_less_than_chance(spark, small):
+    cut = OWN["metis_cut_weights"](spark, small).first()
+    assert 0 < cut.between < 0.75 * (cut.within + cut.between), cut
+
+
 def test_samples_reach_every_seed(spark, small):
     """Each node and customer has a sample of its own, not only constant ids."""
     nodes = spark.read.parquet(f"{small}/embeddings.parquet").count()
