@@ -379,13 +379,16 @@ def _cut(text: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[bytes, int
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _results(rows) -> pa.RecordBatch:
+def _results(rows, kept: list[bytes] | None = None) -> pa.RecordBatch:
     doc, n, removed, n_spans, sha = (list(x) for x in zip(*rows)) if rows else ([], [], [], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    more = [] if kept is None else [pa.array(kept, pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), *more], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + len(more)])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """A row per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """A row per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept].
+
+    With with_text, kept has the bytes that are left; a cut may split a character.
 
     A null text is empty; texts of fewer than WIDTH bytes stay whole. A row with
     null doc_id has no place in the order: it stays whole, and nothing is
@@ -396,6 +399,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = ready(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = _RESULT + ", kept binary" * with_text
     spans_found = repeated_spans(plain.where("doc_id is not null")).checkpoint()
     wanted = _wanted(spark, spans_found)
 
@@ -407,24 +411,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             raw, offsets = spans(batch.column("text"))
             whole = memoryview(raw)
             ids = batch.column("doc_id").to_pylist()
-            yield _results([(i, b - a, 0, 0, hashlib.sha256(whole[a:b]).hexdigest()) for i, a, b in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist())])
+            places = list(zip(ids, offsets[:-1].tolist(), offsets[1:].tolist()))
+            yield _results([(i, b - a, 0, 0, hashlib.sha256(whole[a:b]).hexdigest()) for i, a, b in places], [bytes(whole[a:b]) for _, a, b in places] if with_text else None)
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = []
+            rows, left = [], [] if with_text else None
             for i, packed, lists in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist(), batch.column("spans").to_pylist()):
                 text = unpack.decompress(packed)
                 at = np.array([(s["start"], s["stop"]) for s in lists or []], np.int64).reshape(-1, 2)
                 kept, removed, n = _cut(text, at[:, 0], at[:, 1])
                 rows.append((i, len(text), removed, n, hashlib.sha256(kept).hexdigest()))
-            yield _results(rows)
+                if with_text:
+                    left.append(kept)
+            yield _results(rows, left)
 
     lists = spans_found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("doc_id", "_id")
     packed = _packed_texts(plain.where("doc_id is not null"), wanted)
     touched = packed.join(lists, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "packed", "spans")
-    whole = plain.select("doc_id", "text", _bit()).mapInArrow(untouched, _RESULT)
-    return whole.unionByName(touched.mapInArrow(cut, _RESULT))
+    whole = plain.select("doc_id", "text", _bit()).mapInArrow(untouched, schema)
+    return whole.unionByName(touched.mapInArrow(cut, schema))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -369,3 +369,10 @@ def test_removal_in_pieces_and_split(docs, data, monkeypatch):
     monkeypatch.setattr(substrings, "GATHER", 50)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs).collect()}
     assert got == cases.plain_removal(data)
+
+
+def test_substrings_give_the_text_back(docs, data):
+    """kept is the text without the repeats: its digest and length are those of the other columns."""
+    rows = substrings.remove_repeats(docs, with_text=True).collect()
+    assert len(rows) == len(data) and any(r.n_removed for r in rows)
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in rows)
