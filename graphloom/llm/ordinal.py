@@ -3,10 +3,13 @@
 Grades 0 < 1 < ... < K - 1 share one weight per feature; K - 1 ascending
 thresholds tell them apart: P(grade >= k) = sigmoid(score - threshold_k).
 
-Features are hashed to 32 bits: a text's words and their beginnings, and shares
-of odd words in coarse steps. They count once, however often they occur. Of
-all features of the training rows only those are kept whose frequency differs
-clearly between low and high grades, so that a model is a few thousand weights.
+Features are hashed to 32 bits: a text's words and their beginnings, beginnings
+that many of its words have, and shares of odd words in coarse steps. They count
+once, however often they occur. Of all features of the training rows only those
+are kept whose frequency differs clearly between low and high grades, so that a
+model is a few thousand weights. A model may replace features that mark a grade
+by their number, in coarse steps, so that a text with many of them isn't pushed
+beyond the grade that they mark.
 
 A model is fitted on the driver from a bounded sample of labelled rows; all
 else is one narrow pass over all texts.
@@ -16,12 +19,16 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ready
 
@@ -33,6 +40,10 @@ KEEP = 400_000
 _WORDS = re.compile(r"\w+")
 #: Upper bounds of the steps in which shares are told apart.
 STEPS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75)
+#: Letters of the beginnings whose share of a text's words counts, and the shares from which on they have a feature.
+STEM, RATES = 5, (0.005, 0.01)
+#: Numbers of marking features that are told apart.
+MARKS = (1, 2, 4)
 
 
 def _hash(name: str) -> int:
@@ -61,12 +72,38 @@ def shape_names(text: str) -> list[str]:
     return [f"#{k}{sum(v > s for s in STEPS)}" for k, v in shares.items()]
 
 
+def rate_names(stem: str, share: float) -> list[str]:
+    """The features of a beginning that this share of a text's words has."""
+    return [f"^{stem}%{k}" for k, least in enumerate(RATES) if share >= least]
+
+
+def text_counts(text: str) -> dict[int, int]:
+    """The distinct hashed features of a text, with the words that each stands for.
+
+    A word counts once: for its beginning of STEM letters or, if it is shorter,
+    for itself. All other features have 0.
+    """
+    found = dict.fromkeys(map(_hash, shape_names(text)), 0)
+    words = Counter(_WORDS.findall(text.lower()))
+    stems: Counter[str] = Counter()
+    for word, times in words.items():
+        found.update(dict.fromkeys(map(_hash, word_names(word)), 0))
+        if len(word) >= STEM:
+            stems[word[:STEM]] += times
+    for stem, times in stems.items():
+        found.update(dict.fromkeys(map(_hash, rate_names(stem, times / words.total())), 0))
+    found.update((_hash("^" + stem), times) for stem, times in stems.items())
+    found.update((_hash(word), times) for word, times in words.items() if len(word) < STEM)
+    return found
+
+
 def text_features(text: str) -> list[int]:
     """The distinct hashed features of a text, ascending."""
-    found = {_hash(x) for x in shape_names(text)}
-    for word in set(_WORDS.findall(text.lower())):
-        found.update(map(_hash, word_names(word)))
-    return sorted(found)
+    return sorted(text_counts(text))
+
+
+#: The features that say how many marking features a text has.
+MARK_HASHES = [_hash(f"#marks{k}") for k in MARKS]
 
 
 def sigmoid(x):
@@ -75,10 +112,22 @@ def sigmoid(x):
 
 @dataclass
 class CumulativeLink:
-    """weights by hashed feature, and the thresholds between grades."""
+    """weights by hashed feature, the thresholds between grades, and the features that only count (MARKS)."""
 
     weights: dict[int, float]
     thresholds: list[float]
+    marks: frozenset[int] = frozenset()
+
+    def score(self, found: Iterable[int]) -> float:
+        """The sum of the weights of distinct features, those of the steps of MARKS that they reach included."""
+        weights, marks = self.weights, self.marks
+        total, n = 0.0, 0
+        for h in sorted(found):
+            if h in marks:
+                n += 1
+            else:
+                total += weights.get(h, 0.0)
+        return total + sum(weights.get(h, 0.0) for h, least in zip(MARK_HASHES, MARKS) if n >= least)
 
     def tails(self, score: float | np.ndarray) -> np.ndarray:
         """P(grade >= 1), P(grade >= 2), ... in the last axis."""
@@ -110,6 +159,17 @@ def among(kept: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mine, at[mine]
 
 
+def marked(rows: np.ndarray, features: np.ndarray, n: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rows, features of n texts, the marking ones replaced by the steps of MARKS that their number reaches."""
+    mine = among(marks, features)[0]
+    count = np.bincount(rows[mine], minlength=n)
+    others = np.ones(len(rows), bool)
+    others[mine] = False
+    reached = [np.flatnonzero(count >= k) for k in MARKS]
+    more = np.repeat(np.array(MARK_HASHES, features.dtype), [len(x) for x in reached])
+    return np.concatenate([rows[others], *reached]), np.concatenate([features[others], more])
+
+
 def fit(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, *, kept: np.ndarray, rounds: int = 500, ridge: float = 1e-5, step: float = 0.15) -> CumulativeLink:
     """Fits shared weights and ordered thresholds by full-batch Adam. Rows of rare grades count more."""
     k = max(2, int(grades.max(initial=0)) + 1)
@@ -147,38 +207,62 @@ def fit(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, *, kept: np.
     return CumulativeLink(dict(zip(kept.tolist(), theta[:d].tolist())), cut.tolist())
 
 
-def sample_features(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, features, grades) of about sample_rows labelled documents, each different text once.
+@dataclass
+class Sample:
+    """Labelled texts: their grades; row and feature of each feature of a text, and in how many words (toxic texts' only, if asked for)."""
+
+    rows: np.ndarray
+    features: np.ndarray
+    grades: np.ndarray
+    words: np.ndarray
+
+
+def sample_features(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPLE_ROWS, words_from: int | None = None) -> Sample:
+    """About sample_rows labelled documents, each different text once.
 
     graded(doc_id, grade). Rows are chosen by a hash of the id, so that all
-    labelled rows have the same chance, and any run chooses alike.
+    labelled rows have the same chance, and any run chooses alike. Of labels that
+    differ for one text the lowest counts. Words are counted for rows of this
+    grade or more.
     """
     ready(docs.sparkSession)
     n = graded.count()
-    share = min(1.0, sample_rows / max(n, 1))
-    chosen = graded.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))) if share < 1 else graded
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("grade").cast("int").alias("grade")).where("_id is not null and grade is not null")
+    chosen = graded
+    if n > sample_rows:
+        chosen = graded.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 4) < F.lit(int(sample_rows / n * 2**60)))
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("grade").cast("int").alias("grade")).where("_id is not null and grade is not null").distinct()
 
     def run(batches):
         for batch in batches:
-            found = [np.array(text_features(x or ""), np.uint32).view(np.int32) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([_hash(x or "") for x in batch.column("text").to_pylist()], pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["grade", "text", "features"])
+            grades, texts = batch.column("grade").to_pylist(), [x or "" for x in batch.column("text").to_pylist()]
+            counts = [sorted(text_counts(x).items()) for x in texts]
+            found = [np.array([h for h, _ in x], np.uint32).view(np.int32) for x in counts]
+            times = [[n for _, n in x] if words_from is not None and g >= words_from else [] for g, x in zip(grades, counts)]
+            names = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(names), pa.array(found, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], ["grade", "text", "features", "words"])
 
     # about sample_rows ids, which is a bound whatever the tables' sizes
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("grade", "text")
-    table = labelled.mapInArrow(run, "grade int, text long, features array<int>").toArrow()
+    table = labelled.mapInArrow(run, "grade int, text long, features array<int>, words array<int>").toArrow()
     grades, texts = table["grade"].to_numpy(), table["text"].to_numpy()
-    lists = table["features"].combine_chunks()
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    flat, sizes = lists.values.to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
     order = np.lexsort((grades, texts))
     first = np.ones(len(order), bool)
     first[1:] = texts[order][1:] != texts[order][:-1]
-    use = np.sort(order[first]) if len(order) else order
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    rows = np.repeat(np.arange(len(use), dtype=np.int32), sizes[use])
-    feats = np.concatenate([flat[starts[i] : starts[i + 1]] for i in use]).view(np.uint32) if len(use) else np.zeros(0, np.uint32)
-    return rows, feats, grades[use].astype(np.int64)
+    use = np.sort(order[first])
+
+    def flat(name: str) -> tuple[list[np.ndarray], np.ndarray]:
+        lists = table[name].combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        return [values[offsets[i] : offsets[i + 1]] for i in use], np.diff(offsets)[use]
+
+    feats, sizes = flat("features")
+    counts, counted = flat("words")
+    features = np.concatenate(feats).view(np.uint32) if len(use) else np.zeros(0, np.uint32)
+    words = np.zeros(len(features), np.int32)
+    if counted.any():
+        words[np.repeat(counted > 0, sizes)] = np.concatenate(counts)
+    return Sample(np.repeat(np.arange(len(use), dtype=np.int32), sizes), features, grades[use].astype(np.int64), words)
 
 
 class Scorer:
@@ -186,44 +270,65 @@ class Scorer:
 
     def __init__(self, model: CumulativeLink):
         self.model = model
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._counts = model.marks.union(model.weights)
+        self._known: dict[str, tuple[tuple[int, ...], bool]] = {}
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> tuple[tuple[int, ...], bool]:
+        """(the word's features that count, whether the share of its beginning does)."""
         if len(self._known) > KEEP:
             self._known.clear()
-        got = tuple(h for h in map(_hash, word_names(word)) if h in self.model.weights)
-        self._known[word] = got
-        return got
-
-    def score(self, text: str, shapes: bool = True) -> float:
-        weights, known = self.model.weights, self._known
-        found = {h for h in map(_hash, shape_names(text)) if h in weights} if shapes else set()
-        for word in set(_WORDS.findall(text.lower())):
-            got = known.get(word)
-            if got is None:
-                got = self._word(word)
-            if got:
-                found.update(got)
-        return sum(weights[h] for h in sorted(found))
-
-
-def score_all(docs: DataFrame, model: CumulativeLink, columns: list[str] = ()) -> DataFrame:
-    """The named columns, doc_id, score, expected, and tail_1, tail_2, ... of every row. One narrow pass; a null text is empty."""
-    names = [f"tail_{k}" for k in range(1, len(model.thresholds) + 1)]
-    keep = [c for c in columns if c != "doc_id"]
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").alias("_text"))
-    fields = [f for f in source.schema.fields if f.name != "_text"]
+        counts = self._counts
+        got = tuple(h for h in map(_hash, word_names(word)) if h in counts)
+        rated = len(word) >= STEM and any(_hash(x) in counts for x in rate_names(word[:STEM], 1.0))
+        self._known[word] = got, rated
+        return got, rated
+
+    def features(self, text: str) -> set[int]:
+        """The features of a text that count in the model."""
+        counts, known = self._counts, self._known
+        found = {h for h in map(_hash, shape_names(text)) if h in counts}
+        words = _WORDS.findall(text.lower())
+        stems: dict[str, int] = {}
+        for word in set(words):
+            of_word = known.get(word)
+            if of_word is None:
+                of_word = self._word(word)
+            if of_word[0]:
+                found.update(of_word[0])
+            if of_word[1]:
+                stems[word[:STEM]] = 0
+        if stems:
+            for word in words:
+                if (stem := word[:STEM]) in stems and len(word) >= STEM:
+                    stems[stem] += 1
+            for stem, times in stems.items():
+                found.update(h for h in map(_hash, rate_names(stem, times / len(words))) if h in counts)
+        return found
+
+    def score(self, text: str) -> float:
+        return self.model.score(self.features(text))
+
+
+def score_all(docs: DataFrame, model: CumulativeLink, columns: list[str], names: tuple[str, str, str]) -> DataFrame:
+    """doc_id, the named columns, and the expected grade, P(grade >= 1) and P(grade >= 2) of every row, by these names.
+
+    One narrow pass. A null text is empty; a very long one is scored whole. A
+    column that has one of the new names is left out. A model of two grades
+    gives 0 for the last.
+    """
+    keep = [c for c in dict.fromkeys(columns) if c != "doc_id" and c not in names]
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.coalesce("text", F.lit("")).alias("_scored_text"))
+    fields = source.schema.fields[:-1]
 
     def run(batches):
         scorer = Scorer(model)
         for batch in batches:
-            scores = np.array([scorer.score(x or "") for x in batch.column("_text").to_pylist()], dtype=float)
-            tails = model.tails(scores).reshape(len(scores), len(names))
-            kept = [batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array(tails.sum(axis=1)), *[pa.array(tails[:, k]) for k in range(len(names))]], [*[f.name for f in fields], "score", "expected", *names])
-
-    from pyspark.sql import types as T
+            scores = np.array([scorer.score(x) for x in batch.column(len(fields)).to_pylist()], dtype=float)
+            tails = model.tails(scores).reshape(len(scores), len(model.thresholds))
+            second = tails[:, 1] if tails.shape[1] > 1 else np.zeros(len(scores))
+            kept = [batch.column(k) for k in range(len(fields))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(second)], [*[f.name for f in fields], *names])
 
-    schema = T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in ("score", "expected", *names)]])
+    schema = T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in names]])
     ready(docs.sparkSession)
     return source.mapInArrow(run, schema)

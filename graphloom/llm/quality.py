@@ -2,6 +2,10 @@
 
 Grades come from two labels: 0 is bad text, 1 good text that is toxic, 2 good
 and clean text. P(grade >= 1) says whether a text is fit to read, and selects.
+
+Weights are shared by both thresholds, so a text with many words that mark
+toxic text would fall below bad text. These words are replaced by their number
+in coarse steps (ordinal.MARKS), whose weights move a text from grade 2 to 1.
 """
 
 from __future__ import annotations
@@ -11,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, labels
-from .ordinal import SAMPLE_ROWS, CumulativeLink, fit, sample_features, score_all, select_features
+from .ordinal import MARK_HASHES, SAMPLE_ROWS, CumulativeLink, fit, marked, sample_features, score_all, select_features
+from .toxicity import marks
 
 #: A document is kept from this tail probability on.
 KEEP_FROM = 0.5
@@ -25,27 +30,33 @@ def grades(labelled: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> CumulativeLink:
     """A model from labelled(doc_id, quality, toxic). Without labels everything is kept."""
-    rows, features, grade = sample_features(docs, grades(labelled), sample_rows)
+    sample = sample_features(docs, grades(labelled), sample_rows)
+    grade = sample.grades
     if not len(grade) or grade.min() == grade.max():
         bad = len(grade) and grade.max() == 0
         return CumulativeLink({}, [6.0, 8.0] if bad else [-8.0, -6.0])
-    # Features that mark toxic rows would pull good but toxic text below bad text, as the weights are shared; they are left to the toxicity operator.
-    by_quality = select_features(rows, features, grade >= 1)
     good = grade >= 1
-    renumbered = np.cumsum(good) - 1
-    by_toxicity = select_features(renumbered[rows[good[rows]]], features[good[rows]], grade[good] == 1)
-    return fit(rows, features, np.where(grade > 2, 2, grade), kept=np.setdiff1d(by_quality, by_toxicity))
+    numbers = np.cumsum(good) - 1
+    of_good = good[sample.rows]
+    toxic = marks(numbers[sample.rows[of_good]], sample.features[of_good], grade[good] == 1)
+    rows, features = marked(sample.rows, sample.features, len(grade), toxic)
+    kept = np.union1d(select_features(rows, features, good), np.array(MARK_HASHES, np.uint32))
+    model = fit(rows, features, grade, kept=kept)
+    model.marks = frozenset(toxic.tolist())
+    return model
 
 
 def rated(docs: DataFrame, model: CumulativeLink, columns: list[str] = ()) -> DataFrame:
     """A row per row of `docs`: doc_id, the named columns, expected_grade (0 to 2), p_good, p_clean, kept.
 
-    A null or empty text has only the feature of being empty. An empty table
-    gives no rows; alike rows get alike results.
+    A null or empty text has only the feature of being empty; a very long one is
+    scored whole. An empty table gives no rows; rows alike in their text,
+    repeated ones too, get alike results; a text with p_good of just KEEP_FROM
+    is kept. Other columns are ignored, and one of `columns` that has a result's
+    name is left out.
     """
-    scored = score_all(docs, model, columns)
-    tail_2 = F.col("tail_2") if len(model.thresholds) > 1 else F.lit(0.0)
-    return scored.select(*[c for c in scored.columns if c not in ("score", "expected", "tail_1", "tail_2")], F.col("expected").alias("expected_grade"), F.col("tail_1").alias("p_good"), tail_2.alias("p_clean"), (F.col("tail_1") >= KEEP_FROM).alias("kept"))
+    scored = score_all(docs, model, [c for c in columns if c != "kept"], ("expected_grade", "p_good", "p_clean"))
+    return scored.withColumn("kept", F.col("p_good") >= KEEP_FROM)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
