@@ -20,5 +20,4 @@ QUERIES = {
 SQL = {
     "op3_source_mix": mixing.OP3_SQL,
     "op5_exact_dedup": exact.OP5_SQL,
-    "op6_token_counts": token_counts.OP6_SQL,
 }

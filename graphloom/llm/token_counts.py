@@ -2,10 +2,11 @@
 
 A token file is a stream of ids without an index; each document ends in an
 end-of-document id. It is read in blocks of fixed size, a range of bytes each,
-so that no task has a whole file. In each block the
-separators are found at once; the lengths of documents that lie within it
-follow. A document that goes on over blocks is stitched together from the
-blocks' heads and tails by a running sum over the blocks' summaries.
+so that no task has a whole file. In each block the separators are found at
+once; the lengths of documents that lie within it follow. A document that goes
+on over blocks is stitched together from the blocks' heads and tails by a prefix
+scan over the blocks' summaries, in two levels: within spans of blocks, and over
+the spans' totals. The lengths themselves never go through the scan.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, ready, spans
+from .bpe import default_file, encoder
+from .common import documents, ready
 
 #: Ids in a block, and the type of an id in a file.
 BLOCK, KIND = 1 << 18, "<u2"
-#: With bytes as ids 0 to 255, this one ends a document.
-END = 256
+#: The end-of-document id that most files of the 50k vocabulary use.
+END = 50256
+#: Blocks in a span of the prefix scan.
+SPAN = 1024
 
 
 def _store(uri: str) -> tuple[stores.FileSystem, str]:
@@ -46,48 +50,48 @@ def _resolved(spark: SparkSession, uri: str) -> str:
     return system.resolvePath(path).toString()
 
 
-def _spread(blocks: DataFrame, n: int) -> DataFrame:
-    """The list of blocks dealt to n tasks, so that a long file is many tasks' work."""
-    return blocks.repartition(max(1, n), "file", "block")
-
-
 def read_token_files(spark: SparkSession, path: str, block: int = BLOCK, kind: str = KIND) -> DataFrame:
     """(file, block, tokens) of flat binary token files of any length.
 
     Spark lists the files, from any of its stores, without their content. Tasks
     read the blocks' ranges through Arrow: local and mounted files, viewfs that
-    leads to them, s3, gs, abfs, and hdfs where libhdfs is installed.
+    leads to them, s3, gs, abfs, and hdfs where libhdfs is installed. A file that
+    ends within an id is refused.
     """
-    size = block * np.dtype(kind).itemsize
     listed = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0").collect()
-    files = spark.createDataFrame([(r.path, _resolved(spark, r.path), -(-r.length // size)) for r in listed], "file string, at string, n long")
-    total = sum(r.length for r in listed)
-    tasks = min(sum(-(-r.length // size) for r in listed), max(spark.sparkContext.defaultParallelism, total >> 26))
-    blocks = files.select("file", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
-    return read_blocks(_spread(blocks, tasks), block, kind)
+    files = spark.createDataFrame([(r.path, _resolved(spark, r.path), r.length) for r in listed], "file string, at string, length long")
+    return read_blocks(files, block, kind)
 
 
-def read_blocks(blocks: DataFrame, block: int = BLOCK, kind: str = KIND) -> DataFrame:
-    """(file, block, tokens[, ids]) of a list of blocks (file, at, block[, ids]); at is where the file is opened."""
+def read_blocks(files: DataFrame, block: int = BLOCK, kind: str = KIND) -> DataFrame:
+    """(file, block, tokens) of files (file, at, length in bytes); at is where the file is opened."""
     size = block * np.dtype(kind).itemsize
-    more = ["ids"] if "ids" in blocks.columns else []
+    n_blocks, n_bytes = files.agg(F.sum(F.ceil(F.col("length") / size)), F.sum("length")).first()
+    # the blocks are dealt out one by one, so that a long file is many tasks' work
+    tasks = max(1, min(n_blocks or 1, max(files.sparkSession.sparkContext.defaultParallelism, (n_bytes or 0) >> 26)))
 
     def run(batches):
         for batch in batches:
-            for k, (at, b) in enumerate(zip(batch.column("at").to_pylist(), batch.column("block").to_pylist())):
+            for file, at, b, length in zip(*[batch.column(c).to_pylist() for c in ("file", "at", "block", "length")]):
                 store, path = _store(at)
                 with store.open_input_file(path) as f:
                     f.seek(b * size)
-                    body = f.read(size)
-                row = batch.slice(k, 1)
-                yield pa.RecordBatch.from_arrays([row.column("file"), row.column("block"), pa.array([body], pa.binary()), *[row.column(c) for c in more]], ["file", "block", "tokens", *more])
+                    body = f.read(min(size, length - b * size))
+                if len(body) % np.dtype(kind).itemsize:
+                    raise ValueError(f"{file} ends within an id")
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([b], pa.int64()), pa.array([body], pa.binary())], ["file", "block", "tokens"])
 
-    return blocks.select("file", "at", "block", *more).mapInArrow(run, "file string, block long, tokens binary" + ", ids array<long>" * bool(more))
+    last = F.ceil(F.col("length") / size).cast("long") - 1
+    blocks = files.where("length > 0").select("file", "at", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    return blocks.repartition(tasks, "file", "block").mapInArrow(run, "file string, block long, tokens binary")
 
 
-def write_token_files(blocks: DataFrame, folder: str) -> DataFrame:
-    """(file, at, block, ids): writes blocks (file, block, tokens, ids) to a flat file for each partition and lists them.
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str) -> DataFrame:
+    """(file, number, doc_id, length, end): writes the ids of `docs` (doc_id, text) to a flat file for each partition.
 
+    A row per document, number counting from 0 in its file; length is that of the
+    file in bytes up to the document's end. Each ends in the id `end`, the first
+    beyond the vocabulary, since texts may hold the vocabulary's own separator.
     Each try of a task has a file of its own; only that of the try that
     succeeded is listed. So the list must be made once: checkpoint it.
     """
@@ -95,73 +99,41 @@ def write_token_files(blocks: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        context = TaskContext.get()
+        coder, context = encoder(vocabulary), TaskContext.get()
+        end = len(coder.bytes_of)
+        if end > np.iinfo(KIND).max:
+            raise ValueError(f"the vocabulary's {end} ids don't fit {KIND}")
         at = f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}"
-        out = None
+        out, number, length = None, 0, 0
         try:
             for batch in batches:
-                if batch.num_rows:
-                    if out is None:
-                        store, path = _store(at)
-                        out = store.open_output_stream(path)
-                    for content in batch.column("tokens"):
-                        out.write(content.as_buffer())
-                    yield pa.RecordBatch.from_arrays([pa.array([at] * batch.num_rows), pa.array([at] * batch.num_rows), batch.column("block"), batch.column("ids")], ["file", "at", "block", "ids"])
+                if not batch.num_rows:
+                    continue
+                if out is None:
+                    store, path = _store(at)
+                    out = store.open_output_stream(path)
+                sizes = []
+                for text in batch.column("text").to_pylist():
+                    ids = coder.encode(text)
+                    out.write(np.append(ids, np.uint32(end)).astype(KIND).tobytes())
+                    sizes.append(len(ids) + 1)
+                n = len(sizes)
+                lengths = length + np.cumsum(sizes) * np.dtype(KIND).itemsize
+                yield pa.RecordBatch.from_arrays([pa.array([at] * n), pa.array(np.arange(number, number + n)), batch.column("doc_id"), pa.array(lengths), pa.array([end] * n, pa.int32())], ["file", "number", "doc_id", "length", "end"])
+                number, length = number + n, int(lengths[-1])
         finally:
             if out is not None:
                 out.close()
 
-    return blocks.select("block", "tokens", "ids").mapInArrow(run, "file string, at string, block long, ids array<long>")
-
-
-def byte_token_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(file, block, tokens, ids): a token stream for each partition of `docs` (doc_id, text), cut into blocks.
-
-    A document's tokens are its text's UTF-8 bytes and END. ids lists the
-    documents whose END is in the block; the scan passes it on without using it.
-    """
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        file = f"part-{TaskContext.get().partitionId():05d}"
-        held, size, number, ends = [], 0, 0, []
-
-        def send(stream, ids):
-            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([number], pa.int64()), pa.array([stream.astype(KIND).tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], ["file", "block", "tokens", "ids"])
-
-        for batch in batches:
-            raw, offsets = spans(batch.column("text"))
-            sizes = np.diff(offsets)
-            out = np.full(len(raw) + len(sizes), END, np.uint16)
-            out[np.arange(len(raw)) + np.repeat(np.arange(len(sizes)), sizes)] = raw
-            for at, i in zip((size + np.cumsum(sizes + 1) - 1).tolist(), batch.column("doc_id").to_pylist()):
-                ends.append((at, i))
-            held.append(out)
-            size += len(out)
-            if size >= block:
-                stream = np.concatenate(held)
-                k, place = 0, 0
-                while size - k >= block:
-                    upto = place
-                    while upto < len(ends) and ends[upto][0] < k + block:
-                        upto += 1
-                    yield send(stream[k : k + block], [i for _, i in ends[place:upto]])
-                    place, k, number = upto, k + block, number + 1
-                held, ends, size = [stream[k:]], [(at - k, i) for at, i in ends[place:]], size - k
-        if size:
-            yield send(np.concatenate(held), [i for _, i in ends])
-
-    return docs.mapInArrow(run, "file string, block long, tokens binary, ids array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "file string, number long, doc_id long, length long, end int")
 
 
 def scan_blocks(blocks: DataFrame, end: int = END, kind: str = KIND) -> DataFrame:
-    """(file, block, n, head, tail, lengths[, ids]): of each block the ids, those before the first separator, those after the last.
+    """(file, block, n, ends, head, tail, lengths): of each block the ids, the separators, the ids before the first, those after the last.
 
     lengths: the documents between two separators of the block. Without a
     separator head is all the block, and tail is 0.
     """
-    more = ["ids"] if "ids" in blocks.columns else []
 
     def run(batches):
         for batch in batches:
@@ -174,43 +146,64 @@ def scan_blocks(blocks: DataFrame, end: int = END, kind: str = KIND) -> DataFram
                 else:
                     rows.append((len(tokens), 0, len(tokens), 0, np.zeros(0, np.int64)))
             n, ends, head, tail, lengths = zip(*rows) if rows else ((),) * 5
-            arrays = [batch.column("file"), batch.column("block"), *[pa.array(x, pa.int64()) for x in (n, ends, head, tail)], pa.array(list(lengths), pa.list_(pa.int64())), *[batch.column(c) for c in more]]
-            yield pa.RecordBatch.from_arrays(arrays, ["file", "block", "n", "ends", "head", "tail", "lengths", *more])
+            arrays = [batch.column("file"), batch.column("block"), *[pa.array(x, pa.int64()) for x in (n, ends, head, tail)], pa.array(list(lengths), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["file", "block", "n", "ends", "head", "tail", "lengths"])
 
-    schema = "file string, block long, n long, ends long, head long, tail long, lengths array<long>" + ", ids array<long>" * bool(more)
-    return blocks.select("file", "block", "tokens", *more).mapInArrow(run, schema)
+    return blocks.select("file", "block", "tokens").mapInArrow(run, "file string, block long, n long, ends long, head long, tail long, lengths array<long>")
 
 
-def document_lengths(scanned: DataFrame) -> DataFrame:
-    """(file, number, n_tokens[, doc_id]) of each document, in the order of the file; number counts from 0.
+def stitched(scanned: DataFrame, span: int = SPAN) -> DataFrame:
+    """(file, block, first, open, last): the number of the document that is open at a block's start, its ids so far, and whether the block is the file's last.
 
-    Two running sums over a file's blocks: of separators, which numbers the
-    documents, and of ids, of which the difference since the last block with a
-    separator is the open document's length so far. A document that no
-    separator ends is the file's last.
+    Running sums of ids and separators number the documents; what is open is the
+    ids up to the block, less those up to the last separator before it. Both are
+    made within spans of blocks and then over the spans' totals, so no window has
+    more rows than a span or a file's spans.
+    """
+    numbers = scanned.select("file", F.floor(F.col("block") / span).alias("span"), "block", "n", "ends", "tail")
+    inside = W.partitionBy("file", "span").orderBy("block")
+    before = inside.rowsBetween(W.unboundedPreceding, -1)
+    upto = F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    rows = numbers.withColumn("_upto", upto).withColumn("_closed", F.when(F.col("ends") > 0, F.col("_upto") - F.col("tail")))
+    rows = rows.withColumn("_closed_before", F.max("_closed").over(before)).withColumn("_ends_before", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    totals = numbers.groupBy("file", "span").agg(F.sum("n").alias("_n"), F.sum("ends").alias("_ends"), F.max("block").alias("_top"))
+    closed = rows.groupBy("file", "span").agg(F.max("_closed").alias("_closed_in"))
+    along = W.partitionBy("file").orderBy("span")
+    earlier = along.rowsBetween(W.unboundedPreceding, -1)
+    spans = totals.join(closed, ["file", "span"]).withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    spans = spans.withColumn("_at", F.col("_start") + F.col("_closed_in"))
+    spans = spans.select(
+        F.col("file").alias("_f"), F.col("span").alias("_s"), "_start", F.coalesce(F.sum("_ends").over(earlier), F.lit(0)).alias("_first"),
+        F.coalesce(F.max("_at").over(earlier), F.lit(0)).alias("_closed_earlier"), F.max("_top").over(W.partitionBy("file")).alias("_last"),
+    )
+    rows = rows.join(spans, (F.col("file") == F.col("_f")) & (F.col("span") == F.col("_s")))
+    closed_upto = F.coalesce(F.col("_start") + F.col("_closed_before"), F.col("_closed_earlier"))
+    return rows.select("file", "block", (F.col("_first") + F.col("_ends_before")).alias("first"), (F.col("_start") + F.col("_upto") - F.col("n") - closed_upto).alias("open"), (F.col("block") == F.col("_last")).alias("last"))
+
+
+def document_lengths(scanned: DataFrame, span: int = SPAN) -> DataFrame:
+    """(file, number, n_tokens) of each document; number counts from 0 in the order of the file.
+
+    A document that no separator ends is the file's last. The scan is read
+    twice: checkpoint it.
     """
-    along = W.partitionBy("file").orderBy("block")
-    before = along.rowsBetween(W.unboundedPreceding, -1)
-    # what is open at a block's start: the ids up to it, less those up to the end of the last separator
-    upto = F.sum("n").over(along.rowsBetween(W.unboundedPreceding, 0))
-    rows = scanned.withColumn("_upto", upto).withColumn("_closed", F.when(F.col("ends") > 0, F.col("_upto") - F.col("tail")))
-    rows = rows.withColumn("_open", F.col("_upto") - F.col("n") - F.coalesce(F.max("_closed").over(before), F.lit(0)))
-    rows = rows.withColumn("_first", F.coalesce(F.sum("ends").over(before), F.lit(0)))
-    rows = rows.withColumn("_last", F.lead("block").over(along).isNull())
-    stitched = F.when(F.col("ends") > 0, F.concat(F.array(F.col("_open") + F.col("head")), F.col("lengths"))).otherwise(F.array().cast("array<long>"))
-    left = F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("_open") + F.col("n"))
-    stitched = F.when(F.col("_last") & (left > 0), F.concat(stitched, F.array(left))).otherwise(stitched)
-    ids = ["ids"] if "ids" in scanned.columns else []
-    listed = rows.select("file", "_first", *ids, F.posexplode(stitched).alias("_k", "n_tokens"))
-    return listed.select("file", (F.col("_first") + F.col("_k")).alias("number"), "n_tokens", *([F.get("ids", F.col("_k")).alias("doc_id")] if ids else []))
-
-
-def token_counts(docs: DataFrame) -> DataFrame:
-    """A row per row of `docs` (doc_id, text): doc_id, n_tokens, file, number.
-
-    A null text is empty and has no tokens. An empty table gives no rows.
-    Other columns are ignored. The texts are written to token files in the
-    checkpoint folder, which are read by ranges and then removed.
+    offsets = stitched(scanned, span).select(F.col("file").alias("_f"), F.col("block").alias("_b"), "first", "open", "last")
+    rows = scanned.join(offsets, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+    whole = F.when(F.col("ends") > 0, F.concat(F.array(F.col("open") + F.col("head")), F.col("lengths"))).otherwise(F.array().cast("array<long>"))
+    left = F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("open") + F.col("n"))
+    whole = F.when(F.col("last") & (left > 0), F.concat(whole, F.array(left))).otherwise(whole)
+    return rows.select("file", "first", F.posexplode(whole).alias("_k", "n_tokens")).select("file", (F.col("first") + F.col("_k")).alias("number"), "n_tokens")
+
+
+def token_counts(docs: DataFrame, vocabulary: str, block: int = BLOCK) -> DataFrame:
+    """A row per row of `docs` (doc_id, text): doc_id, n_tokens.
+
+    The texts' ids are written to token files in the checkpoint folder; the files
+    are read back by ranges, scanned and then removed, and the counts come from
+    the scan alone. Documents are known by their number in their file, so rows
+    that are alike, repeated rows and rows without an id each have their own
+    count. A null text is empty and has no tokens; a very long one goes on over
+    blocks. An empty table gives no rows. Other columns are ignored.
     """
     spark = ready(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -218,16 +211,15 @@ def token_counts(docs: DataFrame) -> DataFrame:
     system, path = _hadoop(spark, folder)
     system.mkdirs(path)
     try:
-        written = write_token_files(byte_token_blocks(plain), _resolved(spark, folder)).checkpoint()
-        blocks = _spread(written, written.rdd.getNumPartitions())
-        scanned = scan_blocks(read_blocks(blocks)).checkpoint()
+        written = write_token_files(plain, _resolved(spark, folder), vocabulary).checkpoint()
+        files = written.groupBy("file").agg(F.max("length").alias("length")).withColumn("at", F.col("file"))
+        end = written.agg(F.max("end")).first()[0] or END
+        scanned = scan_blocks(read_blocks(files, block), end).checkpoint()
     finally:
         system.delete(path, True)
-    return document_lengths(scanned).select("doc_id", "n_tokens")
+    counts = document_lengths(scanned).select(F.col("file").alias("_f"), F.col("number").alias("_k"), "n_tokens")
+    return written.join(counts, (F.col("file") == F.col("_f")) & (F.col("number") == F.col("_k"))).select("doc_id", "n_tokens")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(documents(spark, sf_dir))
-
-
-OP6_SQL = "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_tokens FROM documents"
+    return token_counts(documents(spark, sf_dir), default_file())

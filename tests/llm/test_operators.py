@@ -35,7 +35,7 @@ OPERATORS = {
     "mixing": lambda d: mixing.mix_sources(d),
     "quality": lambda d: quality.rated(d, MODEL),
     "exact": lambda d: exact.exact_groups(d),
-    "token_counts": lambda d: token_counts.token_counts(d),
+    "token_counts": lambda d: token_counts.token_counts(d, FILE),
     "sharding": lambda d: sharding.shards(d, 2000),
     "bpe": lambda d: bpe.round_trip(d, FILE),
     "ngram_join": lambda d: ngram_join.components(d),
@@ -312,12 +312,22 @@ def test_cuts_make_up_the_text():
 # --- 6 and 7 ---------------------------------------------------------------------
 
 
-def test_token_counts(docs, data, monkeypatch, spark):
-    expected = sorted((i, len((t or "").encode())) for i, t, *_ in data)
-    for block in (token_counts.BLOCK, 64, 7):
-        plain = docs.selectExpr("doc_id", "coalesce(text, '') text")
-        got = token_counts.document_lengths(token_counts.scan_blocks(token_counts.byte_token_blocks(plain, block)))
-        assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == expected
+def library_counts(data):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(FILE)
+    return sorted((i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in data)
+
+
+@pytest.mark.skipif(FILE is None, reason="no vocabulary")
+@pytest.mark.parametrize("block", (token_counts.BLOCK, 64, 7))
+def test_token_counts(docs, data, block):
+    got = token_counts.token_counts(docs, FILE, block)
+    assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == library_counts(data)
+
+
+def lengths(blocks, end=256, span=token_counts.SPAN):
+    return [(r.number, r.n_tokens) for r in token_counts.document_lengths(token_counts.scan_blocks(blocks, end), span).orderBy("file", "number").collect()]
 
 
 def test_token_files(spark, tmp_path):
@@ -325,9 +335,33 @@ def test_token_files(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
     for block in (2, 3, 100):
-        blocks = token_counts.read_token_files(spark, str(tmp_path), block)
-        got = token_counts.document_lengths(token_counts.scan_blocks(blocks)).orderBy("number").collect()
-        assert [(r.number, r.n_tokens) for r in got] == [(0, 2), (1, 0), (2, 3), (3, 1)]
+        for span in (1, 2, 1024):
+            assert lengths(token_counts.read_token_files(spark, str(tmp_path), block), span=span) == [(0, 2), (1, 0), (2, 3), (3, 1)]
+    (tmp_path / "c.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="ends within an id"):
+        lengths(token_counts.read_token_files(spark, str(tmp_path), 2))
+
+
+def test_separators_at_every_place(spark, tmp_path):
+    """Against a plain loop, with separators before, at and after the edges of blocks and of spans."""
+    rng = np.random.default_rng(8)
+    expected = []
+    for k in range(12):
+        ids = rng.integers(1, 5, 40)
+        ids[rng.random(40) < (0.05, 0.3, 0.8)[k % 3]] = 0
+        ids[k] = 0
+        ids.astype("<u2").tofile(tmp_path / f"f{k:02d}.bin")
+        number, n = 0, 0
+        for x in ids.tolist():
+            if x == 0:
+                expected.append((number, n))
+                number, n = number + 1, 0
+            else:
+                n += 1
+        if n:
+            expected.append((number, n))
+    for block, span in ((4, 1), (4, 2), (1, 3), (5, 4), (64, 2)):
+        assert lengths(token_counts.read_token_files(spark, str(tmp_path), block), 0, span) == expected
 
 
 def test_token_files_beyond_what_spark_reads_whole(spark, tmp_path):
@@ -338,25 +372,23 @@ def test_token_files_beyond_what_spark_reads_whole(spark, tmp_path):
             f.write(np.array([256], "<u2").tobytes())
         f.truncate(size)
     blocks = token_counts.read_token_files(spark, str(tmp_path), 1 << 22)
-    got = token_counts.document_lengths(token_counts.scan_blocks(blocks)).orderBy("number").collect()
-    assert [r.n_tokens for r in got] == [5, (size - 30) // 2 - 1, 7, 1]
+    assert [n for _, n in lengths(blocks)] == [5, (size - 30) // 2 - 1, 7, 1]
 
 
 def test_token_files_behind_a_mount(spark, tmp_path):
     (tmp_path / "a b.bin").write_bytes(np.array([5, 256, 6, 7, 256], "<u2").tobytes())
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tokens.link./in", f"file://{tmp_path}")
-    blocks = token_counts.read_token_files(spark, "viewfs://tokens/in", 2)
-    got = token_counts.document_lengths(token_counts.scan_blocks(blocks)).orderBy("number").collect()
-    assert [r.n_tokens for r in got] == [1, 2]
+    assert [n for _, n in lengths(token_counts.read_token_files(spark, "viewfs://tokens/in", 2))] == [1, 2]
 
 
+@pytest.mark.skipif(FILE is None, reason="no vocabulary")
 def test_token_counts_read_files(docs, data, spark, monkeypatch):
     """The counts come from files that are read by ranges, and the files are gone afterwards."""
     made = []
     write = token_counts.write_token_files
-    monkeypatch.setattr(token_counts, "write_token_files", lambda blocks, folder: made.append(folder) or write(blocks, folder))
-    got = token_counts.token_counts(docs)
-    assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == sorted((i, len((t or "").encode())) for i, t, *_ in data)
+    monkeypatch.setattr(token_counts, "write_token_files", lambda docs, folder, file: made.append(folder) or write(docs, folder, file))
+    got = token_counts.token_counts(docs, FILE)
+    assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == library_counts(data)
     assert len(made) == 1 and not os.path.exists(made[0].removeprefix("file:"))
 
 
