@@ -17,14 +17,15 @@ from .common import documents, ready
 
 #: The band: shares of all documents that have the term.
 LEAST_SHARE, MOST_SHARE = 1 / 2048, 1 / 8
-#: The lexicon's size is bounded: the least share is doubled until no more terms are in the band.
-LEXICON_MOST = 1 << 18
+#: A lexicon of so many terms, 8 MB, is broadcast; a larger one is joined by shuffling. Its terms are in so large a share of
+#: the documents that there are at most the mean number of distinct terms of a document / LEAST_SHARE, however many documents.
+BROADCAST_TERMS = 1 << 20
 #: Subsets: for each tier the share of the lexicon is 2**-bits, and there are so many subsets.
 #: Subset k looks at the bits of a term's hash from k * STRIDE on; that of a finer tier is part of that of a coarser one.
 TIERS = (4, 6, 8, 10)
 SUBSETS, STRIDE = 8, 6
-#: Buckets of neighbouring ids; the table of their first ids is broadcast.
-BUCKETS, BUCKET_ROWS = 1 << 16, 256
+#: Buckets of neighbouring ids have about so many rows; there are at most COARSE * FINE of them, whose first ids are broadcast (4 MB).
+BUCKET_ROWS, COARSE, FINE = 256, 512, 256
 
 
 def term_hashes(text: Column) -> Column:
@@ -34,15 +35,11 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> DataFrame:
-    """The hashes `term` of the terms in the band. Counts are over all documents; at most LEXICON_MOST terms, 2 MB."""
+    """The hashes `term` of all terms in the band. Counts are over all documents."""
     ready(docs.sparkSession)
     n = docs.count()
     terms = docs.select(F.explode(term_hashes(F.coalesce("text", F.lit("")))).alias("term"))
-    counts = terms.groupBy("term").agg(F.count("*").alias("n")).where((F.col("n") >= max(2, n * least_share)) & (F.col("n") <= max(2, n * most_share))).checkpoint()
-    floors = [max(2, n * least_share) * 2**k for k in range(24)]
-    sizes = counts.agg(*[F.count_if(F.col("n") >= x) for x in floors]).first()
-    floor = next(x for x, size in zip([*floors, float("inf")], [*sizes, 0]) if size <= LEXICON_MOST)
-    return counts.where(F.col("n") >= floor).select("term")
+    return terms.groupBy("term").agg(F.count("*").alias("n")).where((F.col("n") >= max(2, n * least_share)) & (F.col("n") <= max(2, n * most_share))).select("term").checkpoint()
 
 
 def prints(kept: Column, otherwise: Column) -> Column:
@@ -95,23 +92,45 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.get(a, 0) == F.get(b, 0), F.lit(1.0)).otherwise(F.greatest(*shares))
 
 
+def _place(cuts: Column) -> Column:
+    """How many of the cuts are not above the doc_id."""
+    return F.size(F.filter(cuts, lambda x: x <= F.col("doc_id")))
+
+
+def buckets(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """`rows`, with a column of cuts where there are many, and the number of a row's bucket: -1 for null ids, then in the order of ids.
+
+    Cuts are approximate quantiles of the ids, so that buckets have like numbers
+    of rows however the ids are spread: COARSE ones at most, and if these buckets
+    are large, quantiles of each of them.
+    """
+    n, top = rows.count(), F.lit(-1)
+    many = -(-n // BUCKET_ROWS)
+    shares = [k / min(many, COARSE) for k in range(1, min(many, COARSE))]
+    cuts = rows.agg(F.percentile_approx("doc_id", shares, 8 * COARSE)).first()[0] if shares else None
+    coarse = _place(F.lit(sorted(set(cuts)))) if cuts else F.lit(0)
+    coarse = F.when(F.col("doc_id").isNull(), top).otherwise(coarse)
+    fine = min(FINE, -(-many // COARSE))
+    if fine <= 1:
+        return rows, coarse
+    within = rows.where("doc_id is not null").groupBy(coarse.alias("_coarse")).agg(F.percentile_approx("doc_id", [k / fine for k in range(1, fine)], 8 * FINE).alias("_cuts"))
+    placed = rows.withColumn("_own", coarse).join(F.broadcast(within), F.col("_own") == F.col("_coarse"), "left")
+    return placed, F.when(F.col("doc_id").isNull(), top).otherwise(F.col("_own") * FINE + _place(F.array_distinct("_cuts")))
+
+
 def in_buckets(rows: DataFrame) -> DataFrame:
     """Adds _at and _copy: within each _at, ordered by (_copy, doc_id), the row after a row is that of the next larger doc_id.
 
-    Ids are cut into buckets of equal width, 65,536 at most. A bucket's first
-    row is copied to the end of the bucket before it, so each bucket can be put
-    in order by itself; rows with _copy are there to be next only. After the
-    last id comes the first. Null ids come first.
+    A bucket's first row is copied to the end of the bucket before it, so each
+    bucket can be put in order by itself; rows with _copy are there to be next
+    only. After the last id comes the first. Null ids come first.
     """
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (low or 0), (high or 0)
-    width = max(1, -(-(high - low + 1) // max(1, min(BUCKETS, -(-n // BUCKET_ROWS)))))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(-1))
-    firsts = rows.groupBy(bucket.alias("_b")).agg(F.min("doc_id").alias("_first"))
-    order = W.partitionBy(F.lit(0)).orderBy("_b")
+    placed, bucket = buckets(rows)
+    firsts = placed.groupBy(bucket.alias("_b")).agg(F.min("doc_id").alias("_first"))
+    order = W.partitionBy(F.lit(0)).orderBy("_b")  # a row for each bucket
     before = F.coalesce(F.lag("_b").over(order), F.max("_b").over(W.partitionBy(F.lit(0))))
-    firsts = firsts.select(F.col("_b").alias("_fb"), "_first", before.alias("_before"))
-    placed = rows.withColumn("_bucket", bucket)
+    firsts = firsts.select(F.col("_b").alias("_fb"), "_first", before.alias("_before")).checkpoint()
+    placed = placed.select(*rows.columns, bucket.alias("_bucket"))
     placed = placed.join(F.broadcast(firsts), (F.col("_bucket") == F.col("_fb")) & F.col("doc_id").eqNullSafe(F.col("_first")), "left")
     here = F.struct(F.col("_bucket").alias("at"), F.lit(False).alias("copy"))
     there = F.struct(F.col("_before").alias("at"), F.lit(True).alias("copy"))
@@ -125,15 +144,19 @@ def imatch(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next. Edited: the last quarter (rounded down) of the code points is
     replaced by as many from the start of the next document. A null text is
-    empty; an only document is its own next one; among rows of one id any is
-    next. An empty table gives no rows. Other columns are ignored.
+    empty; a very long one is taken whole; an only document is its own next one;
+    among rows of one id any is next. Ids may be any longs. Texts that are equal,
+    repeated rows too, have equal fingerprints. An empty table gives no rows.
+    Other columns are ignored.
 
     The texts move once, to the buckets of neighbouring ids; all that follows
     stays in these partitions.
     """
     ready(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    words = F.broadcast(lexicon(plain, least_share, most_share).withColumnRenamed("term", "_term"))
+    words = lexicon(plain, least_share, most_share).withColumnRenamed("term", "_term")
+    if words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        words = F.broadcast(words)
     order = W.partitionBy("_at").orderBy("_copy", "doc_id", "_row")
     rows = in_buckets(plain).withColumn("_row", F.monotonically_increasing_id())
     rows = rows.select("_at", "_copy", "doc_id", "_row", "text", F.lead("text").over(order).alias("next_text"), F.char_length("text").cast("long").alias("n_chars"))

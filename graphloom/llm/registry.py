@@ -20,4 +20,5 @@ QUERIES = {
 SQL = {
     "op3_source_mix": mixing.OP3_SQL,
     "op5_exact_dedup": exact.OP5_SQL,
+    "op7_sharding": sharding.OP7_SQL,
 }

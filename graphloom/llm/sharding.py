@@ -3,12 +3,19 @@
 A directory is indexed by the first bits of a document's hash. A bucket whose
 documents have more bytes than the limit is split on one more bit, and only
 such a bucket, until every one fits. Documents don't move for it: splits are
-made on sums of bytes by prefix.
+made on sums of bytes by prefix, which are tables too.
+
+The bytes under a prefix are no less than those under a longer one. So a
+document's bucket is its shortest prefix whose bytes fit, and all buckets are
+found at once: each fine prefix adds its bytes to all prefixes it begins with.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, ready
@@ -16,69 +23,116 @@ from .common import documents, ready
 LIMIT = 32 << 20
 #: Bits of a hash; prefixes are looked at so many more bits at a time.
 BITS, STEP = 52, 4
+#: Bits by which buckets are dealt out to be numbered.
+DEAL = 10
+
+
+def _prefix(hash_: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(hash_, BITS - bits) if bits else F.lit(0).cast("long")
 
 
-def _prefix(hash_column: str, bits: int):
-    return F.shiftrightunsigned(hash_column, BITS - bits) if bits else F.lit(0).cast("long")
+def hashes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, hash) of `docs` (doc_id, text), checkpointed: BITS bits of a hash of id, text and turn.
+
+    Rows that are alike in id and text take turns, so they can be told apart.
+    Turns are counted within a task's rows and over the tasks' numbers; which of
+    such rows has which turn is all one.
+    """
+    text = F.coalesce("text", F.lit(""))
+    name = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit("|"), text))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), name.alias("name"), F.spark_partition_id().alias("task")).checkpoint()
+    alike = rows.groupBy("name", "task").agg(F.count("*").alias("_n"))
+    several = alike.groupBy("name").agg(F.sum("_n").alias("_m")).where("_m > 1").select(F.col("name").alias("_name"))
+    by_task = W.partitionBy("name").orderBy("task")
+    offsets = alike.join(several, F.col("name") == F.col("_name"), "left_semi").select(F.col("name").alias("_name"), F.col("task").alias("_task"), (F.sum("_n").over(by_task) - F.col("_n")).alias("_before"))
+    mine = (F.col("name") == F.col("_name")) & (F.col("task") == F.col("_task"))
+    inside = W.partitionBy("name", "task").orderBy("name")
+    repeated = rows.join(offsets, mine).withColumn("turn", F.col("_before") + F.row_number().over(inside) - 1)
+    single = rows.join(several, F.col("name") == F.col("_name"), "left_anti").withColumn("turn", F.lit(0).cast("long"))
+    both = single.select("doc_id", "n_bytes", "name", "turn").unionByName(repeated.select("doc_id", "n_bytes", "name", "turn"))
+    digits = F.substring(F.md5(F.concat_ws("|", "name", F.col("turn").cast("string"))), 1, BITS // 4)
+    return both.select("doc_id", "n_bytes", F.conv(digits, 16, 10).cast("long").alias("hash")).checkpoint()
 
 
-def directory(sizes: DataFrame, limit: int = LIMIT) -> list[tuple[int, int, int]]:
-    """(prefix, bits, bytes) of the buckets, from sizes (hash, n_bytes).
+def directory(sizes: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """(buckets (prefix, bits, bytes), [(depth, (fine, prefix, bits) for prefixes of that depth)]), from sizes (hash, n_bytes).
 
     Sums are taken for prefixes of enough bits for buckets of the limit, and of
-    STEP more where one is still too large. What comes to the driver are sums by
-    prefix, about ten for each bucket, so their number follows the shards', not
-    the documents'. A bucket of one hash can't be split and may exceed the limit.
+    STEP more for those that are still too large. Prefixes are a few for each
+    bucket. A bucket of one row isn't split and may exceed the limit.
     """
     total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = min(BITS, max(0, (-(-total // limit) - 1).bit_length() + 2))
-    sums = {(r["p"], bits): r["b"] for r in sizes.groupBy(_prefix("hash", bits).alias("p")).agg(F.sum("n_bytes").alias("b")).collect()}
-    deep = bits
-    while (over := [p for (p, n), b in sums.items() if n == deep and b > limit]) and deep < BITS:
-        more = min(BITS, deep + STEP)
-        wanted = sizes.sparkSession.createDataFrame([(p,) for p in over], "o long")
-        # the prefixes that are too large are fewer than total bytes / limit
-        finer = sizes.join(F.broadcast(wanted), _prefix("hash", deep) == F.col("o")).groupBy(_prefix("hash", more).alias("p")).agg(F.sum("n_bytes").alias("b")).collect()
-        for p in over:
-            del sums[p, deep]
-        sums |= {(r["p"], more): r["b"] for r in finer}
-        deep = more
-    # From the finest prefixes up: the directory doubles from one bucket on, splitting what is over the limit.
-    out, todo = [], [(0, 0, sorted((p << (BITS - n), n, b) for (p, n), b in sums.items()))]
-    while todo:
-        prefix, n, inside = todo.pop()
-        held = sum(b for _, _, b in inside)
-        if held <= limit or (len(inside) <= 1 and (not inside or inside[0][1] <= n)) or n == BITS:
-            out.append((prefix, n, held))
-            continue
-        middle = ((prefix << 1) | 1) << (BITS - n - 1)
-        todo.append((prefix << 1, n + 1, [x for x in inside if x[0] < middle]))
-        todo.append(((prefix << 1) | 1, n + 1, [x for x in inside if x[0] >= middle]))
-    return sorted(out, key=lambda x: x[0] << (BITS - x[1]))
+    depth = min(BITS, max(0, (-(-total // limit) - 1).bit_length() + 2))
+    from_bits, rest, found, places = 0, sizes, [], []
+    while True:
+        sums = rest.groupBy(_prefix(F.col("hash"), depth).alias("fine")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")).checkpoint()
+        steps = F.explode(F.sequence(F.lit(from_bits), F.lit(depth))).alias("bits")
+        above = sums.select("fine", "b", "n", steps).select("fine", "b", "n", "bits", F.expr(f"shiftright(fine, {depth} - bits)").alias("prefix"))
+        nodes = above.groupBy("bits", "prefix").agg(F.sum("b").alias("bytes"), F.sum("n").alias("n"))
+        # a node that fits, or can't be split, under one that doesn't fit
+        fits = (F.col("bytes") <= limit) | (F.col("n") == 1) | (F.col("bits") == BITS)
+        leaves = nodes.where(fits).select(F.col("bits").alias("_bits"), F.col("prefix").alias("_prefix"))
+        below = above.join(leaves, (F.col("bits") == F.col("_bits")) & (F.col("prefix") == F.col("_prefix")))
+        placed = below.groupBy("fine").agg(F.min(F.struct("bits", "prefix")).alias("x"), F.first("b").alias("b")).select("fine", "b", "x.prefix", "x.bits").checkpoint()
+        found.append(placed.groupBy("prefix", "bits").agg(F.sum("b").alias("bytes")))
+        places.append((depth, placed.select("fine", "prefix", "bits")))
+        deeper = sums.join(placed.select(F.col("fine").alias("_fine")), F.col("fine") == F.col("_fine"), "left_anti").select(F.col("fine").alias("_fine"))
+        if deeper.isEmpty():
+            return reduce(DataFrame.unionByName, found), places
+        rest = rest.join(deeper, _prefix(F.col("hash"), depth) == F.col("_fine"), "left_semi")
+        from_bits, depth = depth + 1, min(BITS, depth + STEP)
+
+
+def numbered(buckets: DataFrame) -> DataFrame:
+    """The buckets with `shard`, their number in the order of their prefixes: counted in groups by first bits, and over the groups."""
+    start = F.expr(f"shiftleft(prefix, {BITS} - bits)")
+    rows = buckets.withColumn("_start", start).withColumn("_group", _prefix(F.col("_start"), DEAL))
+    groups = rows.groupBy("_group").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_group")) - F.col("_n")  # at most 2**DEAL rows
+    groups = groups.select(F.col("_group").alias("_g"), before.alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_group").orderBy("_start"))
+    return rows.withColumn("_k", inside).join(groups, F.col("_group") == F.col("_g")).select("prefix", "bits", "bytes", (F.col("_before") + F.col("_k") - 1).alias("shard"))
 
 
 def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """A row per row of `docs` (doc_id, text): doc_id, n_bytes, shard, prefix, bits, shard_bytes.
 
     shard numbers the buckets in the order of their prefixes; prefix is written
-    in binary digits. The hash is of the id and the text, so documents of one id
-    are told apart; rows alike in both share a shard, which they may overfill
-    (shard_bytes says so), as may a text longer than the limit. Null texts
-    have 0 bytes. An empty table gives no rows. Other columns are ignored.
+    in binary digits. The hash is of the id, the text and, for rows alike in
+    both, their turn, so all can be told apart; a text longer than the limit has
+    a shard of its own, which exceeds it (shard_bytes says so). Null and empty texts have 0 bytes. An empty table gives no rows.
+    Other columns are ignored.
     """
-    spark = ready(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.shiftrightunsigned(F.xxhash64("doc_id", text), 64 - BITS).alias("hash")).checkpoint()
-    found = directory(sizes, limit)
-    table = spark.createDataFrame([(i, p, n, b, format(p, f"0{n}b") if n else "") for i, (p, n, b) in enumerate(found)], "shard long, p long, bits int, shard_bytes long, prefix string")
-    out = None
-    for n in sorted({n for _, n, _ in found}):
-        own = table.where(F.col("bits") == n)
-        # at most total bytes / limit * 2 rows
-        part = sizes.join(F.broadcast(own), _prefix("hash", n) == F.col("p")).select("doc_id", "n_bytes", "shard", "prefix", "bits", "shard_bytes")
-        out = part if out is None else out.unionByName(part)
-    return out
+    ready(docs.sparkSession)
+    sizes = hashes(docs)
+    buckets, places = directory(sizes, limit)
+    names = numbered(buckets).select(F.col("prefix").alias("_prefix"), F.col("bits").alias("_bits"), "bytes", "shard").checkpoint()
+    out, rest = [], sizes
+    for depth, fine in places:
+        table = fine.join(names, (F.col("prefix") == F.col("_prefix")) & (F.col("bits") == F.col("_bits"))).select("fine", "prefix", "bits", "bytes", "shard")
+        mine = rest.withColumn("_fine", _prefix(F.col("hash"), depth))
+        out.append(mine.join(table, F.col("_fine") == F.col("fine")))
+        rest = mine.join(table, F.col("_fine") == F.col("fine"), "left_anti").drop("_fine")
+    digits = F.when(F.col("bits") == 0, "").otherwise(F.lpad(F.bin("prefix"), F.col("bits"), F.lit("0")))
+    return reduce(DataFrame.unionByName, out).select("doc_id", "n_bytes", "shard", digits.alias("prefix"), F.col("bits").cast("int").alias("bits"), F.col("bytes").alias("shard_bytes"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(documents(spark, sf_dir))
+
+
+OP7_SQL = f"""
+WITH a AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, md5(coalesce(doc_id::VARCHAR, '-') || '|' || coalesce(text, '')) AS name FROM documents),
+b AS (SELECT *, row_number() OVER (PARTITION BY name) - 1 AS turn FROM a),
+c AS (SELECT *, ('0x' || substr(md5(name || '|' || turn), 1, {BITS // 4}))::BIGINT AS h FROM b),
+n AS (
+  SELECT c.*, bits, h >> ({BITS} - bits) AS p, sum(n_bytes) OVER (PARTITION BY bits, h >> ({BITS} - bits))::BIGINT AS shard_bytes,
+         count(*) OVER (PARTITION BY bits, h >> ({BITS} - bits)) AS own
+  FROM c, (SELECT unnest(range({BITS + 1}))::INTEGER AS bits)),
+o AS (
+  SELECT * FROM n WHERE shard_bytes <= {LIMIT} OR own = 1 OR bits = {BITS} QUALIFY row_number() OVER (PARTITION BY name, turn ORDER BY bits) = 1)
+SELECT doc_id, n_bytes, (dense_rank() OVER (ORDER BY p << ({BITS} - bits)) - 1)::BIGINT AS shard,
+       CASE WHEN bits = 0 THEN '' ELSE lpad(bin(p), bits, '0') END AS prefix, bits, shard_bytes
+FROM o
+"""

@@ -239,6 +239,28 @@ def test_imatch_against_plain(docs, data):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
+def test_next_document_whatever_the_ids(spark, monkeypatch):
+    """Ids at both ends of long and in clumps, many buckets, a null id; a lexicon that isn't broadcast."""
+    monkeypatch.setattr(imatch, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(imatch, "COARSE", 5)
+    monkeypatch.setattr(imatch, "FINE", 4)
+    monkeypatch.setattr(imatch, "BROADCAST_TERMS", 10)
+    ids = [-(1 << 63), (1 << 63) - 1, 0, *range(1000, 1040), 1 << 50, (1 << 50) + 1, -5]
+    data = [(i, f"{'abcdefgh'[k % 8]} word{k % 5} t{k} " * 4, None, None, None) for k, i in enumerate(ids)]
+    by = {i: t for i, t, *_ in data}
+    order = sorted(ids)
+    got = {r.doc_id: r for r in imatch.imatch(cases.frame(spark, data), 1 / 64, 1 / 2).collect()}
+    for k, i in enumerate(order):
+        text, following = by[i], by[order[(k + 1) % len(order)]]
+        q = len(text) // 4
+        assert got[i].edited_sha256 == hashlib.sha256((text[: len(text) - q] + following[:q]).encode()).hexdigest()
+    spread = imatch.in_buckets(cases.frame(spark, data).select("doc_id", "text")).where("not _copy").groupBy("_at").count().collect()
+    assert len(spread) > 8 and max(r["count"] for r in spread) <= 8
+    monkeypatch.undo()
+    again = {r.doc_id: r for r in imatch.imatch(cases.frame(spark, data), 1 / 64, 1 / 2).collect()}
+    assert again == got
+
+
 # --- 3 ---------------------------------------------------------------------------
 
 
@@ -392,17 +414,30 @@ def test_token_counts_read_files(docs, data, spark, monkeypatch):
     assert len(made) == 1 and not os.path.exists(made[0].removeprefix("file:"))
 
 
-def test_shards_fit(docs, data):
-    for limit in (500, 5000, 10**9):
-        rows = sharding.shards(docs, limit).collect()
-        held = {}
-        for r in rows:
-            held.setdefault((r.shard, r.prefix, r.bits), []).append(r.n_bytes)
-        for (_, prefix, bits), sizes in held.items():
-            assert len(prefix) == bits and (sum(sizes) <= limit or len(sizes) == 1)
-        prefixes = sorted(p for _, p, _ in held)
-        assert not any(b.startswith(a) for a, b in zip(prefixes, prefixes[1:]))
-        assert sum(map(sum, held.values())) == sum(len((t or "").encode()) for _, t, *_ in data)
+def plain_shards(data, limit):
+    """Rows as the operator returns them, by splitting one bucket at a time, and only those over the limit."""
+    turns, items = {}, []
+    for i, t, *_ in data:
+        name = hashlib.md5(f"{'-' if i is None else i}|{t or ''}".encode()).hexdigest()
+        turns[name] = turns.get(name, -1) + 1
+        bits = int(hashlib.md5(f"{name}|{turns[name]}".encode()).hexdigest()[: sharding.BITS // 4], 16)
+        items.append((i, len((t or "").encode()), format(bits, f"0{sharding.BITS}b")))
+    done, todo = [], [("", items)]
+    while todo:
+        prefix, own = todo.pop()
+        if sum(n for _, n, _ in own) <= limit or len(own) <= 1:
+            done += [(prefix, own)] if own else []
+        else:
+            todo += [(prefix + d, [x for x in own if x[2][len(prefix)] == d]) for d in "01"]
+    return sorted(((i, n, k, p, len(p), sum(m for _, m, _ in own)) for k, (p, own) in enumerate(sorted(done)) for i, n, _ in own), key=repr)
+
+
+@pytest.mark.parametrize("limit", (200, 500, 5000, 10**9))
+def test_shards_against_splitting_by_hand(spark, docs, data, limit):
+    """Also rows that are alike in all, which fill more than one shard."""
+    assert collected(sharding.shards(docs, limit)) == plain_shards(data, limit)
+    repeated = [*data[:20], *[(7, "the same text " * 5, "en", "a", 1)] * 50, *[(None, None, None, None, None)] * 5]
+    assert collected(sharding.shards(cases.frame(spark, repeated), limit)) == plain_shards(repeated, limit)
 
 
 # --- 8 ---------------------------------------------------------------------------
