@@ -50,40 +50,15 @@ def _resolved(spark: SparkSession, uri: str) -> str:
     return system.resolvePath(path).toString()
 
 
-def read_token_files(spark: SparkSession, path: str, block: int = BLOCK, kind: str = KIND) -> DataFrame:
-    """(file, block, tokens) of flat binary token files of any length.
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, length) of the flat binary token files of a path, of any length.
 
     Spark lists the files, from any of its stores, without their content. Tasks
-    read the blocks' ranges through Arrow: local and mounted files, viewfs that
-    leads to them, s3, gs, abfs, and hdfs where libhdfs is installed. A file that
-    ends within an id is refused.
+    open them through Arrow, at `at`: local and mounted files, viewfs that leads
+    to them, s3, gs, abfs, and hdfs where libhdfs is installed.
     """
     listed = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0").collect()
-    files = spark.createDataFrame([(r.path, _resolved(spark, r.path), r.length) for r in listed], "file string, at string, length long")
-    return read_blocks(files, block, kind)
-
-
-def read_blocks(files: DataFrame, block: int = BLOCK, kind: str = KIND) -> DataFrame:
-    """(file, block, tokens) of files (file, at, length in bytes); at is where the file is opened."""
-    size = block * np.dtype(kind).itemsize
-    n_blocks, n_bytes = files.agg(F.sum(F.ceil(F.col("length") / size)), F.sum("length")).first()
-    # the blocks are dealt out one by one, so that a long file is many tasks' work
-    tasks = max(1, min(n_blocks or 1, max(files.sparkSession.sparkContext.defaultParallelism, (n_bytes or 0) >> 26)))
-
-    def run(batches):
-        for batch in batches:
-            for file, at, b, length in zip(*[batch.column(c).to_pylist() for c in ("file", "at", "block", "length")]):
-                store, path = _store(at)
-                with store.open_input_file(path) as f:
-                    f.seek(b * size)
-                    body = f.read(min(size, length - b * size))
-                if len(body) % np.dtype(kind).itemsize:
-                    raise ValueError(f"{file} ends within an id")
-                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([b], pa.int64()), pa.array([body], pa.binary())], ["file", "block", "tokens"])
-
-    last = F.ceil(F.col("length") / size).cast("long") - 1
-    blocks = files.where("length > 0").select("file", "at", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
-    return blocks.repartition(tasks, "file", "block").mapInArrow(run, "file string, block long, tokens binary")
+    return spark.createDataFrame([(r.path, _resolved(spark, r.path), r.length) for r in listed], "file string, at string, length long")
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str) -> DataFrame:
@@ -128,28 +103,43 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(run, "file string, number long, doc_id long, length long, end int")
 
 
-def scan_blocks(blocks: DataFrame, end: int = END, kind: str = KIND) -> DataFrame:
-    """(file, block, n, ends, head, tail, lengths): of each block the ids, the separators, the ids before the first, those after the last.
+def scan_blocks(files: DataFrame, end: int = END, block: int = BLOCK, kind: str = KIND) -> DataFrame:
+    """(file, block, n, ends, head, tail, lengths) of files (file, at, length in bytes), in blocks of so many ids.
 
-    lengths: the documents between two separators of the block. Without a
-    separator head is all the block, and tail is 0.
+    Of each block the ids, the separators, the ids before the first and after the
+    last; lengths: the documents between two separators of the block. Without a
+    separator head is all the block, and tail is 0. A task reads one block's
+    range at a time, and none of its ids leave it. A file that ends within an id
+    is refused.
     """
+    wide = np.dtype(kind).itemsize
+    size = block * wide
+    n_blocks, n_bytes = files.agg(F.sum(F.ceil(F.col("length") / size)), F.sum("length")).first()
+    # the blocks are dealt out one by one, so that a long file is many tasks' work
+    tasks = max(1, min(n_blocks or 1, max(files.sparkSession.sparkContext.defaultParallelism, (n_bytes or 0) >> 26)))
+
+    def scanned(file, at, b, length):
+        store, path = _store(at)
+        with store.open_input_file(path) as f:
+            f.seek(b * size)
+            body = f.read(min(size, length - b * size))
+        if len(body) % wide:
+            raise ValueError(f"{file} ends within an id")
+        tokens = np.frombuffer(body, kind)
+        at = np.flatnonzero(tokens == end)
+        if len(at):
+            return file, b, len(tokens), len(at), int(at[0]), len(tokens) - 1 - int(at[-1]), np.diff(at) - 1
+        return file, b, len(tokens), 0, len(tokens), 0, np.zeros(0, np.int64)
 
     def run(batches):
+        kinds = [pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64())]
         for batch in batches:
-            rows = []
-            for content in batch.column("tokens"):
-                tokens = np.frombuffer(content.as_buffer(), kind)
-                at = np.flatnonzero(tokens == end)
-                if len(at):
-                    rows.append((len(tokens), len(at), int(at[0]), len(tokens) - 1 - int(at[-1]), np.diff(at) - 1))
-                else:
-                    rows.append((len(tokens), 0, len(tokens), 0, np.zeros(0, np.int64)))
-            n, ends, head, tail, lengths = zip(*rows) if rows else ((),) * 5
-            arrays = [batch.column("file"), batch.column("block"), *[pa.array(x, pa.int64()) for x in (n, ends, head, tail)], pa.array(list(lengths), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["file", "block", "n", "ends", "head", "tail", "lengths"])
+            for row in zip(*[batch.column(c).to_pylist() for c in ("file", "at", "block", "length")]):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(scanned(*row), kinds)], ["file", "block", "n", "ends", "head", "tail", "lengths"])
 
-    return blocks.select("file", "block", "tokens").mapInArrow(run, "file string, block long, n long, ends long, head long, tail long, lengths array<long>")
+    last = F.ceil(F.col("length") / size).cast("long") - 1
+    blocks = files.where("length > 0").select("file", "at", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    return blocks.repartition(tasks, "file", "block").mapInArrow(run, "file string, block long, n long, ends long, head long, tail long, lengths array<long>")
 
 
 def stitched(scanned: DataFrame, span: int = SPAN) -> DataFrame:
@@ -214,7 +204,7 @@ def token_counts(docs: DataFrame, vocabulary: str, block: int = BLOCK) -> DataFr
         written = write_token_files(plain, _resolved(spark, folder), vocabulary).checkpoint()
         files = written.groupBy("file").agg(F.max("length").alias("length")).withColumn("at", F.col("file"))
         end = written.agg(F.max("end")).first()[0] or END
-        scanned = scan_blocks(read_blocks(files, block), end).checkpoint()
+        scanned = scan_blocks(files, end, block).checkpoint()
     finally:
         system.delete(path, True)
     counts = document_lengths(scanned).select(F.col("file").alias("_f"), F.col("number").alias("_k"), "n_tokens")

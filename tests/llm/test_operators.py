@@ -348,8 +348,8 @@ def test_token_counts(docs, data, block):
     assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == library_counts(data)
 
 
-def lengths(blocks, end=256, span=token_counts.SPAN):
-    return [(r.number, r.n_tokens) for r in token_counts.document_lengths(token_counts.scan_blocks(blocks, end), span).orderBy("file", "number").collect()]
+def lengths(files, block, end=256, span=token_counts.SPAN):
+    return [(r.number, r.n_tokens) for r in token_counts.document_lengths(token_counts.scan_blocks(files, end, block), span).orderBy("file", "number").collect()]
 
 
 def test_token_files(spark, tmp_path):
@@ -358,10 +358,10 @@ def test_token_files(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"")
     for block in (2, 3, 100):
         for span in (1, 2, 1024):
-            assert lengths(token_counts.read_token_files(spark, str(tmp_path), block), span=span) == [(0, 2), (1, 0), (2, 3), (3, 1)]
+            assert lengths(token_counts.read_token_files(spark, str(tmp_path)), block, span=span) == [(0, 2), (1, 0), (2, 3), (3, 1)]
     (tmp_path / "c.bin").write_bytes(b"abc")
     with pytest.raises(Exception, match="ends within an id"):
-        lengths(token_counts.read_token_files(spark, str(tmp_path), 2))
+        lengths(token_counts.read_token_files(spark, str(tmp_path)), 2)
 
 
 def test_separators_at_every_place(spark, tmp_path):
@@ -383,7 +383,7 @@ def test_separators_at_every_place(spark, tmp_path):
         if n:
             expected.append((number, n))
     for block, span in ((4, 1), (4, 2), (1, 3), (5, 4), (64, 2)):
-        assert lengths(token_counts.read_token_files(spark, str(tmp_path), block), 0, span) == expected
+        assert lengths(token_counts.read_token_files(spark, str(tmp_path)), block, 0, span) == expected
 
 
 def test_token_files_beyond_what_spark_reads_whole(spark, tmp_path):
@@ -393,14 +393,13 @@ def test_token_files_beyond_what_spark_reads_whole(spark, tmp_path):
             f.seek(at)
             f.write(np.array([256], "<u2").tobytes())
         f.truncate(size)
-    blocks = token_counts.read_token_files(spark, str(tmp_path), 1 << 22)
-    assert [n for _, n in lengths(blocks)] == [5, (size - 30) // 2 - 1, 7, 1]
+    assert [n for _, n in lengths(token_counts.read_token_files(spark, str(tmp_path)), 1 << 22)] == [5, (size - 30) // 2 - 1, 7, 1]
 
 
 def test_token_files_behind_a_mount(spark, tmp_path):
     (tmp_path / "a b.bin").write_bytes(np.array([5, 256, 6, 7, 256], "<u2").tobytes())
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tokens.link./in", f"file://{tmp_path}")
-    assert [n for _, n in lengths(token_counts.read_token_files(spark, "viewfs://tokens/in", 2))] == [1, 2]
+    assert [n for _, n in lengths(token_counts.read_token_files(spark, "viewfs://tokens/in"), 2)] == [1, 2]
 
 
 @pytest.mark.skipif(FILE is None, reason="no vocabulary")
