@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,14 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df as a compressed table in the checkpoint folder, which cuts its lineage. For rows that are too many to checkpoint as they are."""
+    spark = ready(df.sparkSession)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder, compression="zstd")
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns; all others are left behind."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)

@@ -518,10 +518,36 @@ def test_removal_in_pieces_and_split(docs, data, monkeypatch):
     monkeypatch.setattr(substrings, "PIECE", 700)
     monkeypatch.setattr(substrings, "MANY", 1)
     monkeypatch.setattr(substrings, "GATHER", 50)
+    monkeypatch.setattr(substrings, "BROADCAST_KEYS", 3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs).collect()}
     assert got == cases.plain_removal(data)
 
 
+def test_removal_trusts_no_hash(docs, data, monkeypatch):
+    """With names of contexts that are the same for most, the result is the same: bytes are compared."""
+    true = substrings.contexts
+
+    def alike(raw, offsets):
+        *others, name = true(raw, offsets)
+        return (*others, name & np.uint64(1))
+
+    monkeypatch.setattr(substrings, "contexts", alike)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs).collect()}
+    assert got == cases.plain_removal(data)
+
+
+def test_a_line_of_many_documents(spark, monkeypatch):
+    """A line that hundreds of texts have, each within its own words: groups that are split many times."""
+    import random
+
+    rng = random.Random(6)
+    line = "this line of more than one hundred bytes stands in very many documents, whatever else there is in them, all of them. "
+    data = [(i, " ".join(str(rng.random()) for _ in range(8)) + line[: rng.randint(90, 117)] + " ".join(str(rng.random()) for _ in range(8)), None, None, None) for i in range(300)]
+    monkeypatch.setattr(substrings, "MANY", 5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(cases.frame(spark, data)).collect()}
+    assert got == cases.plain_removal(data) and sum(r[1] > 0 for r in got.values()) > 150
+
+
 def test_substrings_give_the_text_back(docs, data):
     """kept is the text without the repeats: its digest and length are those of the other columns."""
     rows = substrings.remove_repeats(docs, with_text=True).collect()
