@@ -9,10 +9,11 @@ smallest document that has it; each pair that can link is in some block.
 
 Within a block the T-occurrence search (DivideSkip) finds what links to the
 block's leader: short inverted lists are merged by a heap, long ones are probed
-by binary search. Sets that the leader didn't reach are searched for in the
-block in turn. Links among sets that reach the leader add nothing to components
-and aren't made. Large blocks are cut into chunks, which the leader and the sets
-it didn't reach visit all.
+by binary search. What the leader didn't reach gets a leader of its own, and so
+on. Only links that join two groups are kept, fewer than there are sets. If there
+are several groups at last, all sets but those of the largest one search too, so
+that no link between groups is missed. Large blocks are cut into chunks, which
+the leader visits all, and so do the sets that no links in their chunk join to it.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected, documents, mix, ready
+from .common import connected, documents, mix, ready, saved
 from .shingles import shingle_sets
 
 #: Numerator and denominator of the least Jaccard likeness.
@@ -43,8 +44,10 @@ SLOT_BITS, RANGE_BITS = 29, 10
 COMMON_FROM, MOST_COMMON = (2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 255), 0.65
 #: Shingles that a task gathers before it sends their slots on; tasks, and then counts, that are merged together.
 GATHER, MERGE = 4_000_000, 256
-#: Shingles in a chunk of a block: 8 MB.
-CHUNK = 1 << 20
+#: Shingles (8 MB) and sets in a chunk of a block.
+CHUNK, CHUNK_SETS = 1 << 20, 512
+#: Rows of a table that may be broadcast, at 40 bytes or less each.
+BROADCAST_ROWS = 100_000
 #: A prefix is longer by one element for so many: what is linked shares as many elements of such prefixes.
 LONGER = 20
 
@@ -117,12 +120,7 @@ class OccurrenceIndex:
 
 
 def _merged_counts(lists: list[list[int]]) -> Iterable[tuple[int, int]]:
-    """(number, in how many of the ascending lists it is), by merging them: with a heap, or by counting where they are long in all."""
-    if sum(map(len, lists)) > 2000:
-        counts = np.bincount(np.concatenate([np.array(x) for x in lists]))
-        there = np.flatnonzero(counts)
-        yield from zip(there.tolist(), counts[there].tolist())
-        return
+    """(number, in how many of the ascending lists it is), by merging them with a heap."""
     last, count = -1, 0
     for i in heapq.merge(*lists):
         if i == last:
@@ -135,6 +133,49 @@ def _merged_counts(lists: list[list[int]]) -> Iterable[tuple[int, int]]:
         yield last, count
 
 
+class Groups:
+    """Numbers 0..n-1, joined into groups."""
+
+    def __init__(self, n: int):
+        self._up = list(range(n))
+
+    def of(self, i: int) -> int:
+        """The group's name, which is one of its numbers."""
+        while self._up[i] != i:
+            self._up[i] = self._up[self._up[i]]
+            i = self._up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether i and j were in two groups until now."""
+        i, j = self.of(i), self.of(j)
+        self._up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def spanning_links(sets: list[np.ndarray], sizes: list[int], first: int = 0, likeness=LIKENESS) -> tuple[list[tuple[int, int]], Groups]:
+    """(links that connect all that links connect among the sets, fewer than there are sets; the groups). first leads."""
+    index, groups, out, asked = OccurrenceIndex(sets, sizes), Groups(len(sets)), [], set()
+    reached = [False] * len(sets)
+
+    def ask(i: int) -> None:
+        asked.add(i)
+        for j in index.search(sets[i], sizes[i], likeness):
+            reached[j] = True
+            if groups.join(i, j):
+                out.append((i, j))
+
+    for i in [first, *range(len(sets))] if sets else []:
+        if not reached[i] and i not in asked:
+            ask(i)
+    members = np.bincount([groups.of(i) for i in range(len(sets))], minlength=1)
+    if len(sets) and members.max() < len(sets):
+        largest = int(members.argmax())
+        for i in [i for i in range(len(sets)) if groups.of(i) != largest and i not in asked]:
+            ask(i)
+    return out, groups
+
+
 def _bit_map(df: DataFrame, bit: str) -> np.ndarray:
     """A map of 2**MAP_BITS bits, as whole numbers of 64: set for each value of the column. Its size doesn't depend on df's."""
     words = df.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({bit} & 63 as int))")).alias("b"))
@@ -252,8 +293,12 @@ def _survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, bool]:
     return both.where("doc_id is not null").select("doc_id", "n", "digest"), out.view(np.uint64), chosen == 2
 
 
-def _prefixes(docs: DataFrame, common, k: int, likeness) -> DataFrame:
-    """(token, doc_id, needs): each set's first elements in the order in which common ones are last. Of equal sets in a task the first stands for all."""
+def _prefixes(docs: DataFrame, common, complete: bool, k: int, likeness) -> DataFrame:
+    """(token, doc_id, needs): each set's first elements in the order in which common ones are last. Of equal sets in a task the first stands for all.
+
+    If the map of common slots is complete, elements that aren't in it are in no other set, and aren't sent.
+    """
+
     def run(batches):
         bits = common.value
         seen: set[bytes] = set()
@@ -264,7 +309,9 @@ def _prefixes(docs: DataFrame, common, k: int, likeness) -> DataFrame:
                     continue
                 seen.add(d)
                 many = _has(bits, s >> np.uint64(64 - SLOT_BITS))
-                first = np.concatenate([s[~many], s[many]])[: len(s) - least_share(len(s), likeness) + longer(len(s))]
+                alone = s[~many]
+                n = len(s) - least_share(len(s), likeness) + longer(len(s))
+                first = np.concatenate([alone[: 0 if complete else n], s[many][: max(0, n - len(alone))]])
                 tokens.append(first)
                 ids.append(np.full(len(first), i, np.int64))
                 needs.append(np.full(len(first), longer(least_share(len(s), likeness)), np.int32))
@@ -276,6 +323,11 @@ def _prefixes(docs: DataFrame, common, k: int, likeness) -> DataFrame:
     return docs.mapInArrow(run, "token long, doc_id long, needs int")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _sets(docs: DataFrame, wanted: np.ndarray, common, only_common: bool, k: int) -> DataFrame:
     """(doc_id, n, elements) of the documents whose bit is set; with only_common, without the elements that no other set has."""
 
@@ -296,42 +348,28 @@ def _sets(docs: DataFrame, wanted: np.ndarray, common, only_common: bool, k: int
 
 
 def _search_chunks(rows: DataFrame, likeness) -> DataFrame:
-    """(block, a, b, open) for each chunk of rows (block, chunk, chunks, doc_id, n, elements, query).
+    """(block, a, b, open) for each chunk of rows (block, chunk, doc_id, n, elements, query).
 
-    Rows with `query` look for the others. Where a chunk is a whole block, what the
-    leader doesn't reach is searched for too; else it is returned as open.
+    query: 1 for the leader, 2 for sets that only ask, 0 for all others. Where
+    there is a leader, the links that connect the chunk's sets, and as open the
+    sets that these don't connect to it. Else the links of those that ask.
     """
 
     def run(key, table):
-        ids, query = table["doc_id"].to_numpy(), table["query"].to_pylist()
+        ids, query, sizes = table["doc_id"].to_pylist(), table["query"].to_pylist(), table["n"].to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in table["elements"].to_pylist()]
-        block, whole = key[0].as_py(), table["chunks"][0].as_py() == 1
-        # a document that asks here and also belongs to the chunk is there twice; as a member it is listed once
-        members = [i for i in range(len(ids)) if query[i] != 2]
-        sizes = table["n"].to_pylist()
-        index = OccurrenceIndex([sets[i] for i in members], [sizes[i] for i in members])
-        left, right, reached = [], [], set()
-        for i in range(len(ids)):
-            if query[i]:
-                for j in index.search(sets[i], sizes[i], likeness):
-                    if ids[members[j]] != ids[i]:
-                        left.append(int(ids[i]))
-                        right.append(int(ids[members[j]]))
-                        reached.add(members[j])
-        open_ = [i for i in members if not query[i] and i not in reached]
-        state = [False] * len(left)
-        if whole:
-            for i in open_:
-                for j in index.search(sets[i], sizes[i], likeness):
-                    if members[j] != i:
-                        left.append(int(ids[i]))
-                        right.append(int(ids[members[j]]))
-                        state.append(False)
+        if 1 in query:
+            first = query.index(1)
+            pairs, groups = spanning_links(sets, sizes, first, likeness)
+            open_ = [i for i in range(len(ids)) if groups.of(i) != groups.of(first)]
         else:
-            left += [int(ids[i]) for i in open_]
-            right += [int(ids[i]) for i in open_]
-            state += [True] * len(open_)
-        return pa.table({"block": pa.array([block] * len(left), pa.int64()), "a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64()), "open": pa.array(state, pa.bool_())})
+            members, groups, pairs, open_ = [i for i in range(len(ids)) if not query[i]], Groups(len(ids)), [], []
+            index = OccurrenceIndex([sets[i] for i in members], [sizes[i] for i in members])
+            for i in [i for i in range(len(ids)) if query[i]]:
+                found = [members[j] for j in index.search(sets[i], sizes[i], likeness)]
+                pairs += [(i, j) for j in found if groups.join(i, j)]
+        a, b = [ids[i] for i, _ in pairs] + [ids[i] for i in open_], [ids[j] for _, j in pairs] + [ids[i] for i in open_]
+        return pa.table({"block": pa.array([key[0].as_py()] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "open": pa.array([False] * len(pairs) + [True] * len(open_), pa.bool_())})
 
     return rows.groupBy("block", "chunk").applyInArrow(run, "block long, a long, b long, open boolean")
 
@@ -344,12 +382,12 @@ def links(docs: DataFrame, k: int = 5, likeness=LIKENESS) -> tuple[DataFrame, Da
     ready(docs.sparkSession)
     rows, bits, complete = _survey(docs, k)
     common = docs.sparkSession.sparkContext.broadcast(bits)  # 64 MB, see SLOT_BITS
-    least = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").withColumnRenamed("digest", "_d")
+    least = _small(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("digest").alias("_d"), "_first").checkpoint())
     equal = rows.join(least, F.col("digest") == F.col("_d")).select(F.col("doc_id").alias("a"), F.col("_first").alias("b")).where("a <> b")
 
-    group = W.partitionBy("token")
-    shared = _prefixes(docs, common, k, likeness).withColumn("leader", F.min("doc_id").over(group)).withColumn("_n", F.count("*").over(group))
-    blocks = shared.where("_n > 1").groupBy("leader", "doc_id", "needs").agg(F.count("*").alias("_c"))
+    prefixes = saved(_prefixes(docs, common, complete, k, likeness))
+    shared = prefixes.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count("*").alias("_n")).where("_n > 1").select(F.col("token").alias("_t"), "leader")
+    blocks = prefixes.join(shared, F.col("token") == F.col("_t")).groupBy("leader", "doc_id", "needs").agg(F.count("*").alias("_c"))
     enough = blocks.groupBy("doc_id", "needs").agg(F.sum("_c").alias("_c")).where("_c >= needs").select(F.col("doc_id").alias("_id"))
     blocks = blocks.join(enough, F.col("doc_id") == F.col("_id"), "left_semi")
     # Each set leaves the blocks with which it shares least, as long as these are fewer than half of the elements that it
@@ -359,14 +397,14 @@ def links(docs: DataFrame, k: int = 5, likeness=LIKENESS) -> tuple[DataFrame, Da
     blocks = blocks.select(F.col("leader").alias("block"), "doc_id")
     # Of sets that are the same the smallest document stands for all.
     alone = rows.groupBy("doc_id").agg(F.count("*").alias("_n"), F.first("digest").alias("_own")).where("_n = 1")
-    others = alone.join(least.drop("_n"), F.col("_own") == F.col("_d")).where("doc_id <> _first").select(F.col("doc_id").alias("_a"), F.col("_first").alias("_b"))
+    others = alone.join(least, F.col("_own") == F.col("_d")).where("doc_id <> _first").select(F.col("doc_id").alias("_a"), F.col("_first").alias("_b"))
     blocks = blocks.join(others, F.col("doc_id") == F.col("_a"), "left").select("block", F.coalesce("_b", "doc_id").alias("doc_id")).distinct().checkpoint()
     # A block is left out if another, of a smaller number, has all its members.
     smallest = blocks.groupBy("doc_id").agg(F.min("block").alias("_m"))
     inside = blocks.join(smallest, "doc_id").groupBy("block").agg(F.min("_m").alias("lo"), F.max("_m").alias("hi"), F.count("*").alias("n")).where("n = 1 or lo = hi and lo < block").select("block")
     blocks = blocks.join(inside, "block", "left_anti")
-    sizes = blocks.join(rows.select("doc_id", "n"), "doc_id").groupBy("block").agg(F.sum("n").alias("_total"), F.min("doc_id").alias("leader"))
-    sizes = sizes.select(F.col("block").alias("_l"), "leader", F.ceil(F.col("_total") / F.lit(CHUNK)).cast("int").alias("chunks"))
+    sizes = blocks.join(rows.select("doc_id", "n"), "doc_id").groupBy("block").agg(F.sum("n").alias("_total"), F.count("*").alias("_sets"), F.min("doc_id").alias("leader"))
+    sizes = sizes.select(F.col("block").alias("_l"), "leader", F.ceil(F.greatest(F.col("_total") / F.lit(CHUNK), F.col("_sets") / F.lit(CHUNK_SETS))).cast("int").alias("chunks"))
     blocks = blocks.join(sizes, F.col("block") == F.col("_l")).select("block", "leader", "chunks", "doc_id").checkpoint()
     wanted = _bit_map(blocks.select(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS).alias("bit")).distinct(), "bit")
     full = blocks.join(_sets(docs, wanted, common, complete, k), "doc_id")
@@ -375,17 +413,18 @@ def links(docs: DataFrame, k: int = 5, likeness=LIKENESS) -> tuple[DataFrame, Da
     own = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     # The leader asks in all chunks; it is a member of one of them, which changes nothing.
     members = full.withColumn("chunk", F.explode(F.when(is_leader, every).otherwise(F.array(own)))).withColumn("query", F.when(is_leader, 1).otherwise(0))
-    members = members.select("block", "chunk", "chunks", "doc_id", "n", "elements", "query")
-    found = _search_chunks(members, likeness).checkpoint()
+    sent = ["block", "chunk", "doc_id", "n", "elements", "query"]
+    found = _search_chunks(members.select(*sent), likeness).checkpoint()
     edges = found.where("not open").select("a", "b")
-    if not blocks.where("chunks > 1").isEmpty():
-        # What the leaders of cut blocks didn't reach asks in all chunks of the block.
-        asking = found.where("open").select(F.col("block").alias("_l"), F.col("a").alias("_a")).distinct()
+    # What isn't connected to the leader in a chunk of a cut block asks in all its chunks; in a whole block all is known.
+    asking = found.where("open").join(blocks.where("chunks > 1").select(F.col("block").alias("_b")).distinct(), F.col("block") == F.col("_b"), "left_semi")
+    asking = asking.select(F.col("block").alias("_l"), F.col("a").alias("_a")).distinct().checkpoint()
+    if not asking.isEmpty():
         cut = members.where("chunks > 1 and query = 0")
         again = cut.join(asking, (F.col("block") == F.col("_l")) & (F.col("doc_id") == F.col("_a")))
-        again = again.withColumn("chunk", F.explode(every)).withColumn("query", F.lit(2)).select("block", "chunk", "chunks", "doc_id", "n", "elements", "query")
-        more = _search_chunks(cut.unionByName(again), likeness).where("not open").select("a", "b")
-        edges = edges.unionByName(more)
+        again = again.withColumn("chunk", F.explode(every)).withColumn("query", F.lit(2))
+        asked = cut.join(asking.select("_l").distinct(), F.col("block") == F.col("_l"), "left_semi")
+        edges = edges.unionByName(_search_chunks(asked.select(*sent).unionByName(again.select(*sent)), likeness).where("not open").select("a", "b"))
     return edges.unionByName(equal), rows
 
 

@@ -489,9 +489,58 @@ def test_components_of_cut_blocks(spark, monkeypatch):
         for _ in range(rng.randint(0, 4)):
             words[rng.randrange(80)] = f"x{i}-{rng.randrange(99)}"
         data.append((i, " ".join(words), None, None, None))
-    monkeypatch.setattr(ngram_join, "CHUNK", 500)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(cases.frame(spark, data)).collect()}
-    assert got == cases.plain_components(data)
+    for chunk, sets, rows in ((500, 512, 100_000), (1 << 20, 7, 1)):
+        monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+        monkeypatch.setattr(ngram_join, "CHUNK_SETS", sets)
+        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", rows)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(cases.frame(spark, data)).collect()}
+        assert got == cases.plain_components(data)
+
+
+def test_components_where_the_map_is_not_complete(spark, docs, data, monkeypatch):
+    """With so few slots that most are common, elements of one set only are sent too."""
+    monkeypatch.setattr(ngram_join, "MOST_COMMON", 0.1)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs).collect()} == cases.plain_components(data)
+
+
+def family(n, changes, seed=9):
+    """Texts that are near each other, but mostly not near the first."""
+    import random
+
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(160)]
+    out = []
+    for i in range(n):
+        words = base[:]
+        for _ in range(12 if i == 0 else changes):
+            words[rng.randrange(160)] = f"x{i}-{rng.randrange(99)}"
+        out.append((i, " ".join(words), None, None, None))
+    return out
+
+
+def test_a_family_makes_few_links(spark):
+    data = family(200, 4)
+    edges, _ = ngram_join.links(cases.frame(spark, data).select("doc_id", "text"))
+    assert edges.count() < 1000
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(cases.frame(spark, data)).collect()} == cases.plain_components(data)
+
+
+def test_spanning_links_against_all_pairs():
+    rng = np.random.default_rng(12)
+    for trial in range(30):
+        bases = [rng.integers(0, 1 << 60, 40).astype(np.uint64) for _ in range(3)]
+        sets = []
+        for _ in range(40):
+            s = bases[rng.integers(0, 3)].copy()
+            s[rng.integers(0, 40, rng.integers(0, 9))] = rng.integers(0, 1 << 60)
+            sets.append(np.unique(s))
+        links = [(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+        found, groups = ngram_join.spanning_links(sets, [len(s) for s in sets], trial % 40)
+        plain = ngram_join.Groups(40)
+        for i, j in links:
+            plain.join(i, j)
+        assert [groups.of(i) for i in range(40)] == [plain.of(i) for i in range(40)]
+        assert len(found) < 40 and {(max(x), min(x)) for x in found} <= set(links)
 
 
 def test_divide_skip_finds_all():
