@@ -38,12 +38,12 @@ from .shingles import shingle_sets
 LIKENESS = (75, 100)
 #: Bits of the fixed-size map of documents that is sent to all tasks: 2 MB.
 MAP_BITS = 24
-#: Shingles are counted in 2**29 slots, dealt out in ranges; the map of those that are common is 64 MB, whatever the input.
-SLOT_BITS, RANGE_BITS = 29, 10
+#: Shingles are counted in 2**28 slots, dealt out in ranges; the map of those that are common is 32 MB, whatever the input.
+SLOT_BITS, RANGE_BITS = 28, 10
 #: Counts from which on a slot may be called common; the first is taken that calls less than this share of all shingles so.
 COMMON_FROM, MOST_COMMON = (2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 255), 0.65
 #: Shingles that a task gathers before it sends their slots on; tasks, and then counts, that are merged together.
-GATHER, MERGE = 4_000_000, 256
+GATHER, MERGE = 2_000_000, 256
 #: Shingles (8 MB) and sets in a chunk of a block.
 CHUNK, CHUNK_SETS = 1 << 20, 512
 #: Rows of a table that may be broadcast, at 40 bytes or less each.
@@ -197,7 +197,7 @@ def _digest(s: np.ndarray) -> bytes:
 def _survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, bool]:
     """(rows (doc_id, n, digest), a map of the slots that are common, whether that has all slots of two shingles or more).
 
-    A slot is a shingle's first 29 bits. All shingles of all texts count. Each
+    A slot is a shingle's first SLOT_BITS bits. All shingles of all texts count. Each
     task sends the slots of its shingles, sorted, as compressed differences,
     about a byte for each. Each range of slots is counted by itself, first for
     MERGE tasks together and then for MERGE such counts, so that no group grows
@@ -287,7 +287,7 @@ def _survey(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, bool]:
     if masses:
         chosen = next((c for c in COMMON_FROM if masses[c][0] <= MOST_COMMON * masses[c][1]), COMMON_FROM[-1])
         unpack, width = zstandard.ZstdDecompressor(), 1 << (inner - 3)
-        table = maps.where(F.col("from") == chosen).select("range", "bits").toArrow()  # at most 1,024 rows, 64 MB before compression
+        table = maps.where(F.col("from") == chosen).select("range", "bits").toArrow()  # at most 1,024 rows, 32 MB before compression
         for r, bits in zip(table["range"].to_pylist(), table["bits"].to_pylist()):
             out[r * width : (r + 1) * width] = np.frombuffer(unpack.decompress(bits), np.uint8)
     return both.where("doc_id is not null").select("doc_id", "n", "digest"), out.view(np.uint64), chosen == 2
@@ -381,7 +381,7 @@ def links(docs: DataFrame, k: int = 5, likeness=LIKENESS) -> tuple[DataFrame, Da
     """
     ready(docs.sparkSession)
     rows, bits, complete = _survey(docs, k)
-    common = docs.sparkSession.sparkContext.broadcast(bits)  # 64 MB, see SLOT_BITS
+    common = docs.sparkSession.sparkContext.broadcast(bits)  # 32 MB, see SLOT_BITS
     least = _small(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("digest").alias("_d"), "_first").checkpoint())
     equal = rows.join(least, F.col("digest") == F.col("_d")).select(F.col("doc_id").alias("a"), F.col("_first").alias("b")).where("a <> b")
 
