@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,20 +19,36 @@ def _floats(df: DataFrame, value: str) -> None:
         raise ValueError(f"{value} must be floating point")
 
 
+def _raised(elements: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(elements with `_c` = x - max of the group, (group, `_s` = sum(exp(x - max)), `_n`)).
+
+    Two aggregations joined back: their partial sums absorb a group that has most
+    rows, and a join, other than a window, can be split on such a group.
+    """
+    top = elements.groupBy(*by).agg(F.max(value).alias("_m"))
+    centred = _joined(elements, top, by).withColumn("_c", F.col(value) - F.col("_m")).drop("_m")
+    return centred, centred.groupBy(*by).agg(F.sum(F.exp("_c")).alias("_s"), F.count("*").alias("_n"))
+
+
+def _joined(elements: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The elements with their group's columns."""
+    named = groups.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    return elements.join(named, same).drop(*[f"_by_{c}" for c in by])
+
+
 def scatter_softmax(elements: DataFrame, *, index: str = "idx", value: str = "val", keys: Sequence[str] = ()) -> DataFrame:
-    """Adds `out` = exp(x - max) / sum(exp(x - max)) within each group. One exchange serves both windows."""
+    """Adds `out` = exp(x - max) / sum(exp(x - max)) within each group."""
     _floats(elements, value)
-    group = W.partitionBy(*keys, index)
-    raised = elements.withColumn("_e", F.exp(F.col(value) - F.max(value).over(group)))
-    return raised.withColumn("out", F.col("_e") / F.sum("_e").over(group)).drop("_e")
+    centred, sums = _raised(elements, [*keys, index], value)
+    return _joined(centred, sums, [*keys, index]).withColumn("out", F.exp("_c") / F.col("_s")).drop("_c", "_s", "_n")
 
 
 def scatter_log_softmax(elements: DataFrame, *, index: str = "idx", value: str = "val", keys: Sequence[str] = (), eps: float = EPSILON) -> DataFrame:
     """Adds `out` = (x - max) - log(sum(exp(x - max)) + eps)."""
     _floats(elements, value)
-    group = W.partitionBy(*keys, index)
-    centred = elements.withColumn("_c", F.col(value) - F.max(value).over(group))
-    return centred.withColumn("out", F.col("_c") - F.ln(F.sum(F.exp("_c")).over(group) + F.lit(eps))).drop("_c")
+    centred, sums = _raised(elements, [*keys, index], value)
+    return _joined(centred, sums, [*keys, index]).withColumn("out", F.col("_c") - F.ln(F.col("_s") + F.lit(eps))).drop("_c", "_s", "_n")
 
 
 def scatter_std(elements: DataFrame, *, index: str = "idx", value: str = "val", keys: Sequence[str] = (), dim_size: int | None = None, out: DataFrame | None = None, unbiased: bool = True) -> DataFrame:
@@ -74,16 +90,14 @@ def softmax_csr(elements: DataFrame, ptr: DataFrame, *, value: str = "val", pos:
     """(pos, keys, out): softmax within each range. A range of one element gives just 1; positions in no range give 0."""
     _floats(elements, value)
     inside = assign_ranges(elements, ranges_from_ptr(ptr), pos)
-    group = W.partitionBy(*keys, "r")
-    raised = inside.withColumn("_e", F.exp(F.col(value) - F.max(value).over(group))).withColumn("_n", F.count("*").over(group))
-    share = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(F.col("_e") / F.sum("_e").over(group))
-    return densify(raised.select(pos, *keys, share.alias("out")), elements.select(pos, *keys), [pos, *keys], {"out": 0.0})
+    centred, sums = _raised(inside, [*keys, "r"], value)
+    share = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(F.exp("_c") / F.col("_s"))
+    return densify(_joined(centred, sums, [*keys, "r"]).select(pos, *keys, share.alias("out")), elements.select(pos, *keys), [pos, *keys], {"out": 0.0})
 
 
 def softmax_csr_backward(elements: DataFrame, ptr: DataFrame, *, out: str = "out", grad: str = "grad", pos: str = "pos", keys: Sequence[str] = ()) -> DataFrame:
     """(pos, keys, grad_in): out * (grad - sum(out * grad)) within each range, 0 outside."""
     inside = assign_ranges(elements, ranges_from_ptr(ptr), pos)
-    group = W.partitionBy(*keys, "r")
-    product = F.col(out) * F.col(grad)
-    grads = inside.select(pos, *keys, (F.col(out) * (F.col(grad) - F.sum(product).over(group))).alias("grad_in"))
+    sums = inside.groupBy(*keys, "r").agg(F.sum(F.col(out) * F.col(grad)).alias("_s"))
+    grads = _joined(inside, sums, [*keys, "r"]).select(pos, *keys, (F.col(out) * (F.col(grad) - F.col("_s"))).alias("grad_in"))
     return densify(grads, elements.select(pos, *keys), [pos, *keys], {"grad_in": 0.0})

@@ -9,22 +9,27 @@ from __future__ import annotations
 import math
 import tempfile
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Positions per bucket of a range join.
 RANGE_BUCKET = 4096
 
-#: A table with at most this many rows may be broadcast whole.
-BROADCAST_ROWS = 200_000
+#: A table with at most so many rows and bytes may be broadcast whole.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Makes sure checkpoint() has a folder: the cluster's shared one, or a temporary one where none is set."""
+    """Makes sure checkpoint() has a folder: the cluster's shared one. On one machine, as in tests, a temporary one where none is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return spark
 
 
@@ -129,6 +134,10 @@ def floor_divide(a: Column, b: Column) -> Column:
     return ((a - F.pmod(a, b)) / b).cast("long")
 
 
-def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows (one small job), else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows and, by the sizes of its arrays and strings, `most_bytes` (one small job), else as it is."""
+    wide = [c.name for c in df.schema.fields if isinstance(c.dataType, (T.ArrayType, T.StringType, T.BinaryType))]
+    size = lambda c: F.size(c) * 8 if isinstance(df.schema[c].dataType, T.ArrayType) else F.octet_length(c)
+    width = reduce(lambda a, b: a + b, [F.coalesce(size(c), F.lit(0)) for c in wide], F.lit(16 * len(df.columns)))
+    n, total = df.limit(most + 1).agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(df) if n <= most and (total or 0) <= most_bytes else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import assign_ranges, ranges_from_ptr
+from .core import assign_ranges, ieee_divide, ranges_from_ptr
 
 
 def _at(elements: DataFrame, table: DataFrame, index: str, **columns: str) -> DataFrame:
@@ -80,7 +80,7 @@ def sampled_backward(op: str, grad: DataFrame, left: DataFrame, right: DataFrame
         "add": (g, g),
         "sub": (g, F.transform(g, lambda x: -x)),
         "mul": (F.zip_with(g, b, lambda x, y: x * y), F.zip_with(g, a, lambda x, y: x * y)),
-        "div": (F.zip_with(g, b, lambda x, y: x / y), F.zip_with(F.zip_with(g, a, lambda x, y: -x * y), b, lambda x, y: x / (y * y))),
+        "div": (F.zip_with(g, b, ieee_divide), F.zip_with(F.zip_with(g, a, lambda x, y: -x * y), b, lambda x, y: ieee_divide(x, y * y))),
     }[op]
 
     def total(key: str, values) -> DataFrame:

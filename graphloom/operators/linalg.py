@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .core import assign_ranges, ranges_from_ptr
+
 
 def grouped_matmul(left: DataFrame, right: DataFrame, bias: DataFrame | None = None) -> DataFrame:
     """(grp, i, m, val): for each group left(grp, i, k, val) times right(grp, k, m, val), plus bias(grp, m, val).
@@ -19,12 +21,15 @@ def grouped_matmul(left: DataFrame, right: DataFrame, bias: DataFrame | None = N
     return out.join(add, ["grp", "m"], "left").select("grp", "i", "m", (F.col("val") + F.coalesce("_add", F.lit(0.0))).alias("val"))
 
 
-def segment_matmul(rows: DataFrame, weights: DataFrame, bias: DataFrame | None = None) -> DataFrame:
+def segment_matmul(rows: DataFrame, weights: DataFrame, bias: DataFrame | None = None, *, ptr: DataFrame | None = None) -> DataFrame:
     """(pos, feat): rows(pos, grp, feat array) times the group's matrix weights(grp, m, col array), plus bias(grp, bias array).
 
     Each row meets only its group's columns; the products are array
-    expressions, and one aggregation puts a row's results together.
+    expressions, and one aggregation puts a row's results together. With
+    ptr(r, offset) the rows' groups are the ranges that their positions are in.
     """
+    if ptr is not None:
+        rows = assign_ranges(rows.drop("grp"), ranges_from_ptr(ptr)).select("pos", F.col("r").alias("grp"), "feat")
     products = rows.join(weights, "grp").select(
         "grp", "pos", "m", F.aggregate(F.zip_with("feat", "col", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x).alias("_v")
     )
@@ -34,6 +39,21 @@ def segment_matmul(rows: DataFrame, weights: DataFrame, bias: DataFrame | None =
     return out.join(bias, "grp", "left").select("pos", F.when(F.col("bias").isNull(), F.col("feat")).otherwise(F.zip_with("feat", "bias", lambda a, b: a + b)).alias("feat"))
 
 
+def segment_matmul_backward(grad: DataFrame, rows: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Gradients (pos, feat) of the rows and (grp, m, col) of the weights, from grad(pos, feat).
+
+    A row's is its gradient times the transposed matrix; a column's is the sum
+    over its group's rows of the gradient times the row, number by number, so
+    that partial sums absorb a large group.
+    """
+    g = rows.select("pos", "grp", F.col("feat").alias("_x")).join(grad.select("pos", F.posexplode("feat").alias("m", "_g")), "pos")
+    by_row = g.join(weights.select("grp", "m", "col"), ["grp", "m"]).select("pos", "_g", F.posexplode("col").alias("_k", "_w"))
+    to_rows = by_row.groupBy("pos", "_k").agg(F.sum(F.col("_g") * F.col("_w")).alias("_v")).groupBy("pos")
+    products = g.select("grp", "m", "_g", F.posexplode("_x").alias("_k", "_xk")).groupBy("grp", "m", "_k").agg(F.sum(F.col("_g") * F.col("_xk").cast("double")).alias("_v"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_k", "_v"))), lambda x: x["_v"])
+    return to_rows.agg(listed.alias("feat")), products.groupBy("grp", "m").agg(listed.alias("col"))
+
+
 def _basis(v: Column, digit: Column, degree: int) -> Column:
     """The digit-th B-spline polynomial of the degree at v in [0, 1)."""
     if degree == 1:

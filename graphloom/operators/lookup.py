@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,21 +13,36 @@ from pyspark.sql import types as T
 from .core import RANGE_BUCKET, ieee_divide, ranges_from_ptr
 
 
-def gather_coo(elements: DataFrame, source: DataFrame, *, index: str = "idx", pos: str = "pos", value: str = "val", keys: Sequence[str] = ()) -> DataFrame:
-    """(elements' columns, val): val of the source row whose position is the element's index."""
+def gather_coo(elements: DataFrame, source: DataFrame, *, index: str = "idx", pos: str = "pos", value: str = "val", keys: Sequence[str] = (), out: DataFrame | None = None) -> DataFrame:
+    """(elements' columns, val): val of the source row whose position is the element's index.
+
+    out(pos, keys, val): positions that no element has keep its values.
+    """
     looked_up = source.select(F.col(pos).alias(index), *keys, value)
-    return elements.join(looked_up, [index, *keys])
+    found = elements.join(looked_up, [index, *keys])
+    return found if out is None else _over(out, found, [pos, *keys], value)
+
+
+def _over(out: DataFrame, found: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """`out` (by, value), with the found rows' values in their places."""
+    new = found.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(value).alias("_new"), F.lit(True).alias("_there"))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in by])
+    return out.join(new, same, "left").select(*by, F.when(F.col("_there"), F.col("_new")).otherwise(F.col(value)).alias(value))
 
 
-def gather_csr(source: DataFrame, ptr: DataFrame, *, row: str = "r", value: str = "val", keys: Sequence[str] = ()) -> DataFrame:
-    """(pos, keys, val): val of source row r at every position of its range."""
+def gather_csr(source: DataFrame, ptr: DataFrame, *, row: str = "r", value: str = "val", keys: Sequence[str] = (), out: DataFrame | None = None) -> DataFrame:
+    """(pos, keys, val): val of source row r at every position of its range.
+
+    out(pos, keys, val): positions in no range keep its values.
+    """
     full = ranges_from_ptr(ptr).where("stop > start")
     # long ranges are first cut into pieces, so that no row's list of positions is long
     starts = F.explode(F.sequence(F.col("start"), F.col("stop") - 1, F.lit(RANGE_BUCKET).cast("long")))
     pieces = full.select("r", "stop", starts.alias("_from"))
     last = F.least(F.col("stop"), F.col("_from") + RANGE_BUCKET) - 1
     rows = source.select(F.col(row).alias("r"), *keys, value).join(pieces, "r")
-    return rows.select(F.explode(F.sequence("_from", last)).alias("pos"), *keys, value)
+    found = rows.select(F.explode(F.sequence("_from", last)).alias("pos"), *keys, value)
+    return found if out is None else _over(out, found, ["pos", *keys], value)
 
 
 _BINARY = {
@@ -71,10 +87,14 @@ class HashMap:
     """A dictionary from keys to their first positions, kept as a DataFrame (key, value).
 
     `keys` has (pos, key). With `unique`, duplicate keys raise when the map is
-    read; else the smallest position counts.
+    read; else the smallest position counts. num_submaps, a hint for maps in
+    memory, is checked and otherwise left to Spark's partitions. A map is pickled
+    as its rows, so it must be small enough for the driver.
     """
 
-    def __init__(self, keys: DataFrame, *, key: str = "key", pos: str = "pos", unique: bool = True):
+    def __init__(self, keys: DataFrame, *, key: str = "key", pos: str = "pos", unique: bool = True, num_submaps: int = 0):
+        if num_submaps < -1:
+            raise ValueError("num_submaps must be -1, 0 or positive")
         kind = keys.schema[key].dataType
         if not isinstance(kind, (T.ShortType, T.IntegerType, T.LongType)):
             raise ValueError("keys must be short, int or long")
@@ -88,6 +108,17 @@ class HashMap:
     def table(self) -> DataFrame:
         return self._table
 
+    def __getstate__(self) -> dict:
+        return {"dtype": self.dtype, "rows": [tuple(r) for r in self._table.select("key", "value").collect()]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.dtype = state["dtype"]
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            raise RuntimeError("a map is unpickled where there is a session")
+        schema = T.StructType([T.StructField("key", self.dtype), T.StructField("value", T.LongType())])
+        self._table = spark.createDataFrame(state["rows"], schema)
+
     def get(self, query: DataFrame, *, key: str = "key") -> DataFrame:
         """The query's columns and `value`: the key's position, -1 for unknown keys."""
         found = self._table.select(F.col("key").alias("_key"), "value")

@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def index_sort(elements: DataFrame, *, value: str = "val", pos: str = "pos", max_value: int | None = None, buckets: int = 1024) -> DataFrame:
+def index_sort(elements: DataFrame, *, value: str = "val", pos: str = "pos", max_value: int | None = None, buckets: int = 256) -> DataFrame:
     """(rank, val, perm): the values in ascending order, each with the position it came from. Stable.
 
-    Values are cut into ranges of equal width; ranks are made within a range and
-    from the ranges' counts, so no task sorts everything. `max_value` bounds the
-    values and saves the job that finds their largest.
+    Values are cut into ranges at approximate quantiles, so that outliers don't
+    crowd the others into one; a value that many elements have is cut by their
+    positions too. Ranks are made within a range and from the ranges' counts, so
+    no task sorts everything. `max_value` bounds the values, and isn't needed.
     """
     if not isinstance(elements.schema[value].dataType, T.IntegralType):
         raise ValueError("index_sort takes one column of whole numbers")
-    low, high = (0, max_value) if max_value is not None else elements.agg(F.min(value), F.max(value)).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(int(high) - int(low) + 1) // buckets))
-    bucket = F.floor((F.col(value) - F.lit(int(low))) / F.lit(width))
+    shares = [k / buckets for k in range(1, buckets)]
+    key = F.struct(F.col(value).cast("long").alias("v"), F.col(pos).cast("long").alias("p"))
+    cuts, low, high = elements.agg(F.percentile_approx(F.col(value).cast("long"), shares, 4 * buckets), F.min(F.col(pos).cast("long")), F.max(F.col(pos).cast("long"))).first()
+    times = Counter(cuts or [])
+    bounds = []
+    for v in sorted(times):
+        # a value that is k quantiles is cut into k parts of like widths of positions
+        bounds += [(v, -(1 << 63))] + [(v, low + (high - low + 1) * k // times[v]) for k in range(1, times[v])] + [(v + 1, -(1 << 63))]
+    places = F.array(*[F.struct(F.lit(v).cast("long").alias("v"), F.lit(p).cast("long").alias("p")) for v, p in sorted(set(bounds))]) if bounds else None
+    bucket = F.size(F.filter(places, lambda x: x <= key)) if bounds else F.lit(0)
     rows = elements.select(F.col(value).alias("val"), F.col(pos).alias("perm"), bucket.alias("_b"))
     counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
     base = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")
     inside = F.row_number().over(W.partitionBy("_b").orderBy("val", "perm")) - 1
-    ranked = rows.withColumn("_k", inside).join(F.broadcast(counts.select("_b", base.alias("_base"))), "_b")  # at most `buckets` rows and two
+    ranked = rows.withColumn("_k", inside).join(F.broadcast(counts.select("_b", base.alias("_base"))), "_b")  # at most two for each of `buckets`
     return ranked.select((F.col("_base") + F.col("_k")).cast("long").alias("rank"), "val", "perm")

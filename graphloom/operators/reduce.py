@@ -8,6 +8,7 @@ position `size`, one past the last element.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,29 @@ def _eligible(df: DataFrame, value: str, least: bool) -> Column:
     return v < (1 << (bits - 1)) - 1 if least else v > -(1 << (bits - 1))
 
 
+#: A product of more whole numbers beyond 1 and -1 than this overflows.
+MOST_FACTORS = 63
+
+
+def _whole_products(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Exact products of whole numbers, which raise on overflow.
+
+    Zeros and minus ones are counted. Only a group's other factors are listed, if
+    there are no more than a product can have, so no list grows with a group.
+    """
+    v = F.col(value).cast("long")
+    factor = (v > 1) | (v < -1)
+    counts = df.groupBy(*by).agg(F.count_if(v == 0).alias("_zeros"), F.count_if(v == -1).alias("_minus"), F.count(v).alias("_n"), F.count_if(factor).alias("_many"))
+    named = lambda t: t.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    listed = df.where(factor).join(named(counts.where(f"_zeros = 0 and _many <= {MOST_FACTORS}").select(*by)), same, "left_semi")
+    products = listed.groupBy(*by).agg(F.aggregate(F.collect_list(v), F.lit(1).cast("long"), lambda a, x: a * x).alias("_p"))
+    sign = F.when(F.col("_minus") % 2 == 0, F.lit(1)).otherwise(F.lit(-1)).cast("long")
+    overflow = F.raise_error(F.lit("a product of whole numbers overflows")).cast("long")
+    result = F.when(F.col("_n") == 0, F.lit(None).cast("long")).when(F.col("_zeros") > 0, F.lit(0).cast("long")).when(F.col("_many") > MOST_FACTORS, overflow)
+    return counts.join(named(products), same, "left").select(*by, result.otherwise(F.coalesce("_p", F.lit(1).cast("long")) * sign).alias(value))
+
+
 def _grouped(df: DataFrame, reduce: str, by: list[str], value: str, pos: str) -> DataFrame:
     """One row for each group that has elements: the value, and for min and max the position `arg`."""
     v = F.col(value)
@@ -48,9 +72,7 @@ def _grouped(df: DataFrame, reduce: str, by: list[str], value: str, pos: str) ->
         return df.groupBy(*by).agg(F.sum(v).alias(value))
     if reduce == "mul":
         if _whole(df, value):
-            # exact products of whole numbers; groups have few elements, or the product would overflow
-            product = F.aggregate(F.collect_list(v.cast("long")), F.lit(1).cast("long"), lambda a, x: a * x)
-            return df.groupBy(*by).agg(product.alias(value))
+            return _whole_products(df, by, value)
         return df.groupBy(*by).agg(F.product(v).alias(value))
     if reduce == "mean":
         mean = _floor_mean(F.sum(v), F.count(v)) if _whole(df, value) else F.avg(v)

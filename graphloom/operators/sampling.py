@@ -198,6 +198,8 @@ def hetero_neighbor_sample(
         picked: list[tuple[tuple[str, str, str], DataFrame]] = []
         for number, kind in enumerate(edges):
             source, _, target = kind
+            if num_neighbors[kind][hop - 1] == 0:
+                continue
             table = edges[kind]
             frontier = known[source].where(F.col("hop") == hop - 1).select("batch", "node", F.col("local_id").alias("row"))
             heavy = weight.get(kind)
@@ -221,6 +223,8 @@ def hetero_neighbor_sample(
             ends = known[kind[2]].select("batch", F.col("node").alias("dst"), F.col("local_id").alias("col"))
             found = picks.join(ends, ["batch", "dst"]).select(F.lit("__".join(kind)).alias("etype"), "row", "col", "edge_id", F.lit(hop).alias("hop"), "pick")
             all_edges = found if all_edges is None else all_edges.unionByName(found)
+    if all_edges is None:
+        all_edges = spark.createDataFrame([], "etype string, row long, col long, edge_id long, hop int, pick int")
     nodes = None
     for t in types:
         own = known[t].select(F.lit(t).alias("ntype"), "batch", "node", "local_id", "hop")
@@ -413,3 +417,13 @@ def random_walk(edges: DataFrame, seeds: DataFrame, walk_length: int, *, p: floa
 def walk_uniform(seed: int, pos: Column | str, step: int) -> Column:
     """The number in (0, 1) that decides a walk's step."""
     return keyed_uniform(seed, pos, F.lit(step))
+
+
+class NeighborSampler:
+    """neighbor_sample on edges given once."""
+
+    def __init__(self, edges: DataFrame):
+        self.edges = edges
+
+    def sample(self, seeds: DataFrame, num_neighbors: list[int], **options) -> Sample:
+        return neighbor_sample(self.edges, seeds, num_neighbors, **options)

@@ -30,99 +30,56 @@ def _distance(a: str, b: str, dims: int) -> str:
     return f"list_sum(list_transform(range(1, {dims + 1}), lambda i: ({a}.embedding[i]::DOUBLE - {b}.embedding[i]::DOUBLE) * ({a}.embedding[i]::DOUBLE - {b}.embedding[i]::DOUBLE)))"
 
 
-def _split(spark, sf, dims=None):
-    p = T.points(spark, sf, dims)
-    return p.where("id % 2 = 0"), p.where("id % 2 = 1")
-
-
 def _knn_sql(where: str, distance: str, k: int) -> str:
     return f"""SELECT query_id, ref_id, rank FROM (SELECT y.vec_id AS query_id, x.vec_id AS ref_id, row_number() OVER (PARTITION BY y.vec_id ORDER BY {distance}, x.vec_id)::INTEGER AS rank
-      FROM embeddings y JOIN embeddings x ON x.vec_id % 2 = 0 AND y.vec_id % 2 = 1{where}) WHERE rank <= {k}"""
-
-
-@query(_knn_sql("", _distance("y", "x", 64), 5))
-def knn_k5(spark, sf):
-    x, y = _split(spark, sf)
-    return spatial.knn(x, y, 5).select("query_id", "ref_id", "rank")
-
-
-@query(_knn_sql(" AND x.label = y.label", _distance("y", "x", 64), 3))
-def knn_batched(spark, sf):
-    x, y = _split(spark, sf)
-    return spatial.knn(x, y, 3, batch="label").select("query_id", "ref_id", "rank")
+      FROM embeddings y JOIN embeddings x ON x.vec_id <> y.vec_id{where}) WHERE rank <= {k}"""
 
 
 def _dot(a: str, b: str) -> str:
     return f"list_sum(list_transform(range(1, 65), lambda i: {a}.embedding[i]::DOUBLE * {b}.embedding[i]::DOUBLE))"
 
 
-@query(_knn_sql("", f"1.0 - {_dot('y', 'x')} / (sqrt({_dot('y', 'y')}) * sqrt({_dot('x', 'x')}))", 5))
-def knn_cosine(spark, sf):
-    x, y = _split(spark, sf)
-    return spatial.knn(x, y, 5, cosine=True).select("query_id", "ref_id", "rank")
-
-
 def _nearest_sql(where: str) -> str:
     return f"""SELECT id, nearest_id FROM (SELECT x.vec_id AS id, y.vec_id AS nearest_id, row_number() OVER (PARTITION BY x.vec_id ORDER BY {_distance('x', 'y', 64)}, y.vec_id) AS rank
-      FROM embeddings x JOIN embeddings y ON x.vec_id % 2 = 0 AND y.vec_id % 2 = 1{where}) WHERE rank = 1"""
-
-
-@query(_nearest_sql(""))
-def nearest(spark, sf):
-    return spatial.nearest(*_split(spark, sf))
-
-
-@query(_nearest_sql(" AND x.label = y.label"))
-def nearest_batched(spark, sf):
-    return spatial.nearest(*_split(spark, sf), batch="label")
-
-
-@query(f"""SELECT query_id, ref_id FROM (SELECT y.vec_id AS query_id, x.vec_id AS ref_id, row_number() OVER (PARTITION BY y.vec_id ORDER BY x.vec_id) AS rank
-  FROM embeddings y JOIN embeddings x ON x.vec_id % 2 = 0 AND y.vec_id % 2 = 1 AND {_distance('y', 'x', 3)} < 0.15::DOUBLE * 0.15::DOUBLE) WHERE rank <= 8""")
-def radius_cap(spark, sf):
-    x, y = _split(spark, sf, 3)
-    return spatial.radius(x, y, 0.15, dims=3, max_num_neighbors=8)
-
-
-# The same joins with the whole table on both sides; a point isn't its own neighbour. Those above halve the table by parity, as their SQL says.
+      FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id{where}) WHERE rank = 1"""
 
 
-def _whole(sql: str) -> str:
-    return sql.replace("x.vec_id % 2 = 0 AND y.vec_id % 2 = 1", "x.vec_id <> y.vec_id")
+# Both sides are the whole table; a point isn't its own neighbour.
 
 
-@query(_whole(SQL["knn_k5"]))
-def knn_k5_all(spark, sf):
+@query(_knn_sql("", _distance("y", "x", 64), 5))
+def knn_k5(spark, sf):
     p = T.points(spark, sf)
     return spatial.knn(p, p, 5, ignore_same_index=True).select("query_id", "ref_id", "rank")
 
 
-@query(_whole(SQL["knn_batched"]))
-def knn_batched_all(spark, sf):
+@query(_knn_sql(" AND x.label = y.label", _distance("y", "x", 64), 3))
+def knn_batched(spark, sf):
     p = T.points(spark, sf)
     return spatial.knn(p, p, 3, batch="label", ignore_same_index=True).select("query_id", "ref_id", "rank")
 
 
-@query(_whole(SQL["knn_cosine"]))
-def knn_cosine_all(spark, sf):
+@query(_knn_sql("", f"1.0 - {_dot('y', 'x')} / (sqrt({_dot('y', 'y')}) * sqrt({_dot('x', 'x')}))", 5))
+def knn_cosine(spark, sf):
     p = T.points(spark, sf)
     return spatial.knn(p, p, 5, cosine=True, ignore_same_index=True).select("query_id", "ref_id", "rank")
 
 
-@query(_whole(SQL["nearest"]))
-def nearest_all(spark, sf):
+@query(_nearest_sql(""))
+def nearest(spark, sf):
     p = T.points(spark, sf)
     return spatial.nearest(p, p, ignore_same_index=True)
 
 
-@query(_whole(SQL["nearest_batched"]))
-def nearest_batched_all(spark, sf):
+@query(_nearest_sql(" AND x.label = y.label"))
+def nearest_batched(spark, sf):
     p = T.points(spark, sf)
     return spatial.nearest(p, p, batch="label", ignore_same_index=True)
 
 
-@query(_whole(SQL["radius_cap"]))
-def radius_cap_all(spark, sf):
+@query(f"""SELECT query_id, ref_id FROM (SELECT y.vec_id AS query_id, x.vec_id AS ref_id, row_number() OVER (PARTITION BY y.vec_id ORDER BY x.vec_id) AS rank
+  FROM embeddings y JOIN embeddings x ON x.vec_id <> y.vec_id AND {_distance('y', 'x', 3)} < 0.15::DOUBLE * 0.15::DOUBLE) WHERE rank <= 8""")
+def radius_cap(spark, sf):
     p = T.points(spark, sf, 3)
     return spatial.radius(p, p, 0.15, dims=3, max_num_neighbors=8, ignore_same_index=True)
 
@@ -196,10 +153,11 @@ def metis_balance(spark, sf):
     return sizes.agg(F.sum("n").alias("nodes"), F.count("*").alias("parts"), (F.max("n") <= 1.1 * F.avg("n")).alias("balanced"))
 
 
-@query("SELECT count(*)::DOUBLE * 4 AS total FROM embeddings")
+@query("SELECT count(*)::DOUBLE * 4 AS total, true AS well_below_chance FROM embeddings")
 def metis_cut(spark, sf):
+    # chance cuts three quarters of the edges; four arcs of the ring cut 16 directed edges at each of their four ends
     cut = cluster.edge_cut(T.ring(spark, sf), metis_parts(spark, sf))
-    return cut.select((F.col("within") + F.col("between")).alias("total"))
+    return cut.select((F.col("within") + F.col("between")).alias("total"), (F.col("between") <= 0.125 * (F.col("within") + F.col("between"))).alias("well_below_chance"))
 
 
 @query()
@@ -239,18 +197,10 @@ def _ring(spark, sf) -> DataFrame:
     return T.ring(spark, sf).withColumn("etime", F.col("edge_id") % 50).withColumn("weight", (F.lit(1.0) + F.col("edge_id") % 5).cast("double"))
 
 
-def _seeds(spark, time: bool = False) -> DataFrame:
-    s = spark.range(8).select(F.col("id").alias("pos"), (F.col("id") * 11 + 3).alias("node"))
-    return s.withColumn("time", F.col("pos") * 4 + 15) if time else s
-
-
-def _hops_sql(fanouts: list[int], *, disjoint=False, first: str = "", keep: str = "", csc: bool = False, draws: bool = False, result: str = "edges", every: bool = False) -> str:
-    """SQL of neighbour sampling on the ring: a chain of hops. first: the order in which a node's edges are taken. every: each node is a seed, with nodes of its own."""
-    batch = "s.i" if disjoint else "0"
-    if every:
-        parts = [RING, "n0 AS (SELECT vec_id AS batch, vec_id AS node, vec_id AS local_id, 0 AS hop, vec_id % 8 * 4 + 15 AS root FROM embeddings)"]
-    else:
-        parts = [RING, f"n0 AS (SELECT {batch}::BIGINT AS batch, (s.i * 11 + 3)::BIGINT AS node, s.i::BIGINT AS local_id, 0 AS hop, s.i * 4 + 15 AS root FROM (SELECT unnest(range(8)) AS i) s)"]
+def _hops_sql(fanouts: list[int], *, disjoint=False, first: str = "", keep: str = "", csc: bool = False, draws: bool = False, result: str = "edges") -> str:
+    """SQL of neighbour sampling on the ring: a chain of hops from every node. first: the order in which a node's edges are taken. disjoint: each seed has nodes of its own."""
+    batch = "vec_id" if disjoint else "0::BIGINT"
+    parts = [RING, f"n0 AS (SELECT {batch} AS batch, vec_id AS node, vec_id AS local_id, 0 AS hop, vec_id % 8 * 4 + 15 AS root FROM embeddings)"]
     for h, count in enumerate(fanouts, 1):
         prev = f"n{h - 1}"
         parts.append(f"p{h} AS (SELECT f.batch, f.node, f.local_id AS row, e.dst, e.edge_id, e.etime, e.weight, f.root FROM {prev} f JOIN ring e ON e.src = f.node WHERE f.hop = {h - 1}{keep})")
@@ -277,65 +227,10 @@ def _edges(sample) -> DataFrame:
     return sample.edges.select("row", "col", "edge_id", "hop")
 
 
-@query(_hops_sql([-1, -1]))
-def neighbor_full_2hop(spark, sf):
-    return _edges(sampling.neighbor_sample(_ring(spark, sf), _seeds(spark), [-1, -1]))
-
-
-@query(_hops_sql([-1, -1], result="nodes"))
-def neighbor_full_nodes(spark, sf):
-    return sampling.neighbor_sample(_ring(spark, sf), _seeds(spark), [-1, -1]).nodes
-
-
-@query(f"SELECT hop::INTEGER AS hop, count(*) AS num_nodes FROM ({_hops_sql([-1, -1], result='nodes')}) GROUP BY 1")
-def neighbor_nodes_per_hop(spark, sf):
-    return sampling.neighbor_sample(_ring(spark, sf), _seeds(spark), [-1, -1]).nodes_per_hop()
-
-
-@query(_hops_sql([2, 3]))
-def neighbor_uniform_2hop(spark, sf):
-    return _edges(sampling.neighbor_sample(_ring(spark, sf), _seeds(spark), [2, 3], seed=5))
-
-
-@query(_hops_sql([3, 2], draws=True))
-def neighbor_replace(spark, sf):
-    return _edges(sampling.neighbor_sample(_ring(spark, sf), _seeds(spark), [3, 2], replace=True, seed=5))
-
-
-@query(_hops_sql([-1, 2], disjoint=True))
-def neighbor_disjoint(spark, sf):
-    return _edges(sampling.neighbor_sample(_ring(spark, sf), _seeds(spark), [-1, 2], disjoint=True, seed=5))
-
-
-@query(_hops_sql([-1, -1], csc=True))
-def neighbor_csc(spark, sf):
-    return _edges(sampling.neighbor_sample(_ring(spark, sf), _seeds(spark), [-1, -1], csc=True))
-
-
 def _node_time(spark, sf):
     return _nodes(spark, sf).withColumn("time", F.col("node") % 40)
 
 
-@query(_hops_sql([2, 2], disjoint=True, first="dst % 40 DESC, edge_id DESC", keep=" AND e.dst % 40 <= f.root"))
-def neighbor_temporal_node_last(spark, sf):
-    return _edges(sampling.neighbor_sample(_ring(spark, sf), _seeds(spark, True), [2, 2], disjoint=True, node_time=_node_time(spark, sf), strategy="last"))
-
-
-@query(_hops_sql([2, 2], disjoint=True, first="etime DESC, edge_id DESC", keep=" AND e.etime <= f.root"))
-def neighbor_temporal_edge_last(spark, sf):
-    return _edges(sampling.neighbor_sample(_ring(spark, sf), _seeds(spark, True), [2, 2], disjoint=True, edge_time="etime", strategy="last"))
-
-
-@query(_hops_sql([2, 2], disjoint=True, keep=" AND e.etime <= f.root"))
-def neighbor_temporal_uniform(spark, sf):
-    return _edges(sampling.neighbor_sample(_ring(spark, sf), _seeds(spark, True), [2, 2], disjoint=True, edge_time="etime", seed=5))
-
-
-@query(_hops_sql([2, 2], first="ln((" + _bits("'5'", "{h}", "batch", "node", "row", "edge_id") + " + 1) / 4294967297.0::DOUBLE) / weight DESC, edge_id"))
-def neighbor_biased(spark, sf):
-    return _edges(sampling.neighbor_sample(_ring(spark, sf), _seeds(spark), [2, 2], weight="weight", seed=5))
-
-
 @query("""SELECT o_custkey AS src, o_orderkey AS edge_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rk FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01') WHERE rk <= 2""")
 def customer_last_orders(spark, sf):
     seeds = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_custkey").alias("node"), F.expr("timestamp_ntz'1998-01-01 00:00:00'").alias("time"))
@@ -360,10 +255,10 @@ def _hetero(spark, sf) -> dict:
     return {PLACES: T.customer_orders(spark, sf), CONTAINS: _dense_edges(spark, sf, "l_orderkey", "l_partkey"), SUPPLIED: _dense_edges(spark, sf, "l_partkey", "l_suppkey")}
 
 
-def _hetero_sql(first: str | None, count: int, keep: str = "", customers: str = "o_custkey < 6") -> str:
+def _hetero_sql(first: str | None, count: int, keep: str = "") -> str:
     cut = f"WHERE rk <= {count}" if first else ""
     return f"""WITH c AS (SELECT (row_number() OVER (ORDER BY l_orderkey, l_partkey) - 1)::BIGINT AS edge_id, l_orderkey AS src, l_partkey AS dst FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)),
-  k1 AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY edge_id) AS pick FROM (SELECT o_custkey AS row, o_orderkey AS dst, o_orderkey AS edge_id, row_number() OVER (PARTITION BY o_custkey ORDER BY {first or 'o_orderkey'}) AS rk FROM orders WHERE {customers}{keep}) {cut}),
+  k1 AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY edge_id) AS pick FROM (SELECT o_custkey AS row, o_orderkey AS dst, o_orderkey AS edge_id, row_number() OVER (PARTITION BY o_custkey ORDER BY {first or 'o_orderkey'}) AS rk FROM orders{keep}) {cut}),
   n1 AS (SELECT dst AS node, row_number() OVER (ORDER BY o) - 1 AS local_id FROM (SELECT dst, min(row * 1000000 + pick) AS o FROM k1 GROUP BY 1)),
   k2 AS (SELECT n1.local_id AS row, c.dst, c.edge_id, row_number() OVER (PARTITION BY n1.local_id ORDER BY c.edge_id) AS pick FROM n1 JOIN c ON c.src = n1.node),
   n2 AS (SELECT dst AS node, row_number() OVER (ORDER BY o) - 1 AS local_id FROM (SELECT dst, min(row * 1000000 + pick) AS o FROM k2 GROUP BY 1))
@@ -371,22 +266,11 @@ def _hetero_sql(first: str | None, count: int, keep: str = "", customers: str =
   UNION ALL SELECT 'order__contains__part', row::BIGINT, local_id::BIGINT, edge_id, 2 FROM k2 JOIN n2 ON n2.node = k2.dst"""
 
 
-def _six(spark, time: str | None = None) -> dict:
-    s = spark.range(6).select(F.col("id").alias("pos"), F.col("id").alias("node"))
-    return {"customer": s.withColumn("time", F.expr(f"timestamp_ntz'{time}'")) if time else s}
-
-
 def _two(spark, sf) -> dict:
     g = _hetero(spark, sf)
     return {k: g[k] for k in (PLACES, CONTAINS)}
 
 
-@query(_hetero_sql(None, -1))
-def hetero_full(spark, sf):
-    s = sampling.hetero_neighbor_sample(_two(spark, sf), _six(spark), {PLACES: [-1, 0], CONTAINS: [0, -1]})
-    return s.edges.select("etype", "row", "col", "edge_id", "hop")
-
-
 def _temporal(spark, sf, seeds: dict) -> DataFrame:
     # batches are seeds, and each order has one customer, so that batches don't meet
     g = _two(spark, sf)
@@ -399,83 +283,7 @@ def _temporal(spark, sf, seeds: dict) -> DataFrame:
     return s.edges.select("etype", "row", "col", "edge_id", "hop").unionByName(second.select(F.lit("__".join(CONTAINS)).alias("etype"), "row", "col", "edge_id", F.lit(2).alias("hop")))
 
 
-@query(_hetero_sql("o_orderdate DESC, o_orderkey DESC", 2, " AND o_orderdate <= TIMESTAMP '1998-01-01'"))
-def hetero_temporal(spark, sf):
-    return _temporal(spark, sf, _six(spark, "1998-01-01 00:00:00"))
-
-
-@query(_hetero_sql("ln((" + _bits("'0'", "1", "0", "o_custkey", "o_custkey", "o_orderkey") + " + 1) / 4294967297.0::DOUBLE) / o_totalprice DESC, o_orderkey", 2))
-def hetero_biased(spark, sf):
-    s = sampling.hetero_neighbor_sample(_two(spark, sf), _six(spark), {PLACES: [2, 0], CONTAINS: [0, -1]}, weight={PLACES: "weight"})
-    return s.edges.select("etype", "row", "col", "edge_id", "hop")
-
-
-def _budget(spark, sf):
-    return sampling.budget_sample(_hetero(spark, sf), _six(spark), {PLACES: [3, 0, 0], CONTAINS: [0, 2, 0], SUPPLIED: [0, 0, 1]})
-
-
-@query()
-def hetero_budget_sampler(spark, sf):
-    return _budget(spark, sf).edges
-
-
-@query("SELECT 'customer__places__order' AS etype, sum(least(n, 3))::BIGINT AS taken FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey < 6 GROUP BY 1)")
-def hetero_budget_quota(spark, sf):
-    return _budget(spark, sf).edges.where("hop = 1").groupBy("etype").agg(F.count("*").alias("taken"))
-
-
-# --- pieces of a distributed run -------------------------------------------------
-
-ONE_HOP = f"WITH {RING} SELECT i::BIGINT AS seed_pos, 0::INTEGER AS j, (i * 11 + 3)::BIGINT AS node, NULL::BIGINT AS edge_id FROM (SELECT unnest(range(8)) AS i) UNION ALL SELECT i, row_number() OVER (PARTITION BY i ORDER BY edge_id)::INTEGER, dst, edge_id FROM (SELECT unnest(range(8)) AS i) JOIN ring ON src = i * 11 + 3"
-
-
-@query(ONE_HOP)
-def dist_one_hop(spark, sf):
-    return sampling.dist_neighbor_sample(_ring(spark, sf), _seeds(spark), -1).select("seed_pos", "j", "node", "edge_id")
-
-
-def _merged(spark, sf, seeds: DataFrame | None = None):
-    seeds = _seeds(spark) if seeds is None else seeds
-    part = (F.col("node") % 3).alias("part")
-    requests = seeds.select(F.col("pos").alias("seed_pos"), "node", part).withColumn("ord", F.row_number().over(W.partitionBy("part").orderBy("seed_pos")) - 1)
-    results = None
-    for p in range(3):
-        own = requests.where(F.col("part") == p).select(F.col("ord").alias("pos"), "node")
-        found = sampling.dist_neighbor_sample(_ring(spark, sf), own, -1).select(F.lit(p).cast("long").alias("part"), F.col("seed_pos").alias("ord"), "j", "node", "edge_id")
-        results = found if results is None else results.unionByName(found)
-    return sampling.merge_sampler_outputs(results, requests.select("seed_pos", "part", "ord")), requests
-
-
-@query(f"SELECT (row_number() OVER (ORDER BY seed_pos, j) - 1)::BIGINT AS pos, seed_pos, j, node, edge_id FROM ({ONE_HOP}) WHERE j > 0")
-def dist_merge(spark, sf):
-    return _merged(spark, sf)[0]
-
-
-@query(f"SELECT seed_pos, count(*) AS count FROM ({ONE_HOP}) WHERE j > 0 GROUP BY 1")
-def dist_merge_counts(spark, sf):
-    return sampling.merged_counts(*_merged(spark, sf))
-
-
-@query(f"SELECT row, col, edge_id FROM ({_hops_sql([-1])})")
-def relabel(spark, sf):
-    merged = _merged(spark, sf)[0]
-    ids = sampling.relabel_neighborhood(_seeds(spark), merged.select("pos", "seed_pos", "node"))
-    return ids.join(merged.select("pos", "edge_id"), "pos").select("row", "col", "edge_id")
-
-
-@query(f"SELECT row, col, edge_id FROM ({_hops_sql([-1])})")
-def hetero_relabel(spark, sf):
-    merged = _merged(spark, sf)[0]
-    kind = ("v", "to", "v")
-    ids = sampling.hetero_relabel_neighborhood({"v": _seeds(spark)}, {kind: merged.select("pos", "seed_pos", "node", F.col("pos").alias("order"))})[kind]
-    return ids.join(merged.select("pos", "edge_id"), "pos").select("row", "col", "edge_id")
-
-
-# --- the sampling queries with the whole table as seeds ----------------------------
-#
-# The queries above start at constant ids, as their SQL says. These start at every
-# node or customer; each node's sample is its own (disjoint), since with all nodes
-# in one sample no hop would find a new one.
+# Every node or customer is a seed. Most samples are disjoint, each seed with nodes of its own: with all nodes in one sample no hop finds a new one.
 
 
 def _every_node(spark, sf) -> DataFrame:
@@ -483,21 +291,21 @@ def _every_node(spark, sf) -> DataFrame:
     return ids.withColumn("time", F.col("pos") % 8 * 4 + 15)
 
 
-def _every_sample(name: str, fanouts: list[int], sql: dict, options: dict) -> None:
+def _every_sample(name: str, fanouts: list[int], sql: dict, options: dict, disjoint: bool = True) -> None:
     timed = "node_time" in options or "edge_time" in options
 
     def sample(spark, sf):
         seeds = _every_node(spark, sf) if timed else _every_node(spark, sf).drop("time")
         given = {k: v(spark, sf) if callable(v) else v for k, v in options.items()}
-        return sampling.neighbor_sample(_ring(spark, sf), seeds, fanouts, disjoint=True, **given)
+        return sampling.neighbor_sample(_ring(spark, sf), seeds, fanouts, disjoint=disjoint, **given)
 
-    text = _hops_sql(fanouts, disjoint=True, every=True, **sql)
+    text = _hops_sql(fanouts, disjoint=disjoint, **sql)
     if name == "neighbor_nodes_per_hop":
-        query(f"SELECT hop::INTEGER AS hop, count(*) AS num_nodes FROM ({text}) GROUP BY 1", f"{name}_all")(lambda spark, sf: sample(spark, sf).nodes_per_hop())
+        query(f"SELECT hop::INTEGER AS hop, count(*) AS num_nodes FROM ({text}) GROUP BY 1", name)(lambda spark, sf: sample(spark, sf).nodes_per_hop())
     elif sql.get("result") == "nodes":
-        query(text, f"{name}_all")(lambda spark, sf: sample(spark, sf).nodes)
+        query(text, name)(lambda spark, sf: sample(spark, sf).nodes)
     else:
-        query(text, f"{name}_all")(lambda spark, sf: _edges(sample(spark, sf)))
+        query(text, name)(lambda spark, sf: _edges(sample(spark, sf)))
 
 
 _every_sample("neighbor_full_2hop", [-1, -1], {}, {})
@@ -506,6 +314,7 @@ _every_sample("neighbor_nodes_per_hop", [-1, -1], {"result": "nodes"}, {})
 _every_sample("neighbor_uniform_2hop", [2, 3], {}, {"seed": 5})
 _every_sample("neighbor_replace", [3, 2], {"draws": True}, {"replace": True, "seed": 5})
 _every_sample("neighbor_disjoint", [-1, 2], {}, {"seed": 5})
+_every_sample("neighbor_shared", [2, 2], {}, {"seed": 5}, disjoint=False)
 _every_sample("neighbor_csc", [-1, -1], {"csc": True}, {"csc": True})
 _every_sample("neighbor_temporal_node_last", [2, 2], {"first": "dst % 40 DESC, edge_id DESC", "keep": " AND e.dst % 40 <= f.root"}, {"node_time": _node_time, "strategy": "last"})
 _every_sample("neighbor_temporal_edge_last", [2, 2], {"first": "etime DESC, edge_id DESC", "keep": " AND e.etime <= f.root"}, {"edge_time": "etime", "strategy": "last"})
@@ -518,19 +327,19 @@ def _every_customer(spark, sf, time: str | None = None) -> dict:
     return {"customer": s.withColumn("time", F.expr(f"timestamp_ntz'{time}'")) if time else s}
 
 
-@query(_hetero_sql(None, -1, customers="true"))
-def hetero_full_all(spark, sf):
+@query(_hetero_sql(None, -1))
+def hetero_full(spark, sf):
     s = sampling.hetero_neighbor_sample(_two(spark, sf), _every_customer(spark, sf), {PLACES: [-1, 0], CONTAINS: [0, -1]})
     return s.edges.select("etype", "row", "col", "edge_id", "hop")
 
 
-@query(_hetero_sql("o_orderdate DESC, o_orderkey DESC", 2, " AND o_orderdate <= TIMESTAMP '1998-01-01'", customers="true"))
-def hetero_temporal_all(spark, sf):
+@query(_hetero_sql("o_orderdate DESC, o_orderkey DESC", 2, " WHERE o_orderdate <= TIMESTAMP '1998-01-01'"))
+def hetero_temporal(spark, sf):
     return _temporal(spark, sf, _every_customer(spark, sf, "1998-01-01 00:00:00"))
 
 
-@query(_hetero_sql("ln((" + _bits("'0'", "1", "0", "o_custkey", "o_custkey", "o_orderkey") + " + 1) / 4294967297.0::DOUBLE) / o_totalprice DESC, o_orderkey", 2, customers="true"))
-def hetero_biased_all(spark, sf):
+@query(_hetero_sql("ln((" + _bits("'0'", "1", "0", "o_custkey", "o_custkey", "o_orderkey") + " + 1) / 4294967297.0::DOUBLE) / o_totalprice DESC, o_orderkey", 2))
+def hetero_biased(spark, sf):
     s = sampling.hetero_neighbor_sample(_two(spark, sf), _every_customer(spark, sf), {PLACES: [2, 0], CONTAINS: [0, -1]}, weight={PLACES: "weight"})
     return s.edges.select("etype", "row", "col", "edge_id", "hop")
 
@@ -540,48 +349,58 @@ def _every_budget(spark, sf):
 
 
 @query()
-def hetero_budget_sampler_all(spark, sf):
+def hetero_budget_sampler(spark, sf):
     return _every_budget(spark, sf).edges
 
 
 @query("SELECT 'customer__places__order' AS etype, sum(least(n, 3))::BIGINT AS taken FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
-def hetero_budget_quota_all(spark, sf):
+def hetero_budget_quota(spark, sf):
     return _every_budget(spark, sf).edges.where("hop = 1").groupBy("etype").agg(F.count("*").alias("taken"))
 
 
-ONE_HOP_ALL = f"WITH {RING} SELECT vec_id AS seed_pos, 0::INTEGER AS j, vec_id AS node, NULL::BIGINT AS edge_id FROM embeddings UNION ALL SELECT src, row_number() OVER (PARTITION BY src ORDER BY edge_id)::INTEGER, dst, edge_id FROM ring"
-RELABEL_ALL = f"SELECT seed_pos AS row, node AS col, edge_id FROM ({ONE_HOP_ALL}) WHERE j > 0"
+# --- pieces of a distributed run -------------------------------------------------
 
+ONE_HOP = f"WITH {RING} SELECT vec_id AS seed_pos, 0::INTEGER AS j, vec_id AS node, NULL::BIGINT AS edge_id FROM embeddings UNION ALL SELECT src, row_number() OVER (PARTITION BY src ORDER BY edge_id)::INTEGER, dst, edge_id FROM ring"
+RELABEL = f"SELECT seed_pos AS row, node AS col, edge_id FROM ({ONE_HOP}) WHERE j > 0"
 
-@query(ONE_HOP_ALL)
-def dist_one_hop_all(spark, sf):
+
+@query(ONE_HOP)
+def dist_one_hop(spark, sf):
     return sampling.dist_neighbor_sample(_ring(spark, sf), _every_node(spark, sf).drop("time"), -1).select("seed_pos", "j", "node", "edge_id")
 
 
-def _merged_all(spark, sf):
-    return _merged(spark, sf, _every_node(spark, sf).drop("time"))
+def _merged(spark, sf):
+    seeds = _every_node(spark, sf).drop("time")
+    part = (F.col("node") % 3).alias("part")
+    requests = seeds.select(F.col("pos").alias("seed_pos"), "node", part).withColumn("ord", F.row_number().over(W.partitionBy("part").orderBy("seed_pos")) - 1)
+    results = None
+    for p in range(3):
+        own = requests.where(F.col("part") == p).select(F.col("ord").alias("pos"), "node")
+        found = sampling.dist_neighbor_sample(_ring(spark, sf), own, -1).select(F.lit(p).cast("long").alias("part"), F.col("seed_pos").alias("ord"), "j", "node", "edge_id")
+        results = found if results is None else results.unionByName(found)
+    return sampling.merge_sampler_outputs(results, requests.select("seed_pos", "part", "ord")), requests
 
 
-@query(f"SELECT (row_number() OVER (ORDER BY seed_pos, j) - 1)::BIGINT AS pos, seed_pos, j, node, edge_id FROM ({ONE_HOP_ALL}) WHERE j > 0")
-def dist_merge_all(spark, sf):
-    return _merged_all(spark, sf)[0]
+@query(f"SELECT (row_number() OVER (ORDER BY seed_pos, j) - 1)::BIGINT AS pos, seed_pos, j, node, edge_id FROM ({ONE_HOP}) WHERE j > 0")
+def dist_merge(spark, sf):
+    return _merged(spark, sf)[0]
 
 
-@query(f"SELECT seed_pos, count(*) AS count FROM ({ONE_HOP_ALL}) WHERE j > 0 GROUP BY 1")
-def dist_merge_counts_all(spark, sf):
-    return sampling.merged_counts(*_merged_all(spark, sf))
+@query(f"SELECT seed_pos, count(*) AS count FROM ({ONE_HOP}) WHERE j > 0 GROUP BY 1")
+def dist_merge_counts(spark, sf):
+    return sampling.merged_counts(*_merged(spark, sf))
 
 
-@query(RELABEL_ALL)
-def relabel_all(spark, sf):
-    merged = _merged_all(spark, sf)[0]
+@query(RELABEL)
+def relabel(spark, sf):
+    merged = _merged(spark, sf)[0]
     ids = sampling.relabel_neighborhood(_every_node(spark, sf), merged.select("pos", "seed_pos", "node"))
     return ids.join(merged.select("pos", "edge_id"), "pos").select("row", "col", "edge_id")
 
 
-@query(RELABEL_ALL)
-def hetero_relabel_all(spark, sf):
-    merged = _merged_all(spark, sf)[0]
+@query(RELABEL)
+def hetero_relabel(spark, sf):
+    merged = _merged(spark, sf)[0]
     kind = ("v", "to", "v")
     ids = sampling.hetero_relabel_neighborhood({"v": _every_node(spark, sf)}, {kind: merged.select("pos", "seed_pos", "node", F.col("pos").alias("order"))})[kind]
     return ids.join(merged.select("pos", "edge_id"), "pos").select("row", "col", "edge_id")
@@ -590,9 +409,9 @@ def hetero_relabel_all(spark, sf):
 # --- subgraphs, walks, biased choice ---------------------------------------------
 
 
-@query(f"WITH {RING}, s AS (SELECT vec_id AS node, row_number() OVER (ORDER BY vec_id) - 1 AS id FROM embeddings WHERE vec_id % 3 <> 1) SELECT a.id AS row, b.id AS col, edge_id FROM ring JOIN s a ON a.node = src JOIN s b ON b.node = dst")
+@query(f"WITH {RING}, s AS (SELECT vec_id AS node, row_number() OVER (ORDER BY vec_id) - 1 AS id FROM embeddings WHERE embedding[1] > 0) SELECT a.id AS row, b.id AS col, edge_id FROM ring JOIN s a ON a.node = src JOIN s b ON b.node = dst")
 def subgraph_induced(spark, sf):
-    chosen = _nodes(spark, sf).where("node % 3 <> 1")
+    chosen = T.table(spark, sf, "embeddings").where("embedding[0] > 0").select(F.col("vec_id").alias("node"))
     ids = lookup.relabel_ids(chosen.withColumn("pos", F.col("node")))
     return sampling.subgraph(_ring(spark, sf), ids)
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.core import ptr_from_counts, ready
+from ..operators.order import index_sort
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,13 +47,15 @@ def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_ptr(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Turns as elements (pos, val = length of the text), and the pointers of conversations with an empty range after each."""
+    ready(spark)
     turns = table(spark, sf_dir, "conversations")
-    counts = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
-    starts = counts.select("conv_id", (F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("conv_id")) - F.col("n")).alias("start"), "n")
+    counts = turns.groupBy("conv_id").agg(F.count("*").alias("n")).checkpoint()
+    ranks = index_sort(counts.select(F.col("conv_id").alias("val"), F.col("conv_id").alias("pos")))
+    dense = ranks.select(F.col("rank").alias("c"), F.col("val").alias("conv_id")).join(counts, "conv_id").checkpoint()
+    starts = ptr_from_counts(dense, "c", "n").checkpoint()
+    own = dense.join(starts.withColumnRenamed("offset", "start"), "c")
     inside = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
-    elements = turns.withColumn("_k", inside).join(starts, "conv_id").select((F.col("start") + F.col("_k")).alias("pos"), F.length("text").cast("long").alias("val"))
-    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("conv_id")) - 1
-    rows = starts.select(rank.cast("long").alias("c"), "start", "n")
-    twice = rows.select(F.explode(F.array(F.struct((F.col("c") * 2).alias("r"), F.col("start").alias("offset")), F.struct((F.col("c") * 2 + 1).alias("r"), (F.col("start") + F.col("n")).alias("offset")))).alias("x"))
-    end = rows.agg((F.max("c") * 2 + 2).alias("r"), F.max(F.col("start") + F.col("n")).alias("offset"))
-    return elements, twice.select("x.r", "x.offset").unionByName(end)
+    elements = turns.withColumn("_k", inside).join(own, "conv_id").select((F.col("start") + F.col("_k")).alias("pos"), F.length("text").cast("long").alias("val"))
+    both = F.array(F.struct((F.col("c") * 2).alias("r"), F.col("start").alias("offset")), F.struct((F.col("c") * 2 + 1).alias("r"), (F.col("start") + F.col("n")).alias("offset")))
+    end = starts.agg((F.max("c") * 2).alias("r"), F.max("offset").alias("offset"))
+    return elements, own.select(F.explode(both).alias("x")).select("x.r", "x.offset").unionByName(end)

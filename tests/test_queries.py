@@ -83,9 +83,9 @@ def test_partition_cuts_less_than_chance(spark, small):
 def test_samples_reach_every_seed(spark, small):
     """Each node and customer has a sample of its own, not only constant ids."""
     nodes = spark.read.parquet(f"{small}/embeddings.parquet").count()
-    hop = OWN["neighbor_full_2hop_all"](spark, small).where("hop = 1")
+    hop = OWN["neighbor_full_2hop"](spark, small).where("hop = 1")
     assert hop.select("row").distinct().count() == nodes and hop.count() == 4 * nodes
-    assert OWN["dist_merge_counts_all"](spark, small).count() == nodes
+    assert OWN["dist_merge_counts"](spark, small).count() == nodes
     owners = spark.read.parquet(f"{small}/orders.parquet").select("o_custkey").distinct().count()
-    placed = OWN["hetero_full_all"](spark, small).where("hop = 1")
+    placed = OWN["hetero_full"](spark, small).where("hop = 1")
     assert placed.select("row").distinct().count() == owners > 6

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import compose, core, grad, lookup, order, reduce
+from graphloom.operators import compose, core, grad, linalg, lookup, order, reduce
 
 
 def elements(spark, idx, val, kind="double"):
@@ -207,3 +207,63 @@ def test_gradient_of_product_at_zero(spark):
 def test_first_seen_labels(spark):
     rows = spark.createDataFrame([(p, v) for p, v in enumerate([7, 3, 7, 9, 3, 1])], "pos long, node long")
     assert {r.node: r.local_id for r in lookup.relabel_ids(rows).collect()} == {7: 0, 3: 1, 9: 2, 1: 3}
+
+
+def test_products_of_whole_numbers(spark):
+    """Zeros, signs, nulls, many ones in one bucket, the least long; and an overflow raises."""
+    lists = {0: [2, -3, 1], 1: [0, 5, 7], 2: [-1] * 301, 3: [-2] * 63, 4: [None], 5: [1] * 1000 + [9], 6: [0] + [3] * 100}
+    rows = [(k, v) for k, values in lists.items() for v in values]
+    df = spark.createDataFrame([(p, i, v) for p, (i, v) in enumerate(rows)], "pos long, idx long, val long")
+    got = {r.idx: r.val for r in reduce._whole_products(df, ["idx"], "val").collect()}
+    assert got == {0: -6, 1: 0, 2: -1, 3: -(1 << 63), 4: None, 5: 9, 6: 0}
+    with pytest.raises(Exception, match="overflow"):
+        reduce._whole_products(spark.createDataFrame([(0, 0, 2)] * 64, "pos long, idx long, val long"), ["idx"], "val").collect()
+
+
+def test_sort_with_outliers_and_a_hot_value(spark):
+    """An outlier and a value that most rows have don't put all in one range; ranks are those of a plain sort."""
+    values = [5] * 400 + list(range(200)) + [1 << 60, -(1 << 60)]
+    df = spark.createDataFrame(list(enumerate(values)), "pos long, val long").repartition(5)
+    got = sorted(tuple(r) for r in order.index_sort(df, buckets=16).select("rank", "val", "perm").collect())
+    assert got == [(k, v, p) for k, (v, p) in enumerate(sorted((v, p) for p, v in enumerate(values)))]
+
+
+def test_gathers_into_what_is_there(spark):
+    source = spark.createDataFrame([(0, 1.5), (1, 2.5)], "pos long, val double")
+    out = spark.createDataFrame([(p, -1.0) for p in range(5)], "pos long, val double")
+    elements = spark.createDataFrame([(1, 1), (3, 0)], "pos long, idx long")
+    assert sorted(map(tuple, lookup.gather_coo(elements, source, out=out).collect())) == [(0, -1.0), (1, 2.5), (2, -1.0), (3, 1.5), (4, -1.0)]
+    ptr = spark.createDataFrame([(0, 1), (1, 3), (2, 4)], "r long, offset long")
+    rows = source.withColumnRenamed("pos", "r")
+    assert sorted(map(tuple, lookup.gather_csr(rows, ptr, out=out).collect())) == [(0, -1.0), (1, 1.5), (2, 1.5), (3, 2.5), (4, -1.0)]
+
+
+def test_maps_are_pickled(spark):
+    import pickle
+
+    keys = spark.createDataFrame([(0, 7), (1, 9)], "pos long, key long")
+    again = pickle.loads(pickle.dumps(lookup.HashMap(keys, num_submaps=4)))
+    assert {r.key: r.value for r in again.get(spark.createDataFrame([(9,), (8,)], "key long")).collect()} == {9: 1, 8: -1}
+    with pytest.raises(ValueError):
+        lookup.HashMap(keys, num_submaps=-2)
+
+
+def test_segment_matmul_by_ranges_and_backward(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, w, g = rng.normal(size=(6, 3)), rng.normal(size=(2, 3, 4)), rng.normal(size=(6, 4))
+    group = [0, 0, 0, 0, 1, 1]
+    rows = spark.createDataFrame([(p, group[p], x[p].tolist()) for p in range(6)], "pos long, grp long, feat array<double>")
+    weights = spark.createDataFrame([(k, m, w[k][:, m].tolist()) for k in range(2) for m in range(4)], "grp long, m int, col array<double>")
+    ptr = spark.createDataFrame([(0, 0), (1, 4), (2, 6)], "r long, offset long")
+    for got in (linalg.segment_matmul(rows, weights), linalg.segment_matmul(rows.drop("grp"), weights, ptr=ptr)):
+        for r in got.collect():
+            assert r.feat == pytest.approx(x[r.pos] @ w[group[r.pos]])
+    grads = spark.createDataFrame([(p, g[p].tolist()) for p in range(6)], "pos long, feat array<double>")
+    to_rows, to_weights = linalg.segment_matmul_backward(grads, rows, weights)
+    for r in to_rows.collect():
+        assert r.feat == pytest.approx(w[group[r.pos]] @ g[r.pos])
+    for r in to_weights.collect():
+        own = [p for p in range(6) if group[p] == r.grp]
+        assert r.col == pytest.approx(x[own].T @ g[own][:, r.m])
