@@ -29,12 +29,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ready(spark: SparkSession) -> SparkSession:
     """Makes sure that checkpoint() has a shared folder, and that Arrow batches are small.
 
-    The folder is the cluster's (spark.checkpoint.dir); only where that is
-    unset, as in tests, a temporary one is made.
+    The folder is the cluster's (spark.checkpoint.dir); only on one machine, as in
+    tests, a temporary one is made where that is unset.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

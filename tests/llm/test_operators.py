@@ -55,6 +55,26 @@ def test_edge_cases(spark, name):
         assert collected(OPERATORS[name](cases.frame(spark, data, clash=True))) == rows
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_a_very_long_text(spark, name):
+    """A text of more than 1 MiB, and its copy, beside short ones: each has its row."""
+    import random
+
+    rng = random.Random(11)
+    long = " ".join(f"w{rng.randrange(50_000)}é" for _ in range(170_000))
+    assert len(long.encode()) > 1 << 20
+    data = [(1, "a b c d e f", "en", "a", 1), (2, long, "en", "a", 1), (3, long, "en", "b", 1), (4, None, None, None, None)]
+    rows = {r.doc_id: r for r in OPERATORS[name](cases.frame(spark, data)).collect()}
+    assert sorted(rows) == [1, 2, 3, 4]
+    if name == "substrings":
+        n = len(long.encode())
+        assert rows[3].n_removed == n and rows[2].n_removed < n
+    if name == "ngram_join":
+        assert rows[3].component_id == 2 and rows[2].n_shingles > 160_000
+    if name == "exact":
+        assert rows[3].keep_id == 2 and rows[3].group_size == 2
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(spark, name):
     assert OPERATORS[name](cases.frame(spark, []).where("false")).collect() == []
