@@ -6,8 +6,14 @@
 4. mix: documents are repeated or left out so that sources near their target weights.
 5. tokens: each document that is left is encoded, and decoded again.
 
-Each stage reads what the one before has written. All but the last return the
-columns of documents.
+Each stage reads what the one before has written; its own input is then removed.
+All but the last return the columns of documents.
+
+In all stages null texts count as empty, very long texts are taken whole, an
+empty table gives no rows, and columns other than those of documents go, so
+that their names clash with none. Rows that are alike in all are one document to
+the stages that go by ids: exact leaves one of them; toxicity, mix and tokens
+treat them alike. Ties are decided by the smallest id.
 """
 
 from __future__ import annotations
@@ -24,13 +30,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that a model trained on the labelled ones rejects."""
+    """Without the documents that a model trained on the labelled ones rejects. Without labels all stay; empty texts stay."""
     model = toxicity.train(docs, common.labels(spark, sf_dir))
     return toxicity.severity(docs, model, COLUMNS).where("not rejected").select(*COLUMNS)
 
 
 def drop_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one that the exact operator keeps."""
+    """Of equal texts the one that the exact operator keeps: the longest, then that of the smallest id. Empty texts are equal; a row without an id gives way."""
     groups = exact.exact_groups(docs).select(F.col("doc_id").alias("_id"), "kept", "text_sha256").checkpoint()
     by_id = groups.groupBy("_id").agg(F.max("kept").alias("_any"), F.count("*").alias("_n"))
     gone = by_id.where("not _any").select("_id")
@@ -78,8 +84,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result but the last is written to the shared folder and read again."""
     common.ready(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = common.documents(spark, sf_dir)
+    docs, before = common.documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
