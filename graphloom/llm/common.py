@@ -39,7 +39,7 @@ def ready(spark: SparkSession) -> SparkSession:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark
 
 

@@ -22,11 +22,17 @@ from .common import SPACE_BYTES, documents, ready, spans, window_hashes
 #: Bytes: the shortest chunk, the longest; a cut is expected every AVERAGE bytes after the shortest.
 SHORTEST, AVERAGE, LONGEST = 512, 2048, 16384
 _WINDOW_LOG = 5
+#: Bytes whose rolling hashes, 8 bytes each, are in memory at once.
+PIECE = 1 << 19
 
 
 def cuts(raw: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     """For each text raw[offsets[i] : offsets[i + 1]] the ends of its chunks within it."""
-    marks = np.flatnonzero(window_hashes(raw, _WINDOW_LOG) >> np.uint64(40) & np.uint64(AVERAGE - 1) == 0) + (1 << _WINDOW_LOG)
+    width, found = 1 << _WINDOW_LOG, [np.zeros(0, np.int64)]
+    for at in range(0, len(raw), PIECE):
+        hashes = window_hashes(raw[at : at + PIECE + width - 1], _WINDOW_LOG)
+        found.append(np.flatnonzero(hashes >> np.uint64(40) & np.uint64(AVERAGE - 1) == 0) + at + width)
+    marks = np.concatenate(found)
     firsts = np.searchsorted(marks, offsets)
     out = []
     for i in range(len(offsets) - 1):

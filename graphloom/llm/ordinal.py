@@ -35,7 +35,7 @@ from .common import ready
 #: Labelled rows that a model is fitted on, about; and how clearly a kept feature must differ (chi-squared).
 SAMPLE_ROWS, LEAST_CHI2, LEAST_ROWS = 9_000, 24.0, 6
 #: Words whose features a worker remembers.
-KEEP = 400_000
+KEEP = 200_000
 
 _WORDS = re.compile(r"\w+")
 #: Upper bounds of the steps in which shares are told apart.
@@ -265,6 +265,10 @@ def sample_features(docs: DataFrame, graded: DataFrame, sample_rows: int = SAMPL
     return Sample(np.repeat(np.arange(len(use), dtype=np.int32), sizes), features, grades[use].astype(np.int64), words)
 
 
+#: What is remembered of most words.
+_NOTHING: tuple[tuple[int, ...], bool] = ((), False)
+
+
 class Scorer:
     """Scores texts with a model; remembers which words have weights."""
 
@@ -280,8 +284,8 @@ class Scorer:
         counts = self._counts
         got = tuple(h for h in map(_hash, word_names(word)) if h in counts)
         rated = len(word) >= STEM and any(_hash(x) in counts for x in rate_names(word[:STEM], 1.0))
-        self._known[word] = got, rated
-        return got, rated
+        self._known[word] = found = (got, rated) if got or rated else _NOTHING
+        return found
 
     def features(self, text: str) -> set[int]:
         """The features of a text that count in the model."""
@@ -317,13 +321,15 @@ def score_all(docs: DataFrame, model: CumulativeLink, columns: list[str], names:
     gives 0 for the last.
     """
     keep = [c for c in dict.fromkeys(columns) if c != "doc_id" and c not in names]
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.coalesce("text", F.lit("")).alias("_scored_text"))
-    fields = source.schema.fields[:-1]
+    # a text that is asked for is moved once
+    texts = ["doc_id", *keep].index("text") if "text" in keep else len(keep) + 1
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, *([] if "text" in keep else [F.col("text").alias("_scored_text")]))
+    fields = source.schema.fields[: len(keep) + 1]
 
     def run(batches):
         scorer = Scorer(model)
         for batch in batches:
-            scores = np.array([scorer.score(x) for x in batch.column(len(fields)).to_pylist()], dtype=float)
+            scores = np.array([scorer.score(x.as_py() or "") for x in batch.column(texts)], dtype=float)
             tails = model.tails(scores).reshape(len(scores), len(model.thresholds))
             second = tails[:, 1] if tails.shape[1] > 1 else np.zeros(len(scores))
             kept = [batch.column(k) for k in range(len(fields))]
