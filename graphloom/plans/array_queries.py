@@ -481,3 +481,76 @@ def sampled_mul_backward(spark, sf):
     g = p.select("pos", F.transform("feat", lambda x: (F.col("pos") % 3 + 1).cast("double")).alias("feat"))
     right = grad.sampled_backward("mul", g, p, p, pairs)[1]
     return rounded(right.select("pos", F.posexplode("feat").alias("k", "val")).select("pos", F.col("k").cast("long").alias("k"), "val"), "val")
+
+
+@query("SELECT o_orderkey AS pos, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1 THEN (o_custkey % 10 + 1)::DOUBLE ELSE 0 END AS grad FROM orders")
+def scatter_max_backward(spark, sf):
+    e = T.order_elements(spark, sf)
+    return grad.scatter_arg_backward(_bucket_grad(e), e, reduce.scatter_max(e))
+
+
+@query(SQL["scatter_sum_backward"])
+def segment_sum_coo_backward(spark, sf):
+    e = T.order_elements(spark, sf)
+    return grad.segment_sum_coo_backward(_bucket_grad(e), e)
+
+
+@query(SQL["scatter_mean_backward"])
+def segment_mean_coo_backward(spark, sf):
+    e = T.order_elements(spark, sf)
+    return rounded(grad.segment_mean_coo_backward(_bucket_grad(e), e), "grad", digits=6)
+
+
+@query(SQL["scatter_min_backward"])
+def segment_min_coo_backward(spark, sf):
+    e = T.order_elements(spark, sf)
+    return grad.segment_arg_coo_backward(_bucket_grad(e), e, reduce.segment_min_coo(e))
+
+
+@query(SQL["scatter_max_backward"])
+def segment_max_coo_backward(spark, sf):
+    e = T.order_elements(spark, sf)
+    return grad.segment_arg_coo_backward(_bucket_grad(e), e, reduce.segment_max_coo(e))
+
+
+def _winner_sql(order: str) -> str:
+    return f"WITH {TURNS} SELECT pos, CASE WHEN row_number() OVER (PARTITION BY r ORDER BY {order}, pos) = 1 THEN (r % 6)::DOUBLE ELSE 0 END AS grad FROM e"
+
+
+@query(_winner_sql("val"))
+def segment_min_csr_backward(spark, sf):
+    e, ptr = T.conversation_ptr(spark, sf)
+    return grad.scatter_arg_backward(ptr.select("r", (F.col("r") % 6).cast("double").alias("grad")), e, reduce.segment_min_csr(e, ptr), index="r")
+
+
+@query(_winner_sql("val DESC"))
+def segment_max_csr_backward(spark, sf):
+    e, ptr = T.conversation_ptr(spark, sf)
+    return grad.scatter_arg_backward(ptr.select("r", (F.col("r") % 6).cast("double").alias("grad")), e, reduce.segment_max_csr(e, ptr), index="r")
+
+
+def _sampled_gradient(spark, sf, op: str, side: int) -> DataFrame:
+    p = T.points(spark, sf, 4).select(F.col("id").alias("pos"), F.col("pos").cast("array<double>").alias("feat"))
+    n = extent(p, "pos")
+    pairs = p.select("pos", F.col("pos").alias("li"), ((F.col("pos") * 7 + 3) % n).alias("ri"))
+    g = p.select("pos", F.transform("feat", lambda x: (F.col("pos") % 3 + 1).cast("double")).alias("feat"))
+    found = grad.sampled_backward(op, g, p, p, pairs)[side]
+    return rounded(found.select("pos", F.posexplode("feat").alias("k", "val")).select("pos", F.col("k").cast("long").alias("k"), "val"), "val")
+
+
+_FOUR = "WITH p AS (SELECT vec_id, unnest(range(4)) AS k, unnest(embedding[1:4])::DOUBLE AS v FROM embeddings), n AS (SELECT max(vec_id) + 1 AS n FROM embeddings)"
+
+
+@query(f"{_FOUR} SELECT (a.vec_id * 7 + 3) % n AS pos, a.k, round(sum((a.vec_id % 3 + 1)::DOUBLE), 4) AS val FROM p a, n GROUP BY ALL")
+def sampled_add_backward(spark, sf):
+    return _sampled_gradient(spark, sf, "add", 1)
+
+
+@query(f"{_FOUR} SELECT (a.vec_id * 7 + 3) % n AS pos, a.k, round(sum(-(a.vec_id % 3 + 1)::DOUBLE), 4) AS val FROM p a, n GROUP BY ALL")
+def sampled_sub_backward(spark, sf):
+    return _sampled_gradient(spark, sf, "sub", 1)
+
+
+@query(f"{_FOUR} SELECT a.vec_id AS pos, a.k, round((a.vec_id % 3 + 1)::DOUBLE / b.v, 4) AS val FROM p a, n, p b WHERE b.vec_id = (a.vec_id * 7 + 3) % n AND b.k = a.k")
+def sampled_div_backward(spark, sf):
+    return _sampled_gradient(spark, sf, "div", 0)
