@@ -37,12 +37,16 @@ def test_contexts_cover_every_window_once():
     sizes = [0, 99, 100, 101, 500, 5000]
     raw = rng.integers(97, 100, sum(sizes)).astype(np.uint8)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    text, low, more, _, _ = substrings.contexts(raw, offsets)
+    text, low, more, at, anchor, _ = substrings.contexts(raw, offsets)
     for i, n in enumerate(sizes):
         mine = text == i
         starts = [s for a, m in zip(low[mine], more[mine]) for s in range(a, a + m + 1)]
         assert starts == list(range(max(0, n - 99)))
-        assert (more[mine] < 256).all()
+        assert (more[mine] < 256).all() and (at[mine] >= more[mine]).all() and (at[mine] <= 68).all()
+    strings = {}
+    for i, a, k, h in zip(text, low, at, anchor):  # one anchor, one string
+        begin = offsets[i] + a + k
+        assert strings.setdefault(int(h), bytes(raw[begin : begin + 32])) == bytes(raw[begin : begin + 32])
 
 
 def test_repeated_windows():
