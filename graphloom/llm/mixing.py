@@ -8,7 +8,9 @@ merged in the order of finish times and cut where the budget of words is used.
 Only DataFrame functions. A source with a third of all rows isn't one task:
 running sums are made in two levels, within random slots of a source and
 across the slots' totals. The cut is found from totals by range of finish
-time; rows are ordered exactly only in the range where the budget ends.
+time; rows are ordered exactly only in the range where the budget ends. Slots
+and ranges get more with the rows, so that one holds about as many at any size.
+Sources may be many, too: they are ordered in ranges and over the ranges' totals.
 """
 
 from __future__ import annotations
@@ -22,8 +24,26 @@ from .common import WORD_CLASS, documents, ready
 #: Target weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
-#: Each source's rows are dealt to so many slots, and finish times to so many ranges.
-SLOTS, RANGES = 1024, 4096
+#: Each source's rows are dealt to 2**SLOT_BITS slots, and finish times to RANGES ranges; to more where there are more than so many rows for each.
+SLOT_BITS, RANGES, SLOT_ROWS = 10, 4096, 1 << 16
+#: Bits of a key by which slots are told apart.
+KEY_BITS = 52
+
+
+def _with_sums_before(rows: DataFrame, order: list, sums: list[str]) -> DataFrame:
+    """rows with `_nth` (0, 1, ...) and, for each named column c, `_before_c`: its sum over the rows before in this order, which has no ties.
+
+    Rows are put in ranges, numbered and added up in each side by side, and over
+    the ranges' totals, of which there are no more than shuffle partitions.
+    """
+    ranged = rows.withColumn("_one", F.lit(1).cast("long")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    added = {"_one": "_nth", **{c: f"_before_{c}" for c in sums}}
+    by_part = W.partitionBy(F.lit(0)).orderBy("_part")
+    totals = ranged.groupBy(F.col("_part").alias("_part")).agg(*[F.sum(c).alias(c) for c in added])
+    totals = totals.select(F.col("_part").alias("_p"), *[(F.sum(c).over(by_part) - F.col(c)).alias(f"_base_{c}") for c in added])
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    upto = ranged.select(*rows.columns, "_part", *[(F.sum(c).over(inside) - F.col(c)).alias(name) for c, name in added.items()])
+    return upto.join(totals, F.col("_part") == F.col("_p")).select(*rows.columns, *[(F.col(f"_base_{c}") + F.col(name)).alias(name) for c, name in added.items()])
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -35,20 +55,20 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     limit per weight. A row per source; null is the last source.
     """
     n = len(weights)
-    by_name = W.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), F.col("source"))
-    ranked = sources.withColumn("_k", (F.row_number().over(by_name) - 1) % n)
+    by_name = [F.col("source").isNull(), F.col("source")]
+    ranked = _with_sums_before(sources, by_name, []).withColumn("_k", F.col("_nth") % n)
     weight = F.lit(float(weights[n - 1]))
     for k in range(n - 1):
         weight = F.when(F.col("_k") == k, F.lit(float(weights[k]))).otherwise(weight)
-    ranked = ranked.withColumn("_w", weight).withColumn("_cap", F.col("source_size").cast("double") * most)
-    everything = W.partitionBy(F.lit(0))
-    by_limit = everything.orderBy(F.col("_cap") / F.col("_w"), F.col("source").isNull(), F.col("source"))
-    before = by_limit.rowsBetween(W.unboundedPreceding, -1)
-    rest = by_limit.rowsBetween(0, W.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(rest)
-    ranked = ranked.withColumn("_level", level).withColumn("_capped", F.col("_cap") / F.col("_w") <= F.col("_level"))
-    final = F.min(F.when(~F.col("_capped"), F.struct(F.col("_cap") / F.col("_w"), F.col("_level")))).over(everything)["_level"]
-    return ranked.select("source", "source_size", F.when(F.col("_capped") | final.isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_w") * final)).alias("target"))
+    ranked = ranked.select("source", "source_size", weight.alias("_w"), (F.col("source_size").cast("double") * most).alias("_cap")).withColumn("_limit", F.col("_cap") / F.col("_w"))
+    ranked = _with_sums_before(ranked, ["_limit", *by_name], ["_cap", "_w"])
+    ranked = ranked.crossJoin(F.broadcast(sources.agg(F.sum("source_size").alias("_total"))))  # one row
+    ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.sum("_w").alias("_all_w"))))
+    level = (F.col("_total") - F.col("_before__cap")) / (F.col("_all_w") - F.col("_before__w"))
+    ranked = ranked.withColumn("_level", level).withColumn("_capped", F.col("_limit") <= F.col("_level"))
+    final = ranked.agg(F.min(F.when(~F.col("_capped"), F.struct("_limit", "_level")))["_level"].alias("_final"))
+    ranked = ranked.crossJoin(F.broadcast(final))
+    return ranked.select("source", "source_size", F.when(F.col("_capped") | F.col("_final").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_w") * F.col("_final"))).alias("target"))
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
@@ -67,11 +87,17 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str =
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_CLASS)).cast("long").alias("size"),
     )
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
-    sized = sized.withColumn("_key", key).withColumn("_slot", F.conv(F.substring("_key", 1, 4), 16, 10).cast("int") % SLOTS)
-    sized = sized.checkpoint()  # the texts are read once; what follows has a few numbers a row
-    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    sized = sized.withColumn("_key", key).checkpoint()  # the texts are read once; what follows has a few numbers a row
+    more = max(0, -(-sized.count() // SLOT_ROWS) - 1).bit_length()  # 2**more times SLOT_ROWS rows
+    # A queue's order is by four digits of the key modulo 2**10, then by the key. Slots are the first bits of that order.
+    digits = F.conv(F.substring("_key", 1, KEY_BITS // 4), 16, 10).cast("long")
+    low = KEY_BITS - 16
+    in_order = F.shiftleft(F.shiftright(digits, low) % 1024, KEY_BITS - 10) + F.shiftleft(F.shiftright(digits, low + 10), low) + digits % (1 << low)
+    sized = sized.withColumn("_slot", F.shiftright(in_order, KEY_BITS - min(KEY_BITS, max(SLOT_BITS, more))))
+    ranges_of_time = max(RANGES, 1 << more)
+    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).checkpoint()
     slots = sized.groupBy("source", "_slot").agg(F.sum("size").alias("_sum"))
-    # Slots are few for each source, whatever the rows.
+    # a slot for some 2**16 rows at most
     offset = F.sum("_sum").over(W.partitionBy("source").orderBy("_slot")) - F.col("_sum")
     slots = slots.select(F.col("source").alias("_s"), F.col("_slot").alias("_t"), offset.alias("_offset"))
     plan = plan.select(F.col("source").alias("_p"), "source_size", "target")
@@ -84,18 +110,18 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str =
     items = placed.where("size > 0").select("_row", "_key", "doc_id", "source", "size", "source_size", "target", "_reach", turn.alias("_turn"))
     items = items.withColumn("_finish", (F.col("_turn") * F.col("source_size") + F.col("_reach")) / F.col("target"))
     # No item is needed that finishes long after its source has had its target.
-    items = items.withColumn("_range", F.least(F.lit(2 * RANGES), F.floor(F.col("_finish") * RANGES)).cast("int"))
+    items = items.withColumn("_range", F.least(F.lit(2 * ranges_of_time), F.floor(F.col("_finish") * ranges_of_time)).cast("long"))
     ranges = items.groupBy("_range").agg(F.sum("size").alias("_sum"))
     reach = F.sum("_sum").over(W.partitionBy(F.lit(0)).orderBy("_range"))
     ranges = ranges.select("_range", "_sum", reach.alias("_upto"))
     budget = sized.agg(F.sum("size").alias("_budget"))
     cut = ranges.crossJoin(F.broadcast(budget)).where("_upto > _budget").agg(
         F.min(F.struct("_range", (F.col("_budget") - F.col("_upto") + F.col("_sum")).alias("_left"))).alias("_c")
-    ).select(F.coalesce("_c._range", F.lit(1 << 30)).alias("_at"), F.coalesce("_c._left", F.lit(0)).alias("_left"))
+    ).select(F.coalesce("_c._range", F.lit(1 << 62)).alias("_at"), F.coalesce("_c._left", F.lit(0)).alias("_left"))
     items = items.crossJoin(F.broadcast(cut))  # one row
     sure = items.where("_range < _at").select("_row")
-    in_order = W.partitionBy("_range").orderBy("_finish", F.col("source").isNull(), "source", "_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    last = items.where("_range = _at").withColumn("_used", F.sum("size").over(in_order)).where("_used <= _left").select("_row")
+    by_time = W.partitionBy("_range").orderBy("_finish", F.col("source").isNull(), "source", "_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    last = items.where("_range = _at").withColumn("_used", F.sum("size").over(by_time)).where("_used <= _left").select("_row")
     times = sure.unionByName(last).groupBy("_row").agg(F.count("*").alias("_times")).withColumnRenamed("_row", "_r")
     return placed.join(times, F.col("_row") == F.col("_r"), "left").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("_times", F.lit(0))).alias("taken")

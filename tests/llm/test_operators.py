@@ -316,6 +316,24 @@ def test_mixing_targets_and_limits(docs, data):
     assert collected(mixing.mix_sources(docs)) == sorted((tuple(r) for r in rows), key=repr)
 
 
+def test_mixing_is_the_same_with_more_slots_and_ranges(spark, monkeypatch):
+    """Neither how many slots and ranges there are nor how sources are dealt to tasks changes the mix; many sources, ties among them."""
+    data = [(i, f"w{i} " * (i * 7 % 23), None, None if i % 41 == 0 else f"host{i % 40:02d}", None) for i in range(400)]
+    plain = collected(mixing.mix_sources(cases.frame(spark, data)))
+    assert len(plain) == 400
+    monkeypatch.setattr(mixing, "SLOT_ROWS", 2)
+    monkeypatch.setattr(mixing, "SLOT_BITS", 1)
+    monkeypatch.setattr(mixing, "RANGES", 3)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        assert collected(mixing.mix_sources(cases.frame(spark, data))) == plain
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 # --- 5 ---------------------------------------------------------------------------
 
 
@@ -490,6 +508,19 @@ def test_bpe_pieces_and_odd_texts():
         assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.skipif(FILE is None, reason="no tokenizer files")
+@pytest.mark.parametrize("part,key,value", [("model", "ignore_merges", True), ("model", "byte_fallback", True), ("pre_tokenizer", "add_prefix_space", True), (None, "normalizer", {"type": "NFC"})])
+def test_tokenizer_files_that_ask_for_more_are_refused(tmp_path, part, key, value):
+    import json
+
+    with open(FILE, encoding="utf-8") as f:
+        read = json.load(f)
+    (read[part] if part else read)[key] = value
+    (tmp_path / "other.json").write_text(json.dumps(read), encoding="utf-8")
+    with pytest.raises(ValueError, match="unsupported"):
+        bpe.PrefixEncoder(str(tmp_path / "other.json"))
+
+
 # --- 9 and 10 --------------------------------------------------------------------
 
 
