@@ -37,12 +37,27 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def _check(read: dict) -> None:
+    """Raises ValueError where a tokenizer file asks for what PrefixEncoder doesn't do, rather than encode otherwise than the library."""
+    model, before, after = read["model"], read.get("pre_tokenizer") or {}, read.get("decoder") or {}
+    asked = {name: model.get(name) for name in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")}
+    asked["model"] = model.get("type") != "BPE"
+    asked["normalizer"] = read.get("normalizer")
+    asked["pre_tokenizer"] = before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True)
+    asked["decoder"] = after.get("type") != "ByteLevel"
+    asked["added_tokens"] = any(x.get(k) for x in read["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
+    asked["vocab without all bytes"] = any(x not in model["vocab"] for x in _byte_letters())
+    if wrong := [name for name, x in asked.items() if x]:
+        raise ValueError(f"unsupported in a byte-level BPE file: {', '.join(wrong)}")
+
+
 class PrefixEncoder:
-    """Encodes and decodes with a byte-level BPE file of the tokenizers library."""
+    """Encodes and decodes with a byte-level BPE file of the tokenizers library; files that ask for more than that are refused."""
 
     def __init__(self, file: str):
         with open(file, encoding="utf-8") as f:
             read = json.load(f)
+        _check(read)
         vocabulary = read["model"]["vocab"]
         byte_of = {letter: b for b, letter in enumerate(_byte_letters())}
         spell = {token: bytes(byte_of[c] for c in token) for token in vocabulary}
