@@ -23,6 +23,10 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
+def _bits(*keys: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 8))::BIGINT"
+
+
 # --- similarity joins --------------------------------------------------------
 
 
@@ -104,7 +108,18 @@ def grid_cluster_bounds(spark, sf):
 # --- selection, matching, partitioning ---------------------------------------
 
 
-@query()
+def _far(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda d: ({a}[d] - {b}[d]) * ({a}[d] - {b}[d])))"
+
+
+# k: the place of the point taken in a step; far: all points' squared distances from what is taken.
+@query(f"""WITH RECURSIVE p AS (SELECT label::BIGINT AS batch, list(vec_id ORDER BY vec_id) AS ids, list(embedding::DOUBLE[] ORDER BY vec_id) AS pts, ceil((count(*)::FLOAT * 0.1::FLOAT)::FLOAT)::BIGINT AS n FROM embeddings GROUP BY 1),
+  f AS (
+    SELECT batch, 0::BIGINT AS step, 1::BIGINT AS k, list_transform(pts, lambda x: {_far('x', 'pts[1]')}) AS far FROM p
+    UNION ALL
+    SELECT batch, step, k, list_transform(range(1, len(far) + 1), lambda i: least(far[i], {_far('pts[i]', 'pts[k]')})) FROM
+      (SELECT f.batch, f.step + 1 AS step, list_position(f.far, list_max(f.far))::BIGINT AS k, f.far, p.pts FROM f JOIN p ON p.batch = f.batch WHERE f.step + 1 < p.n))
+  SELECT f.batch, f.step, p.ids[f.k] AS id FROM f JOIN p ON p.batch = f.batch""")
 def fps_label(spark, sf):
     return cluster.fps(T.points(spark, sf), ratio=0.1, batch="label", random_start=False)
 
@@ -127,7 +142,20 @@ def _near(spark, sf) -> DataFrame:
     return found.join(found.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
 
 
-@query()
+# Mutual proposals by one order of all edges are the same as taking edges in that order while both ends are free.
+_MATCH = f"""WITH RECURSIVE q AS (SELECT query_id, ref_id, d FROM (SELECT y.vec_id AS query_id, x.vec_id AS ref_id, {_distance('y', 'x', 64)} AS d, row_number() OVER (PARTITION BY y.vec_id ORDER BY {_distance('y', 'x', 64)}, x.vec_id) AS rank
+    FROM embeddings y JOIN embeddings x ON x.vec_id <> y.vec_id) WHERE rank <= 5),
+  e AS (SELECT u, v, row_number() OVER (ORDER BY w DESC, {_bits("'0'", 'u', 'v')} DESC, u DESC, v DESC) AS i FROM
+    (SELECT a.query_id AS u, a.ref_id AS v, greatest(1 / (1 + a.d), 1 / (1 + b.d)) AS w FROM q a JOIN q b ON a.query_id = b.ref_id AND a.ref_id = b.query_id WHERE a.query_id < a.ref_id)),
+  g AS (
+    SELECT 0::BIGINT AS i, []::BIGINT[] AS used, NULL::BIGINT AS u, NULL::BIGINT AS v
+    UNION ALL
+    SELECT e.i, CASE WHEN list_has_any(g.used, [e.u, e.v]) THEN g.used ELSE list_concat(g.used, [e.u, e.v]) END, CASE WHEN NOT list_has_any(g.used, [e.u, e.v]) THEN e.u END, CASE WHEN NOT list_has_any(g.used, [e.u, e.v]) THEN e.v END
+    FROM g JOIN e ON e.i = g.i + 1)
+  SELECT n.vec_id AS node, coalesce(g.u, n.vec_id) AS cluster FROM embeddings n LEFT JOIN g ON g.u = n.vec_id OR g.v = n.vec_id"""
+
+
+@query(_MATCH)
 def graclus_match(spark, sf):
     return cluster.graclus_cluster(_nodes(spark, sf), _near(spark, sf), weight="w")
 
@@ -165,10 +193,6 @@ def metis_cut_weights(spark, sf):
     return cluster.edge_cut(T.ring(spark, sf), metis_parts(spark, sf))
 
 
-def _bits(*keys: str) -> str:
-    return f"('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 8))::BIGINT"
-
-
 _RANKED = f"""SELECT o_custkey AS pos, o_custkey AS node, o_orderkey AS edge_id,
   row_number() OVER (PARTITION BY o_custkey ORDER BY {_bits("'7'", 'o_custkey', 'o_custkey', 'o_orderkey')}, o_orderkey) AS rank, count(*) OVER (PARTITION BY o_custkey) AS deg FROM orders"""
 
