@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 #: Positions per bucket of a range join.
 RANGE_BUCKET = 4096
 
+#: Keys per block in which a group's rows are numbered.
+NUMBER_BLOCK = 1 << 16
+
 #: A table with at most so many rows and bytes may be broadcast whole.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
@@ -76,6 +79,23 @@ def ptr_from_counts(counts: DataFrame, row: str, count: str) -> DataFrame:
     return first.unionByName(ends)
 
 
+def number_within(rows: DataFrame, by: Sequence[str], key: str, name: str) -> DataFrame:
+    """Adds `name`: 0, 1, ... within each group of `by`, in the order of the whole-number key, which has no ties in a group.
+
+    A group is numbered in blocks of NUMBER_BLOCK neighbouring keys side by side,
+    and over the blocks' counts, so that a hub isn't one task. Groups or keys
+    that are null are left out.
+    """
+    from pyspark.sql import Window as W
+
+    blocked = rows.withColumn("_block", F.floor(F.col(key) / NUMBER_BLOCK))
+    counts = blocked.groupBy(*by, "_block").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(W.partitionBy(*by).orderBy("_block")) - F.col("_c")
+    bases = counts.select(*by, "_block", before.alias("_base"))
+    inside = F.row_number().over(W.partitionBy(*by, "_block").orderBy(key)) - 1
+    return blocked.withColumn("_in", inside).join(bases, [*by, "_block"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_block", "_base", "_in")
+
+
 def assign_ranges(elements: DataFrame, ranges: DataFrame, pos: str = "pos", row: str = "r") -> DataFrame:
     """Adds the range (row, start, stop) that holds each element's position; elements in no range are left out.
 

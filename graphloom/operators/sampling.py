@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .core import keyed_bits, keyed_uniform, ready
+from .core import NUMBER_BLOCK, keyed_bits, keyed_uniform, number_within, ready
 from .lookup import relabel_ids
 
 STRATEGIES = ("uniform", "last")
@@ -43,29 +43,48 @@ def _counts(rows: DataFrame, n: int, first: int, name: str) -> DataFrame:
     return line.join(found, "hop", "left").select("hop", F.coalesce(name, F.lit(0).cast("long")).alias(name))
 
 
+def _drawn(groups: DataFrame, numbered: DataFrame, count: int, by: list[str], on: list[str], salt: list[Column], seed: int) -> DataFrame:
+    """`count` uniform draws with replacement for each of the groups (by, _deg): equi-joins on the number `_n` that rows have within `on`."""
+    draws = groups.withColumn("pick", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    return draws.withColumn("_n", F.floor(keyed_uniform(seed, *salt, "pick") * F.col("_deg"))).join(numbered, [*on, "_n"]).drop("_n", "_deg")
+
+
+def _drawn_by_weight(pool: DataFrame, count: int, by: list[str], salt: list[Column], seed: int, weight: str) -> DataFrame:
+    """`count` draws with replacement for each group, likelier by weight: first a block of the group's edges, then an edge of the block.
+
+    So a draw meets the totals of blocks and the edges of one block, not all edges of a hub.
+    """
+    rows = pool.where(F.col(weight) > 0).withColumn("_block", F.floor(F.col("edge_id") / NUMBER_BLOCK))
+    blocks = rows.groupBy(*by, "_block").agg(F.sum(F.col(weight).cast("double")).alias("_w"))
+
+    def sliced(table: DataFrame, of: list[str], order: str, w: str) -> DataFrame:
+        along = W.partitionBy(*of).orderBy(order)
+        upto = table.withColumn("_hi", F.sum(F.col(w).cast("double")).over(along.rowsBetween(W.unboundedPreceding, 0)))
+        return upto.withColumn("_lo", F.coalesce(F.lag("_hi").over(along), F.lit(0.0))).withColumn("_last", F.lead(order).over(along).isNull())
+
+    holds = (F.col("_u") >= F.col("_lo")) & ((F.col("_u") < F.col("_hi")) | F.col("_last"))
+    total = F.sum("_w").over(W.partitionBy(*by))
+    drawn = sliced(blocks, by, "_block", "_w").withColumn("_total", total).withColumn("pick", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    drawn = drawn.withColumn("_u", keyed_uniform(seed, *salt, "pick") * F.col("_total")).where(holds).select(*by, "_block", "pick", (F.col("_u") - F.col("_lo")).alias("_u"))
+    return sliced(rows, [*by, "_block"], "edge_id", weight).join(drawn, [*by, "_block"]).where(holds).drop("_block", "_hi", "_lo", "_last", "_u")
+
+
 def _choose(pool: DataFrame, count: int, *, replace: bool, by: list[str], seed: int, hop: int, strategy: str, time: str | None, weight: str | None) -> DataFrame:
-    """Keeps `count` rows of each group and numbers them `pick`, in edge order (draws: in draw order)."""
+    """Keeps `count` rows of each group and numbers them `pick`, in edge order (draws: in draw order).
+
+    Without replacement Spark keeps a task's first `count` rows of a group before
+    it moves them (WindowGroupLimit), so a hub's edges don't meet in one task.
+    """
     group = W.partitionBy(*by)
     if count < 0:
-        return pool.withColumn("pick", F.row_number().over(group.orderBy("edge_id")))
+        return number_within(pool, by, "edge_id", "_n").withColumn("pick", F.col("_n") + 1).drop("_n")
     if count == 0:
         return pool.where(F.lit(False)).withColumn("pick", F.lit(0))
     salt = [F.lit(hop), *by]
     if replace and weight is None and strategy == "uniform":
-        draws = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-        order = group.orderBy("edge_id")
-        numbered = pool.withColumn("_n", F.row_number().over(order) - 1).withColumn("_deg", F.count("*").over(group))
-        wanted = numbered.where("_n = 0").select(*[F.col(b).alias(f"_{b}") for b in by], "_deg", draws.alias("pick"))
-        wanted = wanted.withColumn("_at", F.floor(keyed_uniform(seed, F.lit(hop), *[F.col(f"_{b}") for b in by], "pick") * F.col("_deg"))).drop("_deg")
-        same = [F.col(b) == F.col(f"_{b}") for b in by] + [F.col("_n") == F.col("_at")]
-        return numbered.join(wanted, same).drop("_n", "_deg", "_at", *[f"_{b}" for b in by])
+        return _drawn(pool.groupBy(*by).agg(F.count("*").alias("_deg")), number_within(pool, by, "edge_id", "_n"), count, by, by, salt, seed)
     if weight is not None and replace:
-        total = F.sum(weight).over(group)
-        upto = F.sum(weight).over(group.orderBy("edge_id").rowsBetween(W.unboundedPreceding, 0)) / total
-        sliced = pool.withColumn("_hi", upto).withColumn("_lo", F.coalesce(F.lag("_hi").over(group.orderBy("edge_id")), F.lit(0.0)))
-        drawn = sliced.withColumn("pick", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-        u = keyed_uniform(seed, *salt, "pick")
-        return drawn.where((u >= F.col("_lo")) & (u < F.col("_hi"))).drop("_lo", "_hi")
+        return _drawn_by_weight(pool, count, by, salt, seed, weight)
     if strategy == "last" and time is not None:
         first = [F.desc(time), F.desc("edge_id")]
     elif weight is not None:
@@ -115,6 +134,11 @@ def neighbor_sample(
     nodes = seeds.select(batch.alias("batch"), "node", F.col("pos").cast("long").alias("local_id"), F.lit(0).alias("hop")).checkpoint()
     known, all_edges, total = nodes, None, seeds.count()
     adjacency = edges.select(F.col("src").alias("node"), "dst", "edge_id", *[c for c in (weight, edge_time) if c])
+    # Where times don't choose, a node's edges have the same numbers in every hop.
+    draws = replace and weight is None and strategy == "uniform"
+    if not temporal and (draws or min(num_neighbors, default=0) < 0):
+        adjacency = number_within(adjacency, ["node"], "edge_id", "_n").checkpoint()
+        degree = adjacency.groupBy("node").agg(F.count("*").alias("_deg"))
     for hop, count in enumerate(num_neighbors, 1):
         frontier = known.where(F.col("hop") == hop - 1).select("batch", "node", F.col("local_id").alias("row"))
         pool = frontier.join(adjacency, "node")
@@ -125,7 +149,13 @@ def neighbor_sample(
             else:
                 pool, time = pool.join(node_time.select(F.col("node").alias("dst"), F.col("time").alias("_t")), "dst"), "_t"
             pool = pool.join(root.withColumnRenamed("time", "_root"), "batch").where("_t <= _root").drop("_root")
-        picks = _choose(pool, count, replace=replace, by=["batch", "node", "row"], seed=seed, hop=hop, strategy=strategy, time=time, weight=weight)
+        by = ["batch", "node", "row"]
+        if not temporal and count < 0:
+            picks = pool.withColumn("pick", F.col("_n") + 1)
+        elif not temporal and count > 0 and draws:
+            picks = _drawn(frontier.join(degree, "node"), adjacency, count, by, ["node"], [F.lit(hop), *by], seed)
+        else:
+            picks = _choose(pool, count, replace=replace, by=by, seed=seed, hop=hop, strategy=strategy, time=time, weight=weight)
         picks = picks.select("batch", "row", "dst", "edge_id", "pick").checkpoint()
         order = F.struct("row", "pick")
         fresh = picks.groupBy("batch", F.col("dst").alias("node")).agg(F.min(order).alias("o")).join(known.select("batch", "node"), ["batch", "node"], "left_anti")
@@ -402,7 +432,7 @@ def random_walk(edges: DataFrame, seeds: DataFrame, walk_length: int, *, p: floa
     if p != 1.0 or q != 1.0:
         raise ValueError("only p = q = 1")
     ready(edges.sparkSession)
-    numbered = edges.select(F.col("src").alias("node"), F.col("dst").alias("_to"), (F.row_number().over(W.partitionBy("src").orderBy("edge_id")) - 1).alias("_k")).checkpoint()
+    numbered = number_within(edges.select("src", "dst", "edge_id"), ["src"], "edge_id", "_k").select(F.col("src").alias("node"), F.col("dst").alias("_to"), "_k").checkpoint()
     degree = numbered.groupBy("node").agg(F.count("*").alias("_deg")).checkpoint()
     at = seeds.select("pos", "node")
     out = at.select("pos", F.lit(0).alias("step"), "node")

@@ -371,3 +371,24 @@ def test_matrix_market(spark, tmp_path):
 def test_uniform_is_inside_the_open_interval(spark):
     low, high = spark.range(1000).select(core.keyed_uniform(1, "id").alias("u")).agg(F.min("u"), F.max("u")).first()
     assert 0 < low < high < 1 and not math.isnan(low)
+
+
+def test_numbers_within_groups_go_on_over_blocks(spark, monkeypatch):
+    """A hub's rows are numbered in blocks of keys, with gaps and keys below zero; groups that are null are left out."""
+    monkeypatch.setattr(core, "NUMBER_BLOCK", 8)
+    data = [(g, k) for g in (0, 1) for k in range(-20, 60, 3 + g)] + [(2, 5), (None, 1)]
+    got = {(r.g, r.k): r.n for r in core.number_within(spark.createDataFrame(data, "g long, k long").repartition(3), ["g"], "k", "n").collect()}
+    assert got == {(g, k): n for g in (0, 1, 2) for n, k in enumerate(sorted(k for h, k in data if h == g))}
+
+
+def test_weighted_draws_over_blocks(spark, monkeypatch):
+    """Draws with replacement follow the weights, whichever block an edge is in; weight 0 is never drawn, and each draw gives one edge."""
+    monkeypatch.setattr(sampling, "NUMBER_BLOCK", 4)
+    weights = [1.0, 0.0, 3.0, 2.0, 0.0, 4.0, 1.0, 5.0, 0.0, 4.0]
+    g = spark.createDataFrame([(k, 0, k + 1, w) for k, w in enumerate(weights)], "edge_id long, src long, dst long, weight double")
+    start = spark.createDataFrame([(0, 0)], "pos long, node long")
+    drawn = sampling.neighbor_sample(g, start, [4000], replace=True, weight="weight", seed=3).edges
+    counts = {r.edge_id: r["count"] for r in drawn.groupBy("edge_id").count().collect()}
+    assert sum(counts.values()) == 4000 and drawn.select("pick").distinct().count() == 4000
+    for k, w in enumerate(weights):
+        assert abs(counts.get(k, 0) / 4000 - w / sum(weights)) < 0.03 and (w or k not in counts)
