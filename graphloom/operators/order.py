@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,15 +22,20 @@ def index_sort(elements: DataFrame, *, value: str = "val", pos: str = "pos", max
     if not isinstance(elements.schema[value].dataType, T.IntegralType):
         raise ValueError("index_sort takes one column of whole numbers")
     shares = [k / buckets for k in range(1, buckets)]
-    key = F.struct(F.col(value).cast("long").alias("v"), F.col(pos).cast("long").alias("p"))
     cuts, low, high = elements.agg(F.percentile_approx(F.col(value).cast("long"), shares, 4 * buckets), F.min(F.col(pos).cast("long")), F.max(F.col(pos).cast("long"))).first()
     times = Counter(cuts or [])
     bounds = []
     for v in sorted(times):
         # a value that is k quantiles is cut into k parts of like widths of positions
         bounds += [(v, -(1 << 63))] + [(v, low + (high - low + 1) * k // times[v]) for k in range(1, times[v])] + [(v + 1, -(1 << 63))]
-    places = F.array(*[F.struct(F.lit(v).cast("long").alias("v"), F.lit(p).cast("long").alias("p")) for v, p in sorted(set(bounds))]) if bounds else None
-    bucket = F.size(F.filter(places, lambda x: x <= key)) if bounds else F.lit(0)
+    # how many bounds are at most the row's key, by halving: each row is compared with eight of 256; a bound is a literal's element, since plans with hundreds of literals take long
+    ends, bucket = sorted({b for b in bounds if b[0] < 1 << 63}), F.lit(0)
+    if ends:
+        values, places = (F.lit(np.array(x, dtype=np.int64)) for x in zip(*ends))
+        v, p = F.col(value).cast("long"), F.col(pos).cast("long")
+        below = lambda i: (F.get(values, i) < v) | ((F.get(values, i) == v) & (F.get(places, i) <= p))
+        steps = F.lit(np.array([1 << k for k in reversed(range(len(ends).bit_length()))], dtype=np.int32))
+        bucket = F.aggregate(steps, bucket, lambda at, step: F.when(below(at + step - 1), at + step).otherwise(at))
     rows = elements.select(F.col(value).alias("val"), F.col(pos).alias("perm"), bucket.alias("_b"))
     counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
     base = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")

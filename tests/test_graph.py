@@ -124,6 +124,33 @@ def test_budget_is_kept_and_unused_quota_flows(spark):
     assert s.edges.where("hop = 2").count() == 6  # 2 * 3: one from the node of degree 1, five from the other
 
 
+def test_budget_of_a_hub_meets_only_what_it_takes(spark):
+    # 200 examples reach a hub of 20,000 edges and take 3 of them each: 4,000,000 rows if each met all
+    hub = spark.range(20_000).select(F.col("id").alias("edge_id"), F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    to = spark.range(200).select(F.col("id").alias("edge_id"), F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"))
+    kinds = {("s", "x", "a"): to, ("a", "to", "b"): hub}
+    core = spark.sparkContext._jsc.sc()
+
+    def read():
+        core.listenerBus().waitUntilEmpty(60_000)
+        return core.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = read()
+    s = sampling.budget_sample(kinds, {"s": seeds(spark, range(200))}, dict(zip(kinds, ([1, 0], [0, 3]))))
+    assert read() - before < 20 << 20
+    rows = s.edges.where("hop = 2").select("batch", "edge_id").collect()
+    assert len(rows) == 600 == len(set(rows)) and len({r.edge_id for r in rows}) > 500
+
+
+def test_distinct_numbers(spark):
+    sizes = spark.range(3000).withColumn("n", F.lit(5)).withColumn("c", F.lit(2))
+    got = [tuple(r.x) for r in sizes.select(sampling._distinct_numbers("c", "n", 3, "id").alias("x")).collect()]
+    times = {pair: got.count(pair) for pair in set(got)}
+    assert sorted(times) == [(a, b) for a in range(5) for b in range(a + 1, 5)] and all(230 < t < 370 for t in times.values())
+    whole = spark.range(1).select("id", F.lit(4).alias("n"), F.lit(4).alias("c"))
+    assert whole.select(sampling._distinct_numbers("c", "n", 3, "id").alias("x")).first().x == [0, 1, 2, 3]
+
+
 def test_one_hop_merge_and_relabel(spark):
     g = cycle(spark)
     hop = sampling.dist_neighbor_sample(g, seeds(spark, [2, 3]), -1).orderBy("seed_pos", "j").collect()
