@@ -80,6 +80,24 @@ def test_partition_cuts_less_than_chance(spark, small):
     assert 0 < cut.between < 0.75 * (cut.within + cut.between), cut
 
 
+PARTED = {
+    "metis_balance": lambda r: r.nodes == 5000 and r.parts == 4 and r.balanced,
+}
+
+
+@pytest.mark.parametrize("name", sorted(PARTED))
+def test_partition_query_takes_few_jobs(spark, tmp_path, name):
+    # each job costs the driver memory; 5,000 nodes are clustered before they are parted, unlike those of the smallest tables
+    spark.range(5000).select(F.col("id").alias("vec_id")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.sparkContext.setJobGroup(name, "")
+    try:
+        row = OWN[name](spark, str(tmp_path)).first()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert PARTED[name](row) and jobs < 200, (row, jobs)
+
+
 def test_samples_reach_every_seed(spark, small):
     """Each node and customer has a sample of its own, not only constant ids."""
     nodes = spark.read.parquet(f"{small}/embeddings.parquet").count()
