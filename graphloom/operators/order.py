@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .core import kept
+
 
 def index_sort(elements: DataFrame, *, value: str = "val", pos: str = "pos", max_value: int | None = None, buckets: int = 256) -> DataFrame:
     """(rank, val, perm): the values in ascending order, each with the position it came from. Stable.
@@ -42,3 +44,19 @@ def index_sort(elements: DataFrame, *, value: str = "val", pos: str = "pos", max
     inside = F.row_number().over(W.partitionBy("_b").orderBy("val", "perm")) - 1
     ranked = rows.withColumn("_k", inside).join(F.broadcast(counts.select("_b", base.alias("_base"))), "_b")  # at most two for each of `buckets`
     return ranked.select((F.col("_base") + F.col("_k")).cast("long").alias("rank"), "val", "perm")
+
+
+def distinct_ranks(values: DataFrame, value: str = "val") -> DataFrame:
+    """(rank, val): the distinct values in ascending order, kept as a table, for values that are used more than once.
+
+    One shuffle, by ranges of values: a range is sorted in its task, and its
+    ranks start where those of the ranges before end. Equal values meet in one
+    task, which only passes over them.
+    """
+    ranged = values.select(F.col(value).alias("val")).repartitionByRange("val").distinct().sortWithinPartitions("val")
+    # the number of the task, and the row's number in it
+    placed = kept(ranged.withColumn("_id", F.monotonically_increasing_id()).select("val", F.shiftright("_id", 33).alias("_b"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_k")))
+    counts = placed.groupBy("_b").agg(F.count("*").alias("_n"))
+    base = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")
+    ranked = placed.join(F.broadcast(counts.select("_b", base.alias("_base")).checkpoint()), "_b")  # a row for each range
+    return ranked.select((F.col("_base") + F.col("_k")).cast("long").alias("rank"), "val")

@@ -151,6 +151,31 @@ def test_distinct_numbers(spark):
     assert whole.select(sampling._distinct_numbers("c", "n", 3, "id").alias("x")).first().x == [0, 1, 2, 3]
 
 
+def test_budget_moves_edges_with_ids_in_a_row_once(spark):
+    # 30,000 nodes of 10 edges. The same edges with other ids are numbered first, which moves them twice, and are chosen alike
+    core = spark.sparkContext._jsc.sc()
+
+    def chosen(step):
+        edges = spark.range(300_000).select((F.col("id") * step).alias("edge_id"), F.floor(F.col("id") / 10).alias("src"), (F.col("id") * 7919 % 1_000_003).alias("dst"))
+        core.listenerBus().waitUntilEmpty(60_000)
+        before = core.statusStore().executorList(True).apply(0).totalShuffleWrite()
+        s = sampling.budget_sample({("a", "to", "b"): edges}, {"a": seeds(spark, range(0, 30_000, 100))}, {("a", "to", "b"): [3]})
+        core.listenerBus().waitUntilEmpty(60_000)
+        moved = core.statusStore().executorList(True).apply(0).totalShuffleWrite() - before
+        return moved, sorted((r.batch, r.edge_id // step) for r in s.edges.select("batch", "edge_id").collect())
+
+    (once, got), (_, other) = chosen(1), chosen(2)
+    assert got == other and len(set(got)) == 900 and all(e // 1000 == b for b, e in got)
+    assert once < 1 << 20, once
+
+
+def test_numbers_drawn_in_columns_are_those_of_the_list(spark):
+    sizes = spark.range(600).select("id", (1 + F.col("id") % 9).alias("n"), (1 + F.floor(F.col("id") / 9) % 7).alias("c")).where("c <= n")
+    both = sampling._with_numbers(sizes.withColumn("x", sampling._distinct_numbers("c", "n", 3, "id")), "c", "n", 3, "id")
+    assert both.columns == ["id", "n", "c", "x", "_list"] and both.where("c > 4").count() > 0
+    assert all(r.x == r._list and len(set(r.x)) == r.c for r in both.collect())
+
+
 def test_one_hop_merge_and_relabel(spark):
     g = cycle(spark)
     hop = sampling.dist_neighbor_sample(g, seeds(spark, [2, 3]), -1).orderBy("seed_pos", "j").collect()

@@ -267,3 +267,11 @@ def test_segment_matmul_by_ranges_and_backward(spark):
     for r in to_weights.collect():
         own = [p for p in range(6) if group[p] == r.grp]
         assert r.col == pytest.approx(x[own].T @ g[own][:, r.m])
+
+
+def test_distinct_ranks(spark):
+    values = spark.range(40_000).select(F.when(F.col("id") < 20_000, F.lit(77)).otherwise(F.col("id") * 7919 % 10_007).alias("val"))  # one has half of the rows
+    expected = sorted({77} | {i * 7919 % 10_007 for i in range(20_000, 40_000)})
+    ranks = order.distinct_ranks(values)
+    assert sorted((r.rank, r.val) for r in ranks.collect()) == list(enumerate(expected))
+    assert order.distinct_ranks(values.where("val < 0")).count() == 0
