@@ -83,6 +83,7 @@ def test_partition_cuts_less_than_chance(spark, small):
 PARTED = {
     "metis_balance": lambda r: r.nodes == 5000 and r.parts == 4 and r.balanced,
     "metis_cut": lambda r: r.total == 20_000 and r.well_below_chance,
+    "metis_cut_weights": lambda r: r.within + r.between == 20_000 and 64 <= r.between <= 160,
 }
 
 
